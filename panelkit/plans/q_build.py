@@ -49,3 +49,209 @@ SELECT p.r_name, CAST(count(*) AS BIGINT) AS panel_rows, CAST(sum(n_events) AS B
 FROM panel p LEFT JOIN sup s ON p.n_nationkey = s.n_nationkey AND p.year = s.year
 GROUP BY p.r_name ORDER BY total_events DESC, r_name LIMIT 10
 """)(flagship)
+
+
+# --------------------------------------------------------------------------
+# clean_events: strip, coerce, drop null keys, fill, sentinels
+# --------------------------------------------------------------------------
+
+from .roles import DIRTY_ORDERS_SQL, dirty_orders, strip_sql  # noqa: E402
+from .sqlkit import mode_cte  # noqa: E402
+
+
+def cleaned_orders(spark, root):
+    d = clean.rename(dirty_orders(spark, root), {"entity_txt": "entity", "period_txt": "period",
+                                                 "sev1_txt": "sev1", "sev2_txt": "sev2",
+                                                 "group_txt": "grp", "cat1_txt": "cat1", "cat3_txt": "cat3"})
+    d = clean.clean_events(d, text_cols=["entity", "grp", "cat1"], numeric_cols=["sev1", "sev2"],
+                           key_text="entity", key_num="period", category_cols=["cat3"])
+    return clean.conform(d, ["o_orderkey", "c_custkey", "entity", "period", "grp", "sev1", "sev2", "cat1", "cat3"])
+
+
+CLEAN_SQL = f"""
+SELECT o_orderkey, c_custkey, {strip_sql('entity_txt')} AS entity,
+       CAST(TRY_CAST(period_txt AS DOUBLE) AS BIGINT) AS period,
+       {strip_sql('group_txt')} AS grp,
+       COALESCE(TRY_CAST(sev1_txt AS DOUBLE), 0.0) AS sev1,
+       COALESCE(TRY_CAST(sev2_txt AS DOUBLE), 0.0) AS sev2,
+       {strip_sql('cat1_txt')} AS cat1,
+       COALESCE(CASE WHEN lower({strip_sql('cat3_txt')}) IN ('unknown', '') THEN NULL
+                     ELSE {strip_sql('cat3_txt')} END, 'N/A') AS cat3
+FROM ({DIRTY_ORDERS_SQL}) d
+WHERE entity_txt IS NOT NULL AND TRY_CAST(period_txt AS DOUBLE) IS NOT NULL
+"""
+
+register("clean_events", CLEAN_SQL)(cleaned_orders)
+
+
+# --------------------------------------------------------------------------
+# entity_code_filter: keep three-letter upper-case codes, drop aggregates
+# --------------------------------------------------------------------------
+
+def _codes(spark, root):
+    n = table(spark, root, "nation", ["n_nationkey", "n_name"])
+    k = F.col("n_nationkey")
+    base = F.concat(F.char(k % 26 + 65), F.char((k * 7) % 26 + 65), F.char((k * 3 + 1) % 26 + 65))
+    code = (F.when(k % 5 == 0, F.concat(F.lit("OWID_"), base))
+             .when(k % 5 == 1, F.lower(base))
+             .when(k % 5 == 2, F.concat(F.lit(" "), base, F.lit(" ")))
+             .when(k % 5 == 3, F.concat(base, F.lit("X")))
+             .otherwise(base))
+    return n.withColumn("code", code)
+
+
+def entity_code_filter(spark, root):
+    c = table(spark, root, "customer", ["c_custkey", "c_nationkey"])
+    x = c.join(F.broadcast(_codes(spark, root)), c.c_nationkey == F.col("n_nationkey"))
+    kept = clean.entity_rows(x, code_col="code")
+    return kept.select("c_custkey", strip_ws("code").alias("code"), "n_name")
+
+
+CODES_SQL = """
+SELECT n_nationkey, n_name,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'OWID_' || b WHEN n_nationkey % 5 = 1 THEN lower(b)
+       WHEN n_nationkey % 5 = 2 THEN ' ' || b || ' ' WHEN n_nationkey % 5 = 3 THEN b || 'X' ELSE b END AS code
+FROM (SELECT n_nationkey, n_name,
+        chr(CAST(n_nationkey % 26 + 65 AS INTEGER)) || chr(CAST((n_nationkey * 7) % 26 + 65 AS INTEGER))
+        || chr(CAST((n_nationkey * 3 + 1) % 26 + 65 AS INTEGER)) AS b FROM nation) t
+"""
+
+register("entity_code_filter", f"""
+WITH codes AS ({CODES_SQL})
+SELECT c.c_custkey, {strip_sql('code')} AS code, n_name
+FROM customer c JOIN codes ON c.c_nationkey = codes.n_nationkey
+WHERE regexp_full_match({strip_sql('code')}, '[A-Z]{{3}}') AND NOT starts_with({strip_sql('code')}, 'OWID_')
+""")(entity_code_filter)
+
+
+# --------------------------------------------------------------------------
+# event_panel: count, two sums, three modes per (entity, period) (A1 A5 U4)
+# --------------------------------------------------------------------------
+
+def q_event_panel(spark, root):
+    p = p1_panel(spark, root)
+    return p.select("c_custkey", "year", "n_events", rnd("amount", 2).alias("amount"),
+                    rnd("qty", 2).alias("qty"), "cat1_mode", "cat2_mode", "cat3_mode")
+
+
+_K1 = ["c_custkey", "year"]
+register("event_panel", f"""
+WITH ev AS ({ORDER_EVENTS_SQL}),
+{mode_cte('m1', 'ev', _K1, 'o_orderpriority', 'cat1_mode')},
+{mode_cte('m2', 'ev', _K1, 'c_mktsegment', 'cat2_mode')},
+{mode_cte('m3', 'ev', _K1, 'o_orderstatus', 'cat3_mode')},
+agg AS (SELECT c_custkey, year, CAST(count(*) AS BIGINT) AS n_events,
+               round(COALESCE(sum(o_totalprice), 0), 2) AS amount, round(COALESCE(sum(o_qty), 0), 2) AS qty
+        FROM ev GROUP BY c_custkey, year)
+SELECT agg.*, m1.cat1_mode, m2.cat2_mode, m3.cat3_mode FROM agg
+LEFT JOIN m1 USING (c_custkey, year) LEFT JOIN m2 USING (c_custkey, year) LEFT JOIN m3 USING (c_custkey, year)
+""")(q_event_panel)
+
+
+# --------------------------------------------------------------------------
+# harmonize_names: mapping dimension + left join + flag
+# --------------------------------------------------------------------------
+
+# The literal name-mapping table used by the harmonisation
+# queries: (position, source_name, canonical_name, source_dataset, active_flag).
+NAME_MAPPING = [
+    (1, "nation 2", "NATION_2", "orders", 1),
+    (2, " Nation 5", "NATION_5", "orders", 1),
+    (3, "NATION 8", "NATION_8", "orders", 1),
+    (4, "nation 11", "NATION_11", "orders", 1),
+    (5, "nation 14", "NATION_14", "orders", 0),
+    (6, "nation 17", "NATION_17", "orders", 1),
+    (7, "nation 17", "NATION_SEVENTEEN", "orders", 1),
+    (8, "nation 20", "NATION_20", "suppliers", 1),
+    (9, "nation_3", "NATION_3", "orders", 1),
+    (10, "NATION_6", "NATION_6", "Orders ", 1),
+]
+MAPPING_SCHEMA = "pos long, source_name string, canonical_name string, source_dataset string, active_flag long"
+MAPPING_SQL = "(VALUES " + ", ".join(
+    "({}, '{}', '{}', '{}', {})".format(*r) for r in NAME_MAPPING) + \
+    ") AS m(pos, source_name, canonical_name, source_dataset, active_flag)"
+
+
+def _mapping(spark):
+    return load_mapping(spark.createDataFrame(NAME_MAPPING, MAPPING_SCHEMA).withColumn("pos", F.col("pos")),
+                        source="orders").select("map_key", "canonical_name", "pos")
+
+
+def _dirty_names(spark, root):
+    c = table(spark, root, "customer", ["c_custkey", "c_nationkey"])
+    n = table(spark, root, "nation", ["n_nationkey", "n_name"])
+    k = F.col("n_nationkey")
+    name = (F.when(k % 3 == 2, F.concat(F.lit("  Nation "), k.cast("string"), F.lit("\t")))
+             .when(k % 3 == 0, F.lower("n_name"))
+             .otherwise(F.col("n_name")))
+    return c.join(F.broadcast(n.withColumn("name_raw", name)), c.c_nationkey == k).select("c_custkey", "name_raw")
+
+
+def harmonize_names(spark, root):
+    out = apply_mapping(_dirty_names(spark, root), _mapping(spark), "name_raw",
+                        out_col="name_std", flag_col="mapping_applied", order_col="pos")
+    return out.select("c_custkey", "name_raw", "name_std", "mapping_applied")
+
+
+DIRTY_NAMES_SQL = """
+SELECT c.c_custkey,
+  CASE WHEN n.n_nationkey % 3 = 2 THEN '  Nation ' || CAST(n.n_nationkey AS VARCHAR) || chr(9)
+       WHEN n.n_nationkey % 3 = 0 THEN lower(n.n_name) ELSE n.n_name END AS name_raw
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+"""
+MAP_SQL = f"""
+SELECT map_key, first(canonical_name ORDER BY pos) AS canonical_name FROM (
+  SELECT lower({strip_sql('source_name')}) AS map_key, {strip_sql('canonical_name')} AS canonical_name, pos
+  FROM {MAPPING_SQL}
+  WHERE active_flag = 1 AND lower({strip_sql('source_dataset')}) = 'orders') t GROUP BY map_key
+"""
+register("harmonize_names", f"""
+WITH d AS (SELECT c_custkey, {strip_sql('name_raw')} AS name_raw FROM ({DIRTY_NAMES_SQL}) x),
+mp AS ({MAP_SQL})
+SELECT c_custkey, name_raw, COALESCE(mp.canonical_name, name_raw) AS name_std,
+       CAST(CASE WHEN mp.canonical_name IS NULL THEN 0 ELSE 1 END AS BIGINT) AS mapping_applied
+FROM d LEFT JOIN mp ON lower(d.name_raw) = mp.map_key
+""")(harmonize_names)
+
+
+# --------------------------------------------------------------------------
+# merge_remapped: two spellings -> one name; sums, mode of modes, max flag,
+# first value (A2 A3 A4)
+# --------------------------------------------------------------------------
+
+def merge_remapped(spark, root):
+    ev = order_events(spark, root)
+    spelled = ev.withColumn("name_raw", F.when(F.col("o_orderkey") % 2 == 0, F.lower("n_name"))
+                            .otherwise(F.col("n_name")))
+    pre = event_panel(spelled, "name_raw", "year", count_col="n_events",
+                      sums={"amount": "o_totalprice"}, modes={"cat1_mode": "o_orderpriority"})
+    mapped = apply_mapping(pre, _mapping(spark), "name_raw", out_col="name_std",
+                           flag_col="mapping_applied", order_col="pos")
+    out = event_panel(mapped, "name_std", "year", count_col=None,
+                      sums={"n_events": "n_events", "amount": "amount"},
+                      modes={"cat1_mode": "cat1_mode"}, maxes={"mapping_applied": "mapping_applied"})
+    first = first_non_null(mapped, ["name_std", "year"], "amount", "name_raw", out_col="first_amount")
+    return (out.join(first, ["name_std", "year"], "left")
+               .select("name_std", "year", F.col("n_events").cast("bigint").alias("n_events"),
+                       rnd("amount", 2).alias("amount"), "cat1_mode", "mapping_applied",
+                       rnd("first_amount", 2).alias("first_amount")))
+
+
+register("merge_remapped", f"""
+WITH ev AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name_raw
+            FROM ({ORDER_EVENTS_SQL}) e),
+{mode_cte('m0', 'ev', ['name_raw', 'year'], 'o_orderpriority', 'cat1_mode')},
+pre AS (SELECT name_raw, year, count(*) AS n_events, COALESCE(sum(o_totalprice), 0) AS amount
+        FROM ev GROUP BY name_raw, year),
+mp AS ({MAP_SQL}),
+mapped AS (SELECT pre.name_raw, pre.year, pre.n_events, pre.amount, m0.cat1_mode,
+                  COALESCE(mp.canonical_name, pre.name_raw) AS name_std,
+                  CASE WHEN mp.canonical_name IS NULL THEN 0 ELSE 1 END AS mapping_applied
+           FROM pre JOIN m0 USING (name_raw, year) LEFT JOIN mp ON lower(pre.name_raw) = mp.map_key),
+{mode_cte('mm', 'mapped', ['name_std', 'year'], 'cat1_mode', 'cat1_mode')}
+SELECT a.name_std, a.year, CAST(sum(n_events) AS BIGINT) AS n_events, round(sum(amount), 2) AS amount,
+       min(mm.cat1_mode) AS cat1_mode, CAST(max(mapping_applied) AS BIGINT) AS mapping_applied,
+       round(first(amount ORDER BY name_raw), 2) AS first_amount
+FROM mapped a JOIN mm USING (name_std, year)
+GROUP BY a.name_std, a.year
+""")(merge_remapped)

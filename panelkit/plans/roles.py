@@ -106,3 +106,45 @@ def supply_series(spark: SparkSession, root: str, period: str = "year") -> DataF
     return (x.withColumn(period, p).groupBy(F.col("s_nationkey").alias("n_nationkey"), period)
              .agg(F.sum("l_extendedprice").alias("supply_value"),
                   F.count(F.lit(1)).alias("supply_lines")))
+
+
+def dirty_orders(spark: SparkSession, root: str) -> DataFrame:
+    """Order events with rule-derived dirt: padded names, text periods with
+    junk, missing and non-numeric measures, sentinel categories."""
+    ev = order_events(spark, root)
+    k = F.col("o_orderkey")
+    null_s = F.lit(None).cast("string")
+    return ev.select(
+        "o_orderkey", "c_custkey",
+        F.when(k % 17 == 0, null_s).otherwise(F.concat(F.lit("  "), "n_name", F.lit("\t"))).alias("entity_txt"),
+        F.when(k % 19 == 0, F.concat(F.lit("x"), F.col("year").cast("string")))
+         .when(k % 7 == 0, F.concat(F.col("year").cast("string"), F.lit(".0")))
+         .otherwise(F.col("year").cast("string")).alias("period_txt"),
+        F.when(k % 11 == 0, null_s).when(k % 23 == 0, F.lit("n/a"))
+         .otherwise(F.col("o_totalprice").cast("string")).alias("sev1_txt"),
+        F.when(k % 13 == 0, null_s).otherwise(F.col("o_qty").cast("string")).alias("sev2_txt"),
+        F.concat(F.lit(" "), "r_name").alias("group_txt"),
+        F.col("o_orderpriority").alias("cat1_txt"),
+        F.when(k % 13 == 0, F.lit("Unknown")).when(k % 29 == 0, F.lit(""))
+         .when(k % 31 == 0, F.lit("UNKNOWN ")).otherwise(F.col("o_orderstatus")).alias("cat3_txt"),
+    )
+
+
+DIRTY_ORDERS_SQL = f"""
+SELECT o_orderkey, c_custkey,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE '  ' || n_name || chr(9) END AS entity_txt,
+  CASE WHEN o_orderkey % 19 = 0 THEN 'x' || CAST(year AS VARCHAR)
+       WHEN o_orderkey % 7 = 0 THEN CAST(year AS VARCHAR) || '.0'
+       ELSE CAST(year AS VARCHAR) END AS period_txt,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 23 = 0 THEN 'n/a'
+       ELSE CAST(o_totalprice AS VARCHAR) END AS sev1_txt,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_qty AS VARCHAR) END AS sev2_txt,
+  ' ' || r_name AS group_txt, o_orderpriority AS cat1_txt,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'Unknown' WHEN o_orderkey % 29 = 0 THEN ''
+       WHEN o_orderkey % 31 = 0 THEN 'UNKNOWN ' ELSE o_orderstatus END AS cat3_txt
+FROM ({ORDER_EVENTS_SQL}) ev
+"""
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"

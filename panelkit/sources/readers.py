@@ -68,7 +68,9 @@ def load_mapping(mapping: DataFrame, source: str | None = None,
     missing = [c for c in need if c not in mapping.columns]
     if missing:
         raise ValueError(f"mapping table lacks columns {missing}")
+    extra = [c for c in mapping.columns if c not in need]
     m = mapping.select(
+        *extra,
         strip_ws(source_col).alias(source_col),
         strip_ws(canonical_col).alias(canonical_col),
         F.lower(strip_ws(dataset_col)).alias(dataset_col),
@@ -86,13 +88,10 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Explode a text column into numbered lines (1-based), the whole text.
-
-    Split on ``\\r\\n``, ``\\n`` or ``\\r`` like ``str.splitlines``; a
-    trailing line break does not make an extra empty line."""
-    body = F.regexp_replace(F.col(text_col), r"(\r\n|\n|\r)$", "")
-    return (df.select(F.col(id_col), F.posexplode(F.split(body, r"\r\n|\n|\r")).alias("pos", "line"))
-              .select(id_col, (F.col("pos") + 1).alias("line_no"), "line"))
+    """Explode a text column into numbered lines (1-based) over the whole
+    text, line breaks as in ``str.splitlines``."""
+    from ..operators.quality import split_lines
+    return split_lines(df, text_col, id_col)
 
 
 def file_hashes(spark: SparkSession, paths) -> DataFrame:
