@@ -255,3 +255,195 @@ SELECT a.name_std, a.year, CAST(sum(n_events) AS BIGINT) AS n_events, round(sum(
 FROM mapped a JOIN mm USING (name_std, year)
 GROUP BY a.name_std, a.year
 """)(merge_remapped)
+
+
+# --------------------------------------------------------------------------
+# panel_join_flags: dense panel + three (nation, month) series, fills, flags
+# (J1 P9 P11 A3 F10); panel_diagnostics on the result
+# --------------------------------------------------------------------------
+
+from .roles import MONTH_INDEX_SQL  # noqa: E402
+from ..operators.joins import with_scalars  # noqa: E402
+from ..operators.panel import mode_two_level  # noqa: E402,F401
+
+
+def _ship_lines(spark, root):
+    li = table(spark, root, "lineitem", ["l_suppkey", "l_quantity", "l_extendedprice",
+                                         "l_returnflag", "l_linestatus", "l_shipdate"])
+    s = table(spark, root, "supplier", ["s_suppkey", "s_nationkey"])
+    n = table(spark, root, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = table(spark, root, "region", ["r_regionkey", "r_name"])
+    # nation/region: 25 and 5 rows by the schema definition at every scale
+    g = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    x = li.join(s, li.l_suppkey == s.s_suppkey).join(F.broadcast(g), F.col("s_nationkey") == F.col("n_nationkey"))
+    return x.withColumn("month_idx", month_index("l_shipdate"))
+
+
+def conflict_series(spark, root):
+    """Per return line: intensity = quantity, flag and ordinal level; then per
+    (nation, month): modal region, max flag, max level, summed intensity."""
+    x = _ship_lines(spark, root).filter((F.col("l_returnflag") == "R") & (F.col("month_idx") % 3 != 0))
+    x = x.withColumns({"conflict": (F.col("l_quantity") > 0).cast("long"),
+                       "level": ordinal_bucket("l_quantity")})
+    return event_panel(x, "n_name", "month_idx", count_col=None,
+                       sums={"intensity": "l_quantity"}, maxes={"conflict": "conflict", "conflict_level": "level"},
+                       modes={"conflict_region": "r_name"})
+
+
+def supplier_series(spark, root):
+    x = _ship_lines(spark, root).filter((F.col("month_idx") + F.col("n_nationkey")) % 5 != 0)
+    return x.groupBy("n_name", "month_idx").agg(F.count_distinct("l_suppkey").cast("double").alias("supplier_count"))
+
+
+def price_series(spark, root):
+    x = _ship_lines(spark, root).filter((F.col("l_linestatus") == "F") & (F.col("month_idx") % 4 != 1))
+    return x.groupBy("n_name", "month_idx").agg(F.avg("l_extendedprice").alias("avg_price"))
+
+
+def joined_panel(spark, root):
+    p = p2_panel(spark, root).select("n_name", "month_idx", "n_events", "amount", "r_name")
+    j = left_join_chain(p, ["n_name", "month_idx"],
+                        [conflict_series(spark, root), supplier_series(spark, root), price_series(spark, root)])
+    j = clean.fill_constant(j, {"conflict": 0, "conflict_level": 0, "intensity": 0.0})
+    return clean.presence_flags(j, {"has_conflict_data": "conflict_region",
+                                    "has_supplier_data": "supplier_count",
+                                    "has_price_data": "avg_price"})
+
+
+def panel_join_flags(spark, root):
+    j = joined_panel(spark, root)
+    return j.select("n_name", "month_idx", "n_events", rnd("amount", 2).alias("amount"),
+                    F.col("conflict").cast("bigint").alias("conflict"),
+                    F.col("conflict_level").cast("bigint").alias("conflict_level"),
+                    rnd("intensity", 2).alias("intensity"), "supplier_count",
+                    rnd("avg_price", 6).alias("avg_price"),
+                    "has_conflict_data", "has_supplier_data", "has_price_data")
+
+
+_SHIP_SQL = f"""
+SELECT l.*, s.s_nationkey, n.n_name, r.r_name, CAST({MONTH_INDEX_SQL.format(c='l.l_shipdate')} AS BIGINT) AS month_idx
+FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+_BUCKET_SQL = ("CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN 0 " +
+               " ".join(f"WHEN {{x}} <= {b} THEN {i}" for i, b in enumerate(
+                   (10, 25, 50, 100, 250, 500, 1000, 2500, 5000), start=1)) + " ELSE 10 END")
+
+JOINED_SQL = f"""
+ev AS ({ORDER_EVENTS_SQL}),
+p AS (SELECT n_name, month_idx, count(*) AS n_events, sum(o_totalprice) AS amount FROM ev GROUP BY n_name, month_idx),
+ship AS ({_SHIP_SQL}),
+cl AS (SELECT *, CASE WHEN l_quantity > 0 THEN 1 ELSE 0 END AS conflict, {_BUCKET_SQL.format(x='l_quantity')} AS lvl
+       FROM ship WHERE l_returnflag = 'R' AND month_idx % 3 <> 0),
+{mode_cte('cr', 'cl', ['n_name', 'month_idx'], 'r_name', 'conflict_region')},
+c AS (SELECT n_name, month_idx, COALESCE(sum(l_quantity), 0) AS intensity, max(conflict) AS conflict,
+             max(lvl) AS conflict_level FROM cl GROUP BY n_name, month_idx),
+sc AS (SELECT n_name, month_idx, CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS supplier_count FROM ship
+       WHERE (month_idx + s_nationkey) % 5 <> 0 GROUP BY n_name, month_idx),
+pr AS (SELECT n_name, month_idx, avg(l_extendedprice) AS avg_price FROM ship
+       WHERE l_linestatus = 'F' AND month_idx % 4 <> 1 GROUP BY n_name, month_idx),
+j AS (
+SELECT p.n_name, p.month_idx, CAST(p.n_events AS BIGINT) AS n_events, round(p.amount, 2) AS amount,
+       CAST(COALESCE(c.conflict, 0) AS BIGINT) AS conflict, CAST(COALESCE(c.conflict_level, 0) AS BIGINT) AS conflict_level,
+       round(COALESCE(c.intensity, 0.0), 2) AS intensity, sc.supplier_count, round(pr.avg_price, 6) AS avg_price,
+       CAST(cr.conflict_region IS NOT NULL AS BIGINT) AS has_conflict_data,
+       CAST(sc.supplier_count IS NOT NULL AS BIGINT) AS has_supplier_data,
+       CAST(pr.avg_price IS NOT NULL AS BIGINT) AS has_price_data
+FROM p LEFT JOIN c USING (n_name, month_idx) LEFT JOIN cr USING (n_name, month_idx)
+LEFT JOIN sc USING (n_name, month_idx) LEFT JOIN pr USING (n_name, month_idx))
+"""
+
+register("panel_join_flags", f"WITH {JOINED_SQL} SELECT * FROM j")(panel_join_flags)
+
+
+def q_panel_diagnostics(spark, root):
+    return panel_diagnostics(joined_panel(spark, root), "n_name", "month_idx",
+                             {"conflict": "has_conflict_data", "supplier": "has_supplier_data",
+                              "price": "has_price_data"})
+
+
+register("panel_diagnostics", f"""
+WITH {JOINED_SQL}
+SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(count(DISTINCT n_name) AS BIGINT) AS distinct_entities,
+       min(month_idx) AS period_min, max(month_idx) AS period_max,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT n_name, month_idx FROM j) t) AS BIGINT) AS duplicate_keys,
+       round(avg(has_conflict_data), 6) AS match_rate_conflict,
+       round(avg(has_supplier_data), 6) AS match_rate_supplier,
+       round(avg(has_price_data), 6) AS match_rate_price
+FROM j
+""")(q_panel_diagnostics)
+
+
+# --------------------------------------------------------------------------
+# ordinal_bucket / risk_score / tier
+# --------------------------------------------------------------------------
+
+TRAIN_LAST_YEAR = 1998
+
+P1_SQL = f"""
+ev AS ({ORDER_EVENTS_SQL}),
+p1 AS (SELECT c_custkey, year, count(*) AS n_events, COALESCE(sum(o_totalprice), 0) AS amount,
+              COALESCE(sum(o_qty), 0) AS qty, min(r_name) AS r_name FROM ev GROUP BY c_custkey, year)
+"""
+
+
+def q_ordinal_bucket(spark, root):
+    p = p1_panel(spark, root).withColumn("amount_k", F.round("amount", 2) / 1000.0)
+    return p.select("c_custkey", "year", rnd("amount_k", 6).alias("amount_k"),
+                    ordinal_bucket("amount_k").alias("level"))
+
+
+register("ordinal_bucket", f"""
+WITH {P1_SQL}
+SELECT c_custkey, year, round(round(amount, 2) / 1000.0, 6) AS amount_k,
+       CAST({_BUCKET_SQL.format(x='(round(amount, 2) / 1000.0)')} AS BIGINT) AS level
+FROM p1
+""")(q_ordinal_bucket)
+
+
+def _with_risk(spark, root):
+    p = p1_panel(spark, root)
+    return p.withColumn("risk_score", weighted_score("n_events", "qty", 0.5))
+
+
+def q_risk_score(spark, root):
+    p = _with_risk(spark, root)
+    return p.select("c_custkey", "year", rnd("risk_score", 6).alias("risk_score"),
+                    F.col("cat1_mode").isin("1-URGENT", "2-HIGH").cast("long").alias("urgent_flag"))
+
+
+register("risk_score", f"""
+WITH {P1_SQL},
+{mode_cte('m1', 'ev', ['c_custkey', 'year'], 'o_orderpriority', 'cat1_mode')}
+SELECT c_custkey, year, round(n_events + 0.5 * qty, 6) AS risk_score,
+       CAST(COALESCE(m1.cat1_mode IN ('1-URGENT', '2-HIGH'), false) AS BIGINT) AS urgent_flag
+FROM p1 LEFT JOIN m1 USING (c_custkey, year)
+""")(q_risk_score)
+
+
+def region_tiers(panel, group: str, score: str, period: str, last_train_period):
+    """A21 + F13: mean score per group over the training era, then tiers by
+    the 0.5 / 0.75 quantiles *of the group means* (kept lazy: the one-row
+    quantile aggregate is attached with a broadcast, no driver round trip)."""
+    means = (panel.filter(F.col(period) <= last_train_period)
+                  .groupBy(group).agg(F.avg(score).alias("group_mean")))
+    q = means.agg(F.percentile("group_mean", 0.5).alias("q50"), F.percentile("group_mean", 0.75).alias("q75"))
+    groups = panel.select(group).distinct().join(means, group, "left")
+    return with_scalars(groups, q).withColumn("tier", tier("group_mean", F.col("q50"), F.col("q75")))
+
+
+def q_tier(spark, root):
+    t = region_tiers(_with_risk(spark, root), "r_name", "risk_score", "year", TRAIN_LAST_YEAR)
+    return t.select("r_name", rnd("group_mean", 6).alias("group_mean"), "tier")
+
+
+register("tier", f"""
+WITH {P1_SQL},
+m AS (SELECT r_name, avg(n_events + 0.5 * qty) AS group_mean FROM p1 WHERE year <= {TRAIN_LAST_YEAR} GROUP BY r_name),
+q AS (SELECT quantile_cont(group_mean, 0.5) AS q50, quantile_cont(group_mean, 0.75) AS q75 FROM m),
+g AS (SELECT DISTINCT r_name FROM p1)
+SELECT g.r_name, round(m.group_mean, 6) AS group_mean,
+       CASE WHEN COALESCE(m.group_mean, 0) >= q.q75 THEN 'HIGH'
+            WHEN COALESCE(m.group_mean, 0) >= q.q50 THEN 'MEDIUM' ELSE 'LOW' END AS tier
+FROM g LEFT JOIN m USING (r_name) CROSS JOIN q
+""")(q_tier)
