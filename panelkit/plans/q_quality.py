@@ -1,0 +1,161 @@
+"""Catalogue, part 2: profiling and the text pattern scan."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import coerce_double, sentinel_to_null
+from ..operators import quality as Q
+from ..sources.readers import table
+from .q_build import CLEAN_SQL, cleaned_orders
+from .registry import register
+from .roles import DIRTY_ORDERS_SQL, dirty_orders
+
+DIRTY_COLS = ["entity_txt", "period_txt", "sev1_txt", "sev2_txt", "group_txt", "cat1_txt", "cat3_txt"]
+
+
+def profile_nulls(spark, root):
+    return Q.profile_nulls(dirty_orders(spark, root), DIRTY_COLS)
+
+
+register("profile_nulls", "WITH d AS (" + DIRTY_ORDERS_SQL + ")\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count, "
+    f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 2) AS null_pct FROM d"
+    for c in DIRTY_COLS))(profile_nulls)
+
+
+def profile_distinct(spark, root):
+    return Q.profile_distinct(dirty_orders(spark, root), DIRTY_COLS, count_null=True)
+
+
+register("profile_distinct", "WITH d AS (" + DIRTY_ORDERS_SQL + ")\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) "
+    f"AS n_distinct FROM d" for c in DIRTY_COLS))(profile_distinct)
+
+
+NUM_COLS = ["period", "sev1", "sev2"]
+
+
+def profile_numeric(spark, root):
+    return Q.profile_numeric(cleaned_orders(spark, root).withColumn("period", F.col("period").cast("double")),
+                             NUM_COLS)
+
+
+register("profile_numeric", "WITH d AS (" + CLEAN_SQL + ")\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, round(CAST(count({c}) AS DOUBLE), 6) AS count, round(avg({c}), 6) AS mean, "
+    f"round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, "
+    f"round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
+    f"round(quantile_cont({c}, 0.75), 6) AS p75, round(CAST(max({c}) AS DOUBLE), 6) AS max, "
+    f"round(CAST(count(*) FILTER (WHERE {c} < 0) AS DOUBLE), 6) AS negatives FROM d"
+    for c in NUM_COLS))(profile_numeric)
+
+
+TOP_COLS = ["entity_txt", "period_txt", "group_txt", "cat1_txt", "cat3_txt"]
+
+
+def profile_top10(spark, root):
+    return Q.profile_top_values(dirty_orders(spark, root), TOP_COLS, k=10)
+
+
+register("profile_top10", "WITH d AS (" + DIRTY_ORDERS_SQL + "),\nc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM d GROUP BY {c}"
+    for c in TOP_COLS) + """)
+SELECT "column", value, CAST(n AS BIGINT) AS n, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value ASC NULLS FIRST) AS rank FROM c) t
+WHERE rank <= 10""")(profile_top10)
+
+
+def profile_issues(spark, root):
+    d = dirty_orders(spark, root)
+    return Q.issue_counts(d, {
+        "null_entity": F.col("entity_txt").isNull(),
+        "bad_period": coerce_double("period_txt").isNull(),
+        "null_sev1": F.col("sev1_txt").isNull(),
+        "nonnumeric_sev1": F.col("sev1_txt").isNotNull() & coerce_double("sev1_txt").isNull(),
+        "sentinel_cat3": F.col("cat3_txt").isNotNull() & sentinel_to_null("cat3_txt").isNull(),
+        "zero_sev2": coerce_double("sev2_txt") == 0,
+        "nonzero_sev2": coerce_double("sev2_txt") != 0,
+    })
+
+
+register("profile_issues", f"""
+WITH d AS ({DIRTY_ORDERS_SQL})
+SELECT CAST(count(*) FILTER (WHERE entity_txt IS NULL) AS BIGINT) AS null_entity,
+       CAST(count(*) FILTER (WHERE TRY_CAST(period_txt AS DOUBLE) IS NULL) AS BIGINT) AS bad_period,
+       CAST(count(*) FILTER (WHERE sev1_txt IS NULL) AS BIGINT) AS null_sev1,
+       CAST(count(*) FILTER (WHERE sev1_txt IS NOT NULL AND TRY_CAST(sev1_txt AS DOUBLE) IS NULL) AS BIGINT) AS nonnumeric_sev1,
+       CAST(count(*) FILTER (WHERE cat3_txt IS NOT NULL AND lower(regexp_replace(cat3_txt, '^\\s+|\\s+$', '', 'g')) IN ('unknown', '')) AS BIGINT) AS sentinel_cat3,
+       CAST(count(*) FILTER (WHERE TRY_CAST(sev2_txt AS DOUBLE) = 0) AS BIGINT) AS zero_sev2,
+       CAST(count(*) FILTER (WHERE TRY_CAST(sev2_txt AS DOUBLE) <> 0) AS BIGINT) AS nonzero_sev2
+FROM d
+""")(profile_issues)
+
+
+def profile_issue_examples(spark, root):
+    d = dirty_orders(spark, root)
+    return Q.issue_examples(d, coerce_double("period_txt").isNull() & F.col("period_txt").isNotNull(),
+                            "period_txt", k=15)
+
+
+register("profile_issue_examples", f"""
+SELECT DISTINCT period_txt FROM ({DIRTY_ORDERS_SQL}) d
+WHERE period_txt IS NOT NULL AND TRY_CAST(period_txt AS DOUBLE) IS NULL ORDER BY period_txt LIMIT 15
+""")(profile_issue_examples)
+
+
+def duplicate_rows(spark, root):
+    d = dirty_orders(spark, root).select("entity_txt", "period_txt", "cat1_txt", "cat3_txt")
+    return Q.duplicate_rows(d)
+
+
+register("duplicate_rows", f"""
+SELECT CAST(COALESCE(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM (
+  SELECT count(*) AS n FROM ({DIRTY_ORDERS_SQL}) d GROUP BY entity_txt, period_txt, cat1_txt, cat3_txt) t
+""")(duplicate_rows)
+
+
+def period_range(spark, root):
+    return Q.period_range(dirty_orders(spark, root), "period_txt")
+
+
+register("period_range", f"""
+SELECT min(CAST(TRY_CAST(period_txt AS DOUBLE) AS BIGINT)) AS period_min,
+       max(CAST(TRY_CAST(period_txt AS DOUBLE) AS BIGINT)) AS period_max
+FROM ({DIRTY_ORDERS_SQL}) d
+""")(period_range)
+
+
+# --------------------------------------------------------------------------
+# pattern_scan over every line of every document
+# --------------------------------------------------------------------------
+
+def pattern_scan(spark, root):
+    docs = table(spark, root, "documents", ["doc_id", "text"])
+    return Q.pattern_scan(Q.split_lines(docs, "text", "doc_id"))
+
+
+def _scan_sql():
+    br = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+    parts = []
+    for kind, label, rx, skip in Q.SCAN_PATTERNS:
+        cond = f"regexp_matches(line, '{rx.replace(chr(39), chr(39) * 2)}')"
+        if skip:
+            cond += f" AND NOT contains(upper(line), '{skip}')"
+        parts.append(f"SELECT doc_id, line_no, '{kind}' AS type, '{label}' AS reason, "
+                     f"substring(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, 240) AS content "
+                     f"FROM lines WHERE {cond}")
+    return f"""
+WITH sp AS (SELECT doc_id, string_split_regex(regexp_replace(text, '({br})\\z', ''), '{br}') AS ls FROM documents),
+lines AS (SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line_no, unnest(ls) AS line FROM sp)
+""" + "\nUNION ALL\n".join(parts)
+
+
+register("pattern_scan", _scan_sql())(pattern_scan)
+
+
+def scan_gate(spark, root):
+    return Q.scan_gate(pattern_scan(spark, root))
+
+
+register("scan_gate", "WITH f AS (" + _scan_sql() + """)
+SELECT CAST(count(*) AS BIGINT) AS n_findings, count(*) > 0 AS blocked FROM f""")(scan_gate)
