@@ -331,7 +331,7 @@ _BUCKET_SQL = ("CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN 0 " +
 
 JOINED_SQL = f"""
 ev AS ({ORDER_EVENTS_SQL}),
-p AS (SELECT n_name, month_idx, count(*) AS n_events, sum(o_totalprice) AS amount FROM ev GROUP BY n_name, month_idx),
+p AS (SELECT n_name, month_idx, count(*) AS n_events, sum(o_totalprice) AS amount, min(r_name) AS r_name FROM ev GROUP BY n_name, month_idx),
 ship AS ({_SHIP_SQL}),
 cl AS (SELECT *, CASE WHEN l_quantity > 0 THEN 1 ELSE 0 END AS conflict, {_BUCKET_SQL.format(x='l_quantity')} AS lvl
        FROM ship WHERE l_returnflag = 'R' AND month_idx % 3 <> 0),
