@@ -80,7 +80,7 @@ def period_bounds(df: DataFrame, period: str):
 
 def grid(entities: DataFrame, entity: str, period: str, lo, hi) -> DataFrame:
     """J4 grid: every entity x every period in [lo, hi]."""
-    return entities.select(entity, F.explode(F.sequence(lo, hi)).alias(period))
+    return entities.select("*", F.explode(F.sequence(lo, hi)).alias(period))
 
 
 def ffill_bfill(c: str, entity, period: str, default=0.0) -> F.Column:

@@ -297,7 +297,8 @@ def supplier_series(spark, root):
 
 def price_series(spark, root):
     x = _ship_lines(spark, root).filter((F.col("l_linestatus") == "F") & (F.col("month_idx") % 4 != 1))
-    return x.groupBy("n_name", "month_idx").agg(F.avg("l_extendedprice").alias("avg_price"))
+    # rounded at the source: a mean of money amounts carries no meaning below 1e-6
+    return x.groupBy("n_name", "month_idx").agg(rnd(F.avg("l_extendedprice"), 6).alias("avg_price"))
 
 
 def joined_panel(spark, root):
@@ -340,7 +341,7 @@ c AS (SELECT n_name, month_idx, COALESCE(sum(l_quantity), 0) AS intensity, max(c
              max(lvl) AS conflict_level FROM cl GROUP BY n_name, month_idx),
 sc AS (SELECT n_name, month_idx, CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS supplier_count FROM ship
        WHERE (month_idx + s_nationkey) % 5 <> 0 GROUP BY n_name, month_idx),
-pr AS (SELECT n_name, month_idx, avg(l_extendedprice) AS avg_price FROM ship
+pr AS (SELECT n_name, month_idx, round(avg(l_extendedprice), 6) AS avg_price FROM ship
        WHERE l_linestatus = 'F' AND month_idx % 4 <> 1 GROUP BY n_name, month_idx),
 j AS (
 SELECT p.n_name, p.month_idx, CAST(p.n_events AS BIGINT) AS n_events, round(p.amount, 2) AS amount,
