@@ -55,11 +55,23 @@ def supervised_lag1(df: DataFrame, series: str, period: str, value: str) -> Data
               .select(series, period, "lag1", F.col(value).alias("y")))
 
 
-def hash_split(df: DataFrame, key: str, pct: int = 80, out: str = "is_train", salt: int = 42) -> DataFrame:
+# Integer scramble used for repeatable splits and samples
+# (prime modulus and multiplier keep every product inside 64 bits).
+SCRAMBLE_MOD = 1000003
+SCRAMBLE_MUL = 7919
+
+
+def scramble(key) -> F.Column:
+    """Deterministic integer scramble of a non-negative integer key,
+    reproducible in any SQL engine."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.pmod(F.pmod(k, F.lit(SCRAMBLE_MOD)) * F.lit(SCRAMBLE_MUL), F.lit(SCRAMBLE_MOD))
+
+
+def hash_split(df: DataFrame, key: str, pct: int = 80, out: str = "is_train") -> DataFrame:
     """Deterministic split by integer arithmetic on the key: the same
-    row always lands on the same side, under any partitioning."""
-    b = F.pmod(F.col(key) * F.lit(2654435761) + F.lit(salt), F.lit(100))
-    return df.withColumn(out, (b < pct).cast("long"))
+    row always lands on the same side, under any partitioning or retry."""
+    return df.withColumn(out, (F.pmod(scramble(key), F.lit(100)) < pct).cast("long"))
 
 
 def temporal_split(df: DataFrame, period: str, last_train, out: str = "is_train") -> DataFrame:
@@ -69,9 +81,8 @@ def temporal_split(df: DataFrame, period: str, last_train, out: str = "is_train"
 
 def stable_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """A repeatable sample of at most ``n`` rows: the ``n`` smallest
-    keys after a fixed integer scramble (a top-k, not a random draw)."""
-    h = F.pmod(F.col(key) * F.lit(2654435761) + F.lit(7), F.lit(4294967291))
-    return df.withColumn("__h", h).orderBy("__h", key).limit(n).drop("__h")
+    scrambled keys (a distributed top-k, not a random draw)."""
+    return df.withColumn("__h", scramble(key)).orderBy("__h", key).limit(n).drop("__h")
 
 
 def label_train_quantile(df: DataFrame, score: str, period: str, last_train, q: float = 0.75,
