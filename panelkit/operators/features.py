@@ -89,11 +89,13 @@ def label_train_quantile(df: DataFrame, score: str, period: str, last_train, q:
                          out: str = "label") -> DataFrame:
     """threshold = quantile ``q`` of the score on training rows only;
     label = score >= threshold (the threshold column is kept)."""
-    t = df.filter(F.col(period) <= last_train).agg(F.percentile(score, q).alias("threshold"))
+    from .stats import exact_quantiles
+    t = exact_quantiles(df.filter(F.col(period) <= last_train), score, {"threshold": q})
     return with_scalars(df, t).withColumn(out, flag(F.col(score) >= F.col("threshold")))
 
 
 def label_median(df: DataFrame, score: str, out: str = "label") -> DataFrame:
     """label = score > median of the observed rows."""
-    t = df.agg(F.median(score).alias("threshold"))
+    from .stats import exact_quantiles
+    t = exact_quantiles(df, score, {"threshold": 0.5})
     return with_scalars(df, t).withColumn(out, flag(F.col(score) > F.col("threshold")))

@@ -154,3 +154,31 @@ def with_chi2_p(stat: DataFrame, x: str = "chi2", df: str = "df") -> DataFrame:
 def with_f_p(stat: DataFrame) -> DataFrame:
     return stat.withColumn("p_value", f_pvalue(F.col("f_stat").cast("double"), F.col("df_between").cast("double"),
                                                F.col("df_within").cast("double")))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict, by=(), buckets: int = 256) -> DataFrame:
+    """Exact quantiles with linear interpolation (``quantile_cont``), for
+    groups of any size: positions come from the distributed average-rank
+    histogram instead of one in-memory value map per group (what
+    ``percentile`` keeps). ``probs = {out_col: p}``; one row per group."""
+    by = list(by)
+    r = average_rank(df, value, by, "__ar", buckets)
+    r = r.withColumn("__lo", F.col("__ar") - (F.col("n_ties") + 1) / 2.0) \
+         .withColumn("__hi", F.col("__lo") + F.col("n_ties") - 1)
+    tot = r.groupBy(*by).agg(F.sum("n_ties").alias("__N"))
+    x = r.join(tot, by) if by else with_scalars(r, tot)
+    aggs = []
+    for out, p in probs.items():
+        h = (F.col("__N") - 1) * F.lit(float(p))
+        i, j = F.floor(h), F.ceil(h)
+        x = x.withColumns({f"__h_{out}": h,
+                           f"__vi_{out}": F.when((F.col("__lo") <= i) & (i <= F.col("__hi")), F.col(value)),
+                           f"__vj_{out}": F.when((F.col("__lo") <= j) & (j <= F.col("__hi")), F.col(value))})
+        aggs += [F.max(f"__vi_{out}").alias(f"__vi_{out}"), F.max(f"__vj_{out}").alias(f"__vj_{out}"),
+                 F.first(f"__h_{out}").alias(f"__h_{out}")]
+    g = x.groupBy(*by).agg(*aggs)
+    outs = []
+    for out in probs:
+        vi, vj, h = F.col(f"__vi_{out}"), F.col(f"__vj_{out}"), F.col(f"__h_{out}")
+        outs.append((vi + (vj - vi) * (h - F.floor(h))).alias(out))
+    return g.select(*by, *outs)
