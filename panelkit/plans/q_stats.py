@@ -29,7 +29,8 @@ def corr_pearson(spark, root):
 
 
 _PEARSON_SQL = " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM j"
+    f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN isnan(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))) THEN NULL "
+    f"ELSE corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END, 6) AS r FROM j"
     for a, b in combinations(MEASURES, 2))
 register("corr_pearson", f"WITH {_J} {_PEARSON_SQL}")(corr_pearson)
 
@@ -44,7 +45,7 @@ def _avg_rank_sql(v, part=""):
 
 
 register("corr_spearman", f"WITH {_J} " + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(rx, ry), 6) AS rho FROM ("
+    f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN isnan(corr(rx, ry)) THEN NULL ELSE corr(rx, ry) END, 6) AS rho FROM ("
     f"SELECT {_avg_rank_sql('x')} AS rx, {_avg_rank_sql('y')} AS ry FROM ("
     f"SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM j WHERE {a} IS NOT NULL AND {b} IS NOT NULL) t) u"
     for a, b in combinations(MEASURES, 2)))(corr_spearman)
