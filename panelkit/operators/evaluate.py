@@ -31,16 +31,17 @@ def rmse_by(df: DataFrame, by, y: str, pred: str) -> DataFrame:
             .orderBy(F.col("rmse").desc(), *by)
 
 
-def binary_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
-    """Accuracy, precision, recall, F1 of the positive class; 0 when a
-    ratio is undefined (zero_division=0)."""
+def binary_metrics(df: DataFrame, y: str, pred: str, by=()) -> DataFrame:
+    """Accuracy, precision, recall, F1 of the positive class (per key of
+    ``by``); 0 when a ratio is undefined (zero_division=0)."""
     yy, pp = F.col(y) == 1, F.col(pred) == 1
-    s = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(yy & pp).alias("tp"), F.count_if(~yy & pp).alias("fp"),
-               F.count_if(yy & ~pp).alias("fn"), F.count_if(~yy & ~pp).alias("tn"))
+    s = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(yy & pp).alias("tp"),
+                            F.count_if(~yy & pp).alias("fp"), F.count_if(yy & ~pp).alias("fn"),
+                            F.count_if(~yy & ~pp).alias("tn"))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    return s.select("n", "tp", "fp", "fn", "tn",
+    return s.select(*by, "n", "tp", "fp", "fn", "tn",
                     F.try_divide(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
                     prec.alias("precision"), rec.alias("recall"), f1.alias("f1"))
 
@@ -50,17 +51,19 @@ def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
     return df.groupBy(y, pred).agg(F.count(F.lit(1)).alias("n"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, buckets: int = 256) -> DataFrame:
-    """E5: AUC by the rank-sum formula with average ranks; NULL with one class."""
+def roc_auc(df: DataFrame, y: str, score: str, by=(), buckets: int = 256) -> DataFrame:
+    """E5: AUC by the rank-sum formula with average ranks (per key of
+    ``by``); NULL with one class."""
+    by = list(by)
     d = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull()).select(
-        F.col(y).cast("int").alias("__y"), F.col(score).cast("double").alias("__s"))
-    r = average_rank(d, "__s", (), "__r", buckets).select("__s", "__r")
-    j = d.join(r, "__s")
-    s = j.agg(F.sum(F.when(F.col("__y") == 1, F.col("__r"))).alias("__rp"),
-              F.count_if(F.col("__y") == 1).alias("n_pos"), F.count_if(F.col("__y") != 1).alias("n_neg"))
+        *by, F.col(y).cast("int").alias("__y"), F.col(score).cast("double").alias("__s"))
+    r = average_rank(d, "__s", by, "__r", buckets).select(*by, "__s", "__r")
+    j = d.join(r, by + ["__s"])
+    s = j.groupBy(*by).agg(F.sum(F.when(F.col("__y") == 1, F.col("__r"))).alias("__rp"),
+                           F.count_if(F.col("__y") == 1).alias("n_pos"), F.count_if(F.col("__y") != 1).alias("n_neg"))
     p, n = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), (F.col("__rp") - p * (p + 1) / 2) / (p * n))
-    return s.select(auc.alias("auc"), "n_pos", "n_neg")
+    return s.select(*by, auc.alias("auc"), "n_pos", "n_neg")
 
 
 def cumulative_by_score(df: DataFrame, score: str, cols, buckets: int = 256) -> DataFrame:

@@ -1,0 +1,278 @@
+"""Catalogue, part 9: MLlib models (no SQL oracle; checked by unit tests
+and by orderings such as 'beats the majority baseline').
+
+* P2 (nation x month, balanced) carries the multi-horizon forecasts.
+* P1 (customer x year, balanced) carries classification, regression and
+  clustering, so the fitting work grows with the number of customers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.numeric import expm1_inverse, flag, log1p_target, rnd, weighted_score
+from ..operators import evaluate as EV
+from ..operators import features as FT
+from ..operators import models as MD
+from ..operators.describe import entity_profile
+from ..operators.joins import with_scalars
+from ..operators.panel import balance_panel
+from ..session import cut_lineage
+from .q_panel import FEATURES, dense_features
+from .registry import register
+from .roles import p1_panel
+from .q_stats import TRAIN_LAST_MONTH
+
+HORIZONS = (1, 5, 10)
+# Catalogue model sizes (the operators default to the
+# reference's larger settings).
+FOREST = {"trees": 60, "depth": 10, "min_leaf": 5}
+RIDGE_REG = 0.1
+
+
+def _horizon_fit(train, test, label, log_target: bool):
+    y = "__y"
+    tr = train.withColumn(y, log1p_target(label) if log_target else F.col(label).cast("double"))
+    rf = MD.forest_regressor(tr, y, **FOREST)
+    lr = MD.linear(tr, y, reg=RIDGE_REG)
+    upper = tr.agg(F.max(y).alias("__ymax"))
+    out = {}
+    for name, m in (("rf", rf), ("ridge", lr)):
+        p = m.transform(test)
+        if log_target:
+            p = with_scalars(p, upper).withColumn("prediction", expm1_inverse("prediction", F.col("__ymax")))
+        else:
+            p = p.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
+        out[name] = EV.rmse_r2(p, label, "prediction").select("rmse")
+    return out
+
+
+def direct_horizons(spark, root):
+    """M22 + M9 + M15 + M16 + E1: one model per horizon, train <= the last
+    training month, RMSE on later months, raw and log1p targets. The design
+    frame is checkpointed once; the six (horizon, target) fits run
+    concurrently."""
+    f = dense_features(spark, root)
+    _, x, _ = MD.design(f, FEATURES + ["month_idx"], ["region"])
+    x = cut_lineage(x.select("n_name", "month_idx", "features", *[f"y_plus{h}" for h in HORIZONS]))
+
+    def run(job):
+        h, log = job
+        lab = f"y_plus{h}"
+        d = x.filter(F.col(lab).isNotNull())
+        train, test = d.filter(F.col("month_idx") <= TRAIN_LAST_MONTH), d.filter(F.col("month_idx") > TRAIN_LAST_MONTH)
+        r = _horizon_fit(train, test, lab, log)
+        return h, log, r["rf"].first().rmse, r["ridge"].first().rmse, train.count(), test.count()
+
+    res = MD.parallel_fits(run, [(h, lg) for h in HORIZONS for lg in (False, True)])
+    by = {(h, lg): v for h, lg, *v in res}
+    rows = [(h, by[(h, False)][0], by[(h, False)][1], by[(h, True)][0], by[(h, True)][1],
+             by[(h, False)][2], by[(h, False)][3]) for h in HORIZONS]
+    return spark.createDataFrame(rows, "horizon int, rmse_rf double, rmse_ridge double, rmse_rf_log_target double, "
+                                       "rmse_ridge_log_target double, n_train long, n_test long")
+
+
+register("direct_horizons")(direct_horizons)
+
+
+def forward_forecast(spark, root):
+    """Deploy one forest per horizon on all labelled rows and forecast
+    every nation from its last month (fits run concurrently)."""
+    f = dense_features(spark, root)
+    _, x, _ = MD.design(f, FEATURES + ["month_idx"], ["region"])
+    x = cut_lineage(x.select("n_name", "month_idx", "features", *[f"y_plus{h}" for h in HORIZONS]))
+    anchor = x.agg(F.max("month_idx").alias("__a"))
+    last = with_scalars(x, anchor).filter(F.col("month_idx") == F.col("__a"))
+    models = MD.parallel_fits(
+        lambda h: MD.forest_regressor(x.filter(F.col(f"y_plus{h}").isNotNull()), f"y_plus{h}", **FOREST), HORIZONS)
+    out = None
+    for h, m in zip(HORIZONS, models):
+        p = m.transform(last).select("n_name", F.col("month_idx").alias("anchor"), F.lit(h).alias("horizon"),
+                                     (F.col("month_idx") + h).alias("forecast_period"),
+                                     rnd(F.greatest(F.col("prediction"), F.lit(0.0)), 4).alias("forecast"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+register("forward_forecast")(forward_forecast)
+
+
+# ---------------------------------------------------------------- P1 models
+
+P1_TRAIN_LAST_YEAR = 1999
+
+
+def p1_features(spark, root):
+    p = p1_panel(spark, root)
+    b = balance_panel(p, "c_custkey", "year", zero_cols=["n_events"], carry_cols=["amount", "qty"],
+                      attr={"region": "r_name"})
+    b = b.withColumn("risk_score", weighted_score("n_events", "qty"))
+    return FT.add_panel_features(b, "c_custkey", "year", "n_events",
+                                 covariates={"qty_lag1": "qty", "amount_lag1": "amount", "risk_lag1": "risk_score"},
+                                 logs={"log_amount_lag1": "amount_lag1"}, horizons=(1,))
+
+
+P1_FEATURES = ["n_events_lag1", "n_events_lag2", "n_events_roll3", "qty_lag1", "log_amount_lag1", "risk_lag1", "year"]
+
+
+def _labelled(spark, root):
+    """Customer-year design frame, label from the training years' q75;
+    checkpointed so every MLlib pass reads it instead of recomputing the
+    windows and quantiles behind it."""
+    f = p1_features(spark, root)
+    f = FT.label_train_quantile(f, "risk_score", "year", P1_TRAIN_LAST_YEAR, 0.75, out="high_risk")
+    f = f.withColumn("high_risk", F.col("high_risk").cast("double"))
+    scaled = MD.standardize(f, P1_FEATURES, fit_on=f.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), suffix="_z")
+    _, x, names = MD.design(scaled, [c + "_z" for c in P1_FEATURES], ["region"], drop_first=False)
+    x = MD.balanced_weights(x.select("c_custkey", "year", "region", "high_risk", "features"), "high_risk")
+    return cut_lineage(x), [n[:-2] if n.endswith("_z") else n for n in names]
+
+
+def classifier_metrics(spark, root):
+    """E10 + E4 + E5 + E7 + M17-M21 + U1: temporal evaluation of the
+    majority baseline, logistic regression, a tree and a forest (with the
+    F1-tuned threshold and isotonic calibration) on the customer panel.
+    All test predictions go into one frame; metrics are grouped by model."""
+    x, _ = _labelled(spark, root)
+    train, test = x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), x.filter(F.col("year") > P1_TRAIN_LAST_YEAR)
+    builders = {"logistic": lambda: MD.logistic(train, "high_risk"), "tree": lambda: MD.tree(train, "high_risk"),
+                "forest": lambda: MD.forest_classifier(train, "high_risk", trees=FOREST["trees"], depth=FOREST["depth"])}
+    fits = dict(zip(builders, MD.parallel_fits(lambda b: b(), builders.values())))
+    keep = ["c_custkey", "year", "high_risk"]
+    maj = MD.majority(train, "high_risk")
+    preds = [with_scalars(test, maj).select(F.lit("majority").alias("model"), *keep,
+                                            F.lit(None).cast("double").alias("proba"), F.col("majority").alias("pred"),
+                                            F.lit(None).cast("double").alias("threshold"))]
+    for name, m in fits.items():
+        p = MD.positive_probability(m.transform(test))
+        preds.append(p.select(F.lit(name).alias("model"), *keep, "proba", F.col("prediction").alias("pred"),
+                              F.lit(None).cast("double").alias("threshold")))
+    rf = fits["forest"]
+    tr_scored = MD.positive_probability(rf.transform(train))
+    t = EV.best_f1_threshold(tr_scored, "high_risk", "proba").first().threshold  # one scalar
+    pt = MD.positive_probability(rf.transform(test))
+    preds.append(pt.select(F.lit("forest_tuned").alias("model"), *keep, "proba",
+                           (F.col("proba") >= t).cast("double").alias("pred"), F.lit(t).alias("threshold")))
+    folds = tr_scored.withColumn("__fold", F.pmod(F.col("c_custkey"), F.lit(3)))
+    cal = MD.isotonic_calibrate(folds, "proba", "high_risk", 3)
+    pc = MD.apply_calibration(pt, cal, "proba", "proba_cal")
+    preds.append(pc.select(F.lit("forest_calibrated").alias("model"), *keep, F.col("proba_cal").alias("proba"),
+                           (F.col("proba_cal") >= 0.5).cast("double").alias("pred"), F.lit(0.5).alias("threshold")))
+    allp = preds[0]
+    for p in preds[1:]:
+        allp = allp.unionByName(p)
+    allp = cut_lineage(allp)
+    m = EV.binary_metrics(allp, "high_risk", "pred", by=["model"])
+    a = EV.roc_auc(allp, "high_risk", "proba", by=["model"])
+    th = allp.groupBy("model").agg(F.first("threshold", True).alias("threshold"))
+    res = m.join(a, "model", "left").join(th, "model")
+    return res.select("model", *[rnd(c, 6).alias(c) for c in ["accuracy", "precision", "recall", "f1", "auc"]],
+                      "threshold")
+
+
+register("classifier_metrics")(classifier_metrics)
+
+
+def feature_importance(spark, root):
+    """Forest importances with feature names, ranked."""
+    x, names = _labelled(spark, root)
+    rf = MD.forest_classifier(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk",
+                              trees=FOREST["trees"], depth=FOREST["depth"])
+    return MD.importance_table(spark, names, rf.featureImportances)
+
+
+register("feature_importance")(feature_importance)
+
+
+def group_risk_rank(spark, root):
+    """A22 + W14: mean predicted probability of high risk per region on the
+    test years, ranked 1..n (one row per region)."""
+    x, _ = _labelled(spark, root)
+    rf = MD.forest_classifier(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk",
+                              trees=FOREST["trees"], depth=FOREST["depth"])
+    p = MD.positive_probability(rf.transform(x.filter(F.col("year") > P1_TRAIN_LAST_YEAR)))
+    g = p.groupBy("region").agg(rnd(F.avg("proba"), 6).alias("mean_proba_high"))
+    from ..operators.windows import dense_position
+    return dense_position(g, [F.col("mean_proba_high").desc(), F.col("region")])
+
+
+register("group_risk_rank")(group_risk_rank)
+
+
+def driver_regression(spark, root):
+    """M14 + O6: standardised least squares of the yearly order count on
+    same-year severity measures plus region dummies; coefficients ranked."""
+    p = p1_panel(spark, root).withColumn("n_events", F.col("n_events").cast("double"))
+    cols = ["amount", "qty", "year"]
+    s = MD.standardize(p, cols)
+    _, x, names = MD.design(s, cols, ["r_name"], drop_first=True)
+    m = MD.linear(x, "n_events")
+    return MD.coefficient_table(spark, names, m.coefficients.toArray())
+
+
+register("driver_regression")(driver_regression)
+
+
+def regression_models(spark, root):
+    """M10 + M11 + M12 + M28 + E1: 80/20 hash split of customer-years; least
+    squares on three feature sets, a degree-2 polynomial and boosted trees
+    (raw and log1p target); R2 and RMSE on both sides. Fits run
+    concurrently on one checkpointed frame."""
+    p = p1_panel(spark, root).withColumn("n_events", F.col("n_events").cast("double"))
+    p = FT.hash_split(p, "c_custkey", 80)
+    s = MD.standardize(p, ["amount", "qty", "year"], fit_on=p.filter("is_train = 1"), suffix="_z")
+    s = cut_lineage(s.select("c_custkey", "is_train", "n_events", "amount_z", "qty_z", "year_z", "r_name"))
+    designs = {"ols_severity": (["amount_z", "qty_z"], []), "ols_severity_period": (["amount_z", "qty_z", "year_z"], []),
+               "grouped": (["amount_z", "qty_z", "year_z"], ["r_name"])}
+    frames = {k: MD.design(s, num, cat)[1] for k, (num, cat) in designs.items()}
+    specs = [("ols_severity", "ols_severity", lambda d: MD.linear(d, "n_events"), False),
+             ("ols_severity_period", "ols_severity_period", lambda d: MD.linear(d, "n_events"), False),
+             ("ols_severity_period_group", "grouped", lambda d: MD.linear(d, "n_events"), False),
+             ("poly2", "grouped", lambda d: MD.poly2(d, "n_events"), False),
+             ("gbt", "grouped", lambda d: MD.gbt(d, "n_events", max_iter=40, depth=5, step=0.1), False),
+             ("gbt_log", "grouped", lambda d: MD.gbt(d.withColumn("__ly", F.log1p("n_events")), "__ly",
+                                                     max_iter=40, depth=5, step=0.1), True)]
+
+    def run(spec):
+        name, frame, fit, log = spec
+        data = frames[frame]
+        pr = fit(data.filter("is_train = 1")).transform(data)
+        if log:
+            pr = pr.withColumn("prediction", F.greatest(F.expm1("prediction"), F.lit(0.0)))
+        rows = []
+        for part, flagv in (("train", 1), ("test", 0)):
+            e = EV.rmse_r2(pr.filter(F.col("is_train") == flagv), "n_events", "prediction").first()
+            rows.append((name, part, e.rmse, e.r2, e.n))
+        return rows
+
+    rows = [r for rs in MD.parallel_fits(run, specs) for r in rs]
+    out = spark.createDataFrame(rows, "model string, split string, rmse double, r2 double, n long")
+    return out.select("model", "split", rnd("rmse", 6).alias("rmse"), rnd("r2", 6).alias("r2"), "n")
+
+
+register("regression_models")(regression_models)
+
+
+def _profiles(spark, root):
+    e = entity_profile(p1_panel(spark, root), "c_custkey", "year", "n_events", "amount", 3)
+    s = MD.standardize(e, ["mean_count", "mean_severity", "count_slope"])
+    _, x, _ = MD.design(s, ["mean_count", "mean_severity", "count_slope"])
+    return x
+
+
+def kmeans(spark, root):
+    """k = 4 on scaled customer profiles, best of 10 seeds."""
+    x = cut_lineage(_profiles(spark, root).select("c_custkey", "features"))
+    m = MD.kmeans_best(x, 4, restarts=10)
+    return m.transform(x).select("c_custkey", "cluster")
+
+
+register("kmeans")(kmeans)
+
+
+def elbow(spark, root):
+    """Inertia for k = 2..10 (10 seeds each)."""
+    x = cut_lineage(_profiles(spark, root).select("features"))
+    return MD.elbow(spark, x, range(2, 11), restarts=10)
+
+
+register("elbow")(elbow)
