@@ -14,7 +14,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,37 +100,53 @@ def naive_backtest(sup: DataFrame, series: str, period: str, y: str, horizons=(1
 ALPHAS = np.logspace(-3, 6, 30)
 
 
-def _ridge_loo_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per (series, anchor): standardise (lag1, t), pick the ridge penalty
-    with the smallest leave-one-out squared error (closed form with the hat
-    matrix), return raw-scale coefficients."""
-    key = pdf[["series", "anchor"]].iloc[:1].reset_index(drop=True)
-    X = pdf[["lag1", "t"]].to_numpy(float)
-    y = pdf["y"].to_numpy(float)
-    n = len(y)
-    if n < 5:
-        return key.assign(b0=np.nan, b1=np.nan, b2=np.nan, alpha=np.nan, n=n)
-    mu, sd = X.mean(0), X.std(0)
-    sd[sd == 0] = 1.0
-    Z = (X - mu) / sd
-    ym = y.mean()
-    yc = y - ym
-    G = Z.T @ Z
-    best = (np.inf, None, None)
-    for a in ALPHAS:
-        inv = np.linalg.inv(G + a * np.eye(2))
-        w = inv @ Z.T @ yc
-        resid = yc - Z @ w
-        h = 1.0 / n + np.einsum("ij,jk,ik->i", Z, inv, Z)
-        err = np.mean((resid / (1 - h)) ** 2)
-        if err < best[0]:
-            best = (err, a, w)
-    _, a, w = best
-    b = w / sd
-    return key.assign(b0=ym - float(b @ mu), b1=float(b[0]), b2=float(b[1]), alpha=float(a), n=n)
-
-
-FIT_SCHEMA = "series string, anchor bigint, b0 double, b1 double, b2 double, alpha double, n long"
+def ridge_loo_fits(tr: DataFrame, keys, y: str = "y", x1: str = "lag1", x2: str = "t",
+                   alphas=ALPHAS) -> DataFrame:
+    """Per key: ridge on standardised (x1, x2) with an unpenalised intercept,
+    the penalty chosen by leave-one-out squared error, coefficients on the
+    raw scale: (keys..., b0, b1, b2, alpha, n).
+
+    All JVM-side: covariance aggregates give the 2 x 2 Gram matrix; each
+    training row is repeated once per penalty (``explode`` of the fixed
+    list) to get its leave-one-out residual e_i / (1 - h_i); the penalty
+    with the smallest mean error (smallest penalty on ties) is kept. Keys
+    with fewer than 5 rows get no fit."""
+    keys = list(keys)
+    st = tr.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x1).alias("m1"), F.avg(x2).alias("m2"), F.avg(y).alias("my"),
+        F.stddev_pop(x1).alias("sd1"), F.stddev_pop(x2).alias("sd2"), F.covar_pop(x1, x2).alias("c12"),
+        F.covar_pop(x1, y).alias("c1y"), F.covar_pop(x2, y).alias("c2y")).filter(F.col("n") >= 5)
+    st = st.withColumns({"sd1": F.when(F.col("sd1") > 0, F.col("sd1")).otherwise(1.0),
+                         "sd2": F.when(F.col("sd2") > 0, F.col("sd2")).otherwise(1.0)})
+    n = F.col("n").cast("double")
+    # Gram matrix and cross products of the standardised, centred design
+    st = st.withColumns({
+        "g12": n * F.col("c12") / (F.col("sd1") * F.col("sd2")),
+        "r1": n * F.col("c1y") / F.col("sd1"), "r2": n * F.col("c2y") / F.col("sd2")})
+    rows = tr.join(st, keys)
+    rows = rows.withColumns({"z1": (F.col(x1) - F.col("m1")) / F.col("sd1"),
+                             "z2": (F.col(x2) - F.col("m2")) / F.col("sd2"),
+                             "yc": F.col(y) - F.col("my")})
+    # sum z1^2 and sum z2^2 are n (or 0 for a constant column): recompute exactly
+    g = rows.groupBy(*keys).agg(F.sum(F.col("z1") * F.col("z1")).alias("g11"),
+                                F.sum(F.col("z2") * F.col("z2")).alias("g22"))
+    rows = rows.join(g, keys).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    al = F.col("alpha")
+    det = (F.col("g11") + al) * (F.col("g22") + al) - F.col("g12") * F.col("g12")
+    i11, i22, i12 = (F.col("g22") + al) / det, (F.col("g11") + al) / det, -F.col("g12") / det
+    w1 = i11 * F.col("r1") + i12 * F.col("r2")
+    w2 = i12 * F.col("r1") + i22 * F.col("r2")
+    z1, z2 = F.col("z1"), F.col("z2")
+    resid = F.col("yc") - w1 * z1 - w2 * z2
+    h = 1.0 / n + i11 * z1 * z1 + 2 * i12 * z1 * z2 + i22 * z2 * z2
+    e = rows.withColumns({"w1": w1, "w2": w2, "loo": F.pow(resid / (1 - h), 2)})
+    per = e.groupBy(*keys, "alpha").agg(F.avg("loo").alias("err"), F.first("w1").alias("w1"),
+                                        F.first("w2").alias("w2"))
+    best = per.groupBy(*keys).agg(F.min_by(F.struct("alpha", "w1", "w2"), F.struct("err", "alpha")).alias("b"))
+    out = best.join(st.select(*keys, "n", "m1", "m2", "my", "sd1", "sd2"), keys)
+    b1, b2 = F.col("b.w1") / F.col("sd1"), F.col("b.w2") / F.col("sd2")
+    return out.select(*keys, (F.col("my") - b1 * F.col("m1") - b2 * F.col("m2")).alias("b0"),
+                      b1.alias("b1"), b2.alias("b2"), F.col("b.alpha").alias("alpha"), "n")
 
 
 def ridge_backtest(sup: DataFrame, series: str, period: str, horizons=(1, 5, 10),
@@ -141,7 +156,7 @@ def ridge_backtest(sup: DataFrame, series: str, period: str, horizons=(1, 5, 10)
     s = sup.select(F.col(series).cast("string").alias("series"), F.col(period).cast("bigint").alias("t"),
                    F.col("lag1").cast("double").alias("lag1"), F.col("y").cast("double").alias("y"))
     tr = with_anchors(s, "series", "t", first_anchor_offset, min_train_offset).select("series", "anchor", "lag1", "t", "y")
-    fits = tr.groupBy("series", "anchor").applyInPandas(_ridge_loo_fit, FIT_SCHEMA).filter(F.col("b0").isNotNull())
+    fits = ridge_loo_fits(tr, ["series", "anchor"])
     at = s.select("series", F.col("t").alias("anchor"), F.col("y").alias("y0"))
     x = fits.join(at, ["series", "anchor"]).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     x = x.withColumn("pred", iterate_linear("b0", "b1", "b2", "y0", "anchor", F.col("horizon").cast("int")))

@@ -191,20 +191,53 @@ def split_lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
               .select(id_col, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line"))
 
 
+# Necessary literals per pattern: a line can only match if, for every group,
+# it contains one of the group's fragments (case-folded where the pattern is
+# case-insensitive). Checked before the regex; results are unchanged.
+PREFILTERS = {
+    "aws_access_key": (False, [["AKIA"]]),
+    "google_api_key": (False, [["AIza"]]),
+    "github_pat": (False, [["ghp_"]]),
+    "private_key": (False, [["PRIVATE KEY-----"]]),
+    "DROP TABLE": (True, [["drop"], ["table"]]),
+    "DELETE FROM without WHERE": (True, [["delete"], ["from"]]),
+    "auth middleware disable/bypass": (True, [["disable", "bypass"], ["auth", "middleware"]]),
+    "iam wildcard permissions": (True, [['"action"', '"resource"']]),
+    "logging headers/cookies/tokens": (True, [["print", "log"], ["header", "cookie", "token", "authorization"]]),
+    "token_assignment": (True, [["token"]]),
+    "email_address": (False, [["@"]]),
+}
+
+
+def _prefilter(label: str):
+    if label not in PREFILTERS:
+        return F.lit(True)
+    folded, groups = PREFILTERS[label]
+    src = F.col("__lc") if folded else F.col("line")
+    cond = F.lit(True)
+    for g in groups:
+        any_of = F.lit(False)
+        for frag in g:
+            any_of = any_of | src.contains(frag)
+        cond = cond & any_of
+    return cond
+
+
 def pattern_scan(lines: DataFrame, patterns=SCAN_PATTERNS, content_width: int = 240) -> DataFrame:
     """Q8: every (line, pattern) hit as (type, reason, content).
 
     The pattern list is fixed at plan time, so each pattern is a literal
-    ``rlike`` (compiled once per task) inside one projection; hits are an
-    array of structs that is filtered and exploded - no join, no per-row
-    Python."""
+    ``rlike`` (compiled once per task) inside one projection, guarded by a
+    cheap ``contains`` check on its necessary literals; hits are an array of
+    structs that is filtered and exploded - no join, no per-row Python."""
     hits = F.array(*[
-        F.when(F.col("line").rlike(rx) & (F.lit(True) if skip is None
-                                          else ~F.upper(F.col("line")).contains(skip)),
+        F.when(_prefilter(label) & F.col("line").rlike(rx) &
+               (F.lit(True) if skip is None else ~F.upper(F.col("line")).contains(skip)),
                F.struct(F.lit(kind).alias("type"), F.lit(label).alias("reason")))
         for kind, label, rx, skip in patterns])
     keep = [c for c in lines.columns if c != "line"]
-    return (lines.select(*keep, F.col("line"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    return (lines.withColumn("__lc", F.lower("line"))
+                 .select(*keep, F.col("line"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
                  .select(*keep, "h.type", "h.reason", cut("line", content_width).alias("content")))
 
 

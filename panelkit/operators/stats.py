@@ -58,14 +58,11 @@ def average_rank(df: DataFrame, value: str, by=(), out: str = "avg_rank", bucket
 def spearman_pairs(df: DataFrame, cols, buckets: int = 256) -> DataFrame:
     """Spearman rho per pair: rows complete on the pair are ranked (per
     pair), then Pearson on the ranks."""
-    parts = []
-    for i, (a, b) in enumerate(_pairs(cols)):
-        parts.append(df.select(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"),
+    # one pass over the input: each row yields one (pair, x, y) row per pair
+    pairs = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"),
                                F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                       .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+                      for i, (a, b) in enumerate(_pairs(cols))])
+    long = (df.select(F.inline(pairs)).filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
     rx = average_rank(long, "x", ["pair"], "rx", buckets).drop("n_ties")
     ry = average_rank(long, "y", ["pair"], "ry", buckets).drop("n_ties")
     ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])

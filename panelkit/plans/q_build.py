@@ -11,6 +11,7 @@ from ..operators import clean
 from ..operators.harmonize import apply_mapping
 from ..operators.panel import event_panel, first_non_null, left_join_chain
 from ..operators.quality import panel_diagnostics
+from ..session import cut_lineage
 from ..sources.readers import load_mapping, table
 from .registry import register
 from .roles import ORDER_EVENTS_SQL, order_events, p1_panel, p2_panel, supply_series, month_index
@@ -306,9 +307,10 @@ def joined_panel(spark, root):
     j = left_join_chain(p, ["n_name", "month_idx"],
                         [conflict_series(spark, root), supplier_series(spark, root), price_series(spark, root)])
     j = clean.fill_constant(j, {"conflict": 0, "conflict_level": 0, "intensity": 0.0})
-    return clean.presence_flags(j, {"has_conflict_data": "conflict_region",
-                                    "has_supplier_data": "supplier_count",
-                                    "has_price_data": "avg_price"})
+    j = clean.presence_flags(j, {"has_conflict_data": "conflict_region",
+                                 "has_supplier_data": "supplier_count",
+                                 "has_price_data": "avg_price"})
+    return cut_lineage(j)
 
 
 def panel_join_flags(spark, root):

@@ -64,15 +64,23 @@ def _ridge_bruteforce(X, y, alphas):
     return best[1]
 
 
-def test_ridge_loo_choice_matches_bruteforce():
-    import pandas as pd
+def test_ridge_loo_choice_matches_bruteforce(spark):
     rng = np.random.default_rng(5)
     t = np.arange(30, dtype=float)
     lag = 100 + 5 * t + rng.normal(0, 20, t.size)
     y = 0.5 * lag + 3 * t + rng.normal(0, 10, t.size)
-    pdf = pd.DataFrame({"series": "s", "anchor": 99, "lag1": lag, "t": t, "y": y})
-    fit = FC._ridge_loo_fit(pdf).iloc[0]
-    assert fit["alpha"] == _ridge_bruteforce(np.column_stack([lag, t]), y, FC.ALPHAS)
+    df = spark.createDataFrame([("s", 99, float(a), float(b), float(c)) for a, b, c in zip(lag, t, y)],
+                               "series string, anchor long, lag1 double, t double, y double")
+    fit = FC.ridge_loo_fits(df, ["series", "anchor"]).first()
+    X = np.column_stack([lag, t])
+    alpha = _ridge_bruteforce(X, y, FC.ALPHAS)
+    assert fit.alpha == pytest.approx(alpha)
+    mu, sd = X.mean(0), X.std(0)
+    Z = (X - mu) / sd
+    Zc, yc = Z - Z.mean(0), y - y.mean()
+    w = np.linalg.solve(Zc.T @ Zc + alpha * np.eye(2), Zc.T @ yc) / sd
+    assert [fit.b1, fit.b2] == pytest.approx(list(w), rel=1e-8)
+    assert fit.b0 == pytest.approx(y.mean() - w @ mu, rel=1e-8)
 
 
 def test_backtest_runs_and_counts_anchors(spark):
