@@ -7,7 +7,7 @@ every row into a single task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rnd
@@ -32,6 +32,19 @@ def top_k(df: DataFrame, order, k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def top_k_per_group(df: DataFrame, group, order, k: int, out: str = "rank") -> DataFrame:
+    """Exact top-k rows per group without sending a whole group to one task:
+    first the top k inside each (group, input partition) - every global
+    top-k row is among them - then the top k of those survivors (at most
+    k x partitions rows per group). ``order`` must be a total order."""
+    group = [group] if isinstance(group, str) else list(group)
+    x = df.withColumn("__pid", F.spark_partition_id())
+    local = Window.partitionBy(*group, "__pid").orderBy(*order)
+    x = x.withColumn("__r", F.row_number().over(local)).filter(F.col("__r") <= k).drop("__r", "__pid")
+    glob = Window.partitionBy(*group).orderBy(*order)
+    return x.withColumn(out, F.row_number().over(glob)).filter(F.col(out) <= k)
+
+
 def share_of_total(df: DataFrame, by, value: str, places: int = 1) -> DataFrame:
     """Per-key total and its percent share of the grand total."""
     by = [by] if isinstance(by, str) else list(by)
@@ -48,21 +61,27 @@ def frequency(df: DataFrame, col: str) -> DataFrame:
 
 
 def summary_stats(df: DataFrame, cols, places: int = 6) -> DataFrame:
-    """Mean, median, sample std, min, max per column (long form)."""
+    """Mean, median, sample std, min, max per column (long form); the
+    median is exact and distributed."""
     from .quality import _stack
-    m = {"mean": F.avg, "median": F.median, "std": F.stddev_samp,
+    from .stats import column_quantiles
+    m = {"mean": F.avg, "std": F.stddev_samp,
          "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")}
-    a = df.agg(*[fn(c).alias(f"{c}__{k}") for c in cols for k, fn in m.items()])
-    return _stack(a, cols, list(m)).select("column", *[rnd(k, places).alias(k) for k in m])
+    a = _stack(df.agg(*[fn(c).alias(f"{c}__{k}") for c in cols for k, fn in m.items()]), cols, list(m))
+    a = a.join(column_quantiles(df, cols, {"median": 0.5}), "column", "left")
+    return a.select("column", *[rnd(k, places).alias(k) for k in ["mean", "median", "std", "min", "max"]])
 
 
 def driver_table(df: DataFrame, group: str, y: str, level: str, places: int = 6) -> DataFrame:
     """Per group n, mean and median of ``y``, mean ``level`` and the
-    group's share of rows (percent)."""
+    group's share of rows (percent). Medians are exact and distributed."""
+    from .stats import exact_quantiles
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_y"),
-                              F.median(y).alias("median_y"), F.avg(level).alias("mean_level"))
+                              F.avg(level).alias("mean_level"))
+    med = exact_quantiles(df.filter(F.col(group).isNotNull()).withColumn("__y", F.col(y).cast("double")),
+                          "__y", {"median_y": 0.5}, by=[group])
     tot = df.agg(F.count(F.lit(1)).alias("__n"))
-    return (with_scalars(g, tot)
+    return (with_scalars(g.join(med, group, "left"), tot)
             .select(group, "n", rnd("mean_y", places).alias("mean_y"), rnd("median_y", places).alias("median_y"),
                     rnd("mean_level", places).alias("mean_level"),
                     rnd(F.col("n") * 100.0 / F.col("__n"), places).alias("share_pct")))

@@ -53,21 +53,23 @@ def profile_distinct(df: DataFrame, cols=None, count_null: bool = True) -> DataF
 
 
 def profile_numeric(df: DataFrame, cols) -> DataFrame:
-    """Q4: count, mean, std (n-1), min, quartiles, max and negatives."""
+    """Q4: count, mean, std (n-1), min, quartiles, max and negatives. The
+    quartiles are exact and distributed (no per-column value map)."""
+    from .stats import column_quantiles
     metrics = {
         "count": lambda c: F.count(c).cast("double"),
         "mean": lambda c: F.avg(c),
         "std": lambda c: F.stddev_samp(c),
         "min": lambda c: F.min(c).cast("double"),
-        "p25": lambda c: F.percentile(c, 0.25),
-        "p50": lambda c: F.percentile(c, 0.5),
-        "p75": lambda c: F.percentile(c, 0.75),
         "max": lambda c: F.max(c).cast("double"),
         "negatives": lambda c: F.count_if(F.col(c) < 0).cast("double"),
     }
     aggs = [fn(c).alias(f"{c}__{m}") for c in cols for m, fn in metrics.items()]
-    long = _stack(df.agg(*aggs), cols, {m: None for m in metrics})
-    return long.select("column", *[rnd(m, 6).alias(m) for m in metrics])
+    long = _stack(df.agg(*aggs), cols, list(metrics))
+    q = column_quantiles(df, cols, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    out = long.join(q, "column", "left")
+    order = ["count", "mean", "std", "min", "p25", "p50", "p75", "max", "negatives"]
+    return out.select("column", *[rnd(m, 6).alias(m) for m in order])
 
 
 def profile_top_values(df: DataFrame, cols, k: int = 10) -> DataFrame:
@@ -77,8 +79,8 @@ def profile_top_values(df: DataFrame, cols, k: int = 10) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("s")
     ).select("s.column", "s.value")
     cnt = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_first())
-    return cnt.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    from .describe import top_k_per_group
+    return top_k_per_group(cnt, "column", [F.col("n").desc(), F.col("value").asc_nulls_first()], k)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

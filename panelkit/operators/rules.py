@@ -29,7 +29,7 @@ def derive_rule_features(df: DataFrame, entity: str, period: str, count: str, se
     d = with_scalars(d, q25).withColumn("low_flag", flag(F.col(covariate) < F.col("__q25"))).drop("__q25")
     d = d.withColumn("risk_score", weighted_score(count, severity))
     means = d.filter(F.col(period) <= last_train_period).groupBy(group).agg(F.avg("risk_score").alias("group_mean"))
-    q = means.agg(F.percentile("group_mean", 0.5).alias("__q50"), F.percentile("group_mean", 0.75).alias("__q75"))
+    q = exact_quantiles(means, "group_mean", {"__q50": 0.5, "__q75": 0.75})
     t = with_scalars(means, q).select(group, "group_mean",
                                       tier("group_mean", F.col("__q50"), F.col("__q75")).alias("tier"))
     # a group without training rows has mean 0 (dictionary default), then the same cuts

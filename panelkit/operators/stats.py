@@ -179,3 +179,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict, by=(), buckets: int
         vi, vj, h = F.col(f"__vi_{out}"), F.col(f"__vj_{out}"), F.col(f"__h_{out}")
         outs.append((vi + (vj - vi) * (h - F.floor(h))).alias(out))
     return g.select(*by, *outs)
+
+
+def column_quantiles(df: DataFrame, cols, probs: dict, buckets: int = 256) -> DataFrame:
+    """Exact quantiles of several columns at once: the columns are stacked
+    into (column, value) rows and ``exact_quantiles`` runs per column."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                        for c in cols])))
+    return exact_quantiles(long.filter(F.col("value").isNotNull()), "value", probs, by=["column"], buckets=buckets)

@@ -11,6 +11,7 @@ from ..operators import clean
 from ..operators.harmonize import apply_mapping
 from ..operators.panel import event_panel, first_non_null, left_join_chain
 from ..operators.quality import panel_diagnostics
+from ..operators.stats import exact_quantiles
 from ..session import cut_lineage
 from ..sources.readers import load_mapping, table
 from .registry import register
@@ -430,7 +431,7 @@ def region_tiers(panel, group: str, score: str, period: str, last_train_period):
     quantile aggregate is attached with a broadcast, no driver round trip)."""
     means = (panel.filter(F.col(period) <= last_train_period)
                   .groupBy(group).agg(F.avg(score).alias("group_mean")))
-    q = means.agg(F.percentile("group_mean", 0.5).alias("q50"), F.percentile("group_mean", 0.75).alias("q75"))
+    q = exact_quantiles(means, "group_mean", {"q50": 0.5, "q75": 0.75})
     groups = panel.select(group).distinct().join(means, group, "left")
     return with_scalars(groups, q).withColumn("tier", tier("group_mean", F.col("q50"), F.col("q75")))
 
