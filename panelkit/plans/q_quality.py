@@ -159,3 +159,74 @@ def scan_gate(spark, root):
 
 register("scan_gate", "WITH f AS (" + _scan_sql() + """)
 SELECT CAST(count(*) AS BIGINT) AS n_findings, count(*) > 0 AS blocked FROM f""")(scan_gate)
+
+
+# --------------------------------------------------------------------------
+# filter report (P14), schema table (Q1), contract (Q7), content hashes
+# --------------------------------------------------------------------------
+
+from ..functions.hashing import sha256_hex  # noqa: E402
+from ..functions.text import strip_ws  # noqa: E402
+from ..operators.clean import filter_with_report  # noqa: E402
+from .roles import ORDER_EVENTS_SQL, p1_panel  # noqa: E402
+
+
+def filter_report(spark, root):
+    d = dirty_orders(spark, root).withColumn("entity", strip_ws("entity_txt"))
+    _, report = filter_with_report(d, coerce_double("sev1_txt").isNotNull(), "entity")
+    return report
+
+
+register("filter_report", f"""
+WITH d AS ({DIRTY_ORDERS_SQL})
+SELECT CAST(count(*) AS BIGINT) AS rows_before,
+       CAST(count(*) FILTER (WHERE TRY_CAST(sev1_txt AS DOUBLE) IS NULL) AS BIGINT) AS rows_removed,
+       CAST(count(DISTINCT CASE WHEN TRY_CAST(sev1_txt AS DOUBLE) IS NULL
+                                THEN regexp_replace(entity_txt, '^\\s+|\\s+$', '', 'g') END) AS BIGINT) AS entities_touched
+FROM d""")(filter_report)
+
+
+def schema_table(spark, root):
+    return Q.schema_table(spark, table(spark, root, "orders"))
+
+
+register("schema_table")(schema_table)
+
+# The panel contract (column order, required columns, type families).
+PANEL_CONTRACT = {
+    "columns": ["c_custkey", "year", "r_name", "n_events", "amount", "qty", "cat1_mode", "cat2_mode", "cat3_mode"],
+    "required": ["c_custkey", "year", "n_events", "amount", "qty"],
+    "types": {"c_custkey": "long", "year": "long", "r_name": "string", "n_events": "long", "amount": "double",
+              "qty": "double", "cat1_mode": "string", "cat2_mode": "string", "cat3_mode": "string"},
+}
+
+
+def contract_panel(spark, root):
+    """Q7: the customer-year panel in contract order; the schema is checked
+    (metadata) and the primary key is verified unique before returning."""
+    p = p1_panel(spark, root).select(*PANEL_CONTRACT["columns"])
+    Q.validate_contract(p, PANEL_CONTRACT)
+    Q.assert_unique(p, ["c_custkey", "year"])
+    return p.withColumns({"amount": F.round("amount", 2), "qty": F.round("qty", 2)})
+
+
+_K = ["c_custkey", "year"]
+_MODES = "\n".join([
+    __import__('panelkit.plans.sqlkit', fromlist=['mode_cte']).mode_cte(n, 'ev', _K, c, o) + ","
+    for n, c, o in [("m0", "r_name", "r_name"), ("m1", "o_orderpriority", "cat1_mode"),
+                    ("m2", "c_mktsegment", "cat2_mode"), ("m3", "o_orderstatus", "cat3_mode")]])
+register("contract_panel", f"""WITH ev AS ({ORDER_EVENTS_SQL}),
+{_MODES}
+agg AS (SELECT c_custkey, year, CAST(count(*) AS BIGINT) AS n_events, round(COALESCE(sum(o_totalprice), 0), 2) AS amount,
+               round(COALESCE(sum(o_qty), 0), 2) AS qty FROM ev GROUP BY c_custkey, year)
+SELECT agg.c_custkey, agg.year, m0.r_name, n_events, amount, qty, cat1_mode, cat2_mode, cat3_mode
+FROM agg JOIN m0 USING (c_custkey, year) JOIN m1 USING (c_custkey, year) JOIN m2 USING (c_custkey, year)
+JOIN m3 USING (c_custkey, year)""")(contract_panel)
+
+
+def content_hashes(spark, root):
+    d = table(spark, root, "documents", ["doc_id", "text"])
+    return d.select("doc_id", sha256_hex("text").alias("sha256"))
+
+
+register("content_hashes", "SELECT doc_id, sha256(text) AS sha256 FROM documents")(content_hashes)
