@@ -12,7 +12,7 @@ from ..operators.harmonize import apply_mapping
 from ..operators.panel import event_panel, first_non_null, left_join_chain
 from ..operators.quality import panel_diagnostics
 from ..operators.stats import exact_quantiles
-from ..session import cut_lineage
+from ..session import built_once
 from ..sources.readers import load_mapping, table
 from .registry import register
 from .roles import ORDER_EVENTS_SQL, order_events, p1_panel, p2_panel, supply_series, month_index
@@ -304,14 +304,17 @@ def price_series(spark, root):
 
 
 def joined_panel(spark, root):
-    p = p2_panel(spark, root).select("n_name", "month_idx", "n_events", "amount", "r_name")
-    j = left_join_chain(p, ["n_name", "month_idx"],
-                        [conflict_series(spark, root), supplier_series(spark, root), price_series(spark, root)])
-    j = clean.fill_constant(j, {"conflict": 0, "conflict_level": 0, "intensity": 0.0})
-    j = clean.presence_flags(j, {"has_conflict_data": "conflict_region",
-                                 "has_supplier_data": "supplier_count",
-                                 "has_price_data": "avg_price"})
-    return cut_lineage(j)
+    """Dense panel + three reference series, filled and flagged; built once
+    per session and data root."""
+    def build():
+        p = p2_panel(spark, root).select("n_name", "month_idx", "n_events", "amount", "r_name")
+        j = left_join_chain(p, ["n_name", "month_idx"],
+                            [conflict_series(spark, root), supplier_series(spark, root), price_series(spark, root)])
+        j = clean.fill_constant(j, {"conflict": 0, "conflict_level": 0, "intensity": 0.0})
+        return clean.presence_flags(j, {"has_conflict_data": "conflict_region",
+                                        "has_supplier_data": "supplier_count",
+                                        "has_price_data": "avg_price"})
+    return built_once(spark, ("joined", root), build)
 
 
 def panel_join_flags(spark, root):

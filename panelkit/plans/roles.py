@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
 from ..operators.panel import event_panel
-from ..session import cut_lineage
+from ..session import built_once
 from ..sources.readers import table
 
 MONTH_INDEX_SQL = "(year({c}) * 12 + month({c}) - 1)"
@@ -78,22 +78,20 @@ LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS o_qty FROM lineitem GROUP BY l_
 
 def p1_panel(spark: SparkSession, root: str) -> DataFrame:
     """(customer, year) panel with count, two sums and modes."""
-    ev = order_events(spark, root)
-    return cut_lineage(event_panel(ev, "c_custkey", "year", count_col="n_events",
-                                   sums={"amount": "o_totalprice", "qty": "o_qty"},
-                                   modes={"r_name": "r_name", "n_nationkey": "n_nationkey",
-                                          "cat1_mode": "o_orderpriority", "cat2_mode": "c_mktsegment",
-                                          "cat3_mode": "o_orderstatus"}))
+    return built_once(spark, ("p1", root), lambda: event_panel(
+        order_events(spark, root), "c_custkey", "year", count_col="n_events",
+        sums={"amount": "o_totalprice", "qty": "o_qty"},
+        modes={"r_name": "r_name", "n_nationkey": "n_nationkey", "cat1_mode": "o_orderpriority",
+               "cat2_mode": "c_mktsegment", "cat3_mode": "o_orderstatus"}))
 
 
 def p2_panel(spark: SparkSession, root: str) -> DataFrame:
     """(nation, month) panel."""
-    ev = order_events(spark, root)
-    return cut_lineage(event_panel(ev, "n_name", "month_idx", count_col="n_events",
-                                   sums={"amount": "o_totalprice", "qty": "o_qty"},
-                                   distincts={"n_customers": "c_custkey"},
-                                   modes={"r_name": "r_name", "cat1_mode": "o_orderpriority",
-                                          "cat2_mode": "c_mktsegment", "cat3_mode": "o_orderstatus"}))
+    return built_once(spark, ("p2", root), lambda: event_panel(
+        order_events(spark, root), "n_name", "month_idx", count_col="n_events",
+        sums={"amount": "o_totalprice", "qty": "o_qty"}, distincts={"n_customers": "c_custkey"},
+        modes={"r_name": "r_name", "cat1_mode": "o_orderpriority", "cat2_mode": "c_mktsegment",
+               "cat3_mode": "o_orderstatus"}))
 
 
 def supply_series(spark: SparkSession, root: str, period: str = "year") -> DataFrame:

@@ -83,3 +83,17 @@ def cut_lineage(df):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_BUILT: dict = {}
+
+
+def built_once(spark, key: tuple, build):
+    """Return the materialised result of ``build()`` for ``key`` within this
+    Spark application: a panel is built (and written) once and every later
+    analysis in the session reads the written table, as a panel file is
+    built once and then analysed many times."""
+    k = (spark.sparkContext.applicationId,) + tuple(key)
+    if k not in _BUILT:
+        _BUILT[k] = cut_lineage(build())
+    return _BUILT[k]
