@@ -14,7 +14,7 @@ from ..operators import evaluate as EV
 from ..operators import features as FT
 from ..operators import models as MD
 from ..operators.describe import entity_profile
-from ..operators.joins import with_scalars
+from ..operators.joins import bounded_broadcast, with_scalars
 from ..operators.panel import balance_panel
 from ..session import cut_lineage
 from .q_panel import FEATURES, dense_features
@@ -276,3 +276,33 @@ def elbow(spark, root):
 
 
 register("elbow")(elbow)
+
+
+def group_kfold_models(spark, root):
+    """Group k-fold for the t+1 forecast - whole nations held out per
+    fold; RMSE of a forest and a ridge per fold, then mean and population
+    std over folds (fits run concurrently on one checkpointed frame)."""
+    f = dense_features(spark, root)
+    _, x, _ = MD.design(f, FEATURES + ["month_idx"], ["region"])
+    x = x.filter(F.col("y_plus1").isNotNull()).select("n_name", "features", "y_plus1")
+    folds = EV.group_folds(x, "n_name", 5)
+    x = cut_lineage(x.join(bounded_broadcast(folds), "n_name"))
+    jobs = [(k, m) for k in range(5) for m in ("rf", "ridge")]
+
+    def run(job):
+        k, m = job
+        tr, te = x.filter(F.col("fold") != k), x.filter(F.col("fold") == k)
+        model = MD.forest_regressor(tr, "y_plus1", **FOREST) if m == "rf" else MD.linear(tr, "y_plus1", reg=RIDGE_REG)
+        p = model.transform(te).withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
+        return k, m, EV.rmse_r2(p, "y_plus1", "prediction").first().rmse
+
+    res = MD.parallel_fits(run, jobs)
+    per = spark.createDataFrame(res, "fold int, model string, rmse double")
+    n_rows = x.agg(F.count(F.lit(1)).alias("n_rows"))
+    out = per.groupBy("model").agg(F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"),
+                                   F.count(F.lit(1)).alias("n_splits"))
+    return with_scalars(out, n_rows).select("model", rnd("rmse_mean", 6).alias("rmse_mean"),
+                                            rnd("rmse_std", 6).alias("rmse_std"), "n_splits", "n_rows")
+
+
+register("group_kfold_models")(group_kfold_models)

@@ -64,3 +64,20 @@ def test_text_sources_and_sinks(spark, tmp_path):
     sinks.append_ledger(spark, str(out / "ledger"), "build", [str(p)], h.sha256, {"t": "x"})
     sinks.append_ledger(spark, str(out / "ledger"), "build", [str(p)], h.sha256, {"t": "y"})
     assert spark.read.json(str(out / "ledger")).count() == 2
+
+
+def test_nonfinite_lookup_and_csv(spark, tmp_path):
+    from panelkit.operators.clean import nonfinite_to_null, filter_with_report
+    from panelkit.operators.harmonize import lookup
+    from panelkit.sources.sinks import write_csv
+    df = spark.createDataFrame([("a", float("inf")), ("b", float("nan")), ("c", 1.0)], "k string, v double")
+    assert [r.v for r in nonfinite_to_null(df, ["v"]).orderBy("k").collect()] == [None, None, 1.0]
+    kept, rep = filter_with_report(nonfinite_to_null(df, ["v"]), F.col("v").isNotNull(), "k")
+    r = rep.first()
+    assert (kept.count(), r.rows_before, r.rows_removed, r.entities_touched) == (1, 3, 2, 2)
+    dim = spark.createDataFrame([("a", "R1")], "key string, grp string")
+    got = {r.k: r.grp for r in lookup(df.withColumnRenamed("k", "key"), dim, "key", "grp").withColumnRenamed("key", "k").collect()}
+    assert got == {"a": "R1", "b": "Unknown", "c": "Unknown"}
+    write_csv(df, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.count() == 3 and back.columns == ["k", "v"]
