@@ -23,11 +23,15 @@ def derive_rule_features(df: DataFrame, entity: str, period: str, count: str, se
     observed 25% quantile), score and group tier (group means over the
     training era, cut at their 50% / 75% quantiles)."""
     from ..functions.numeric import tier, weighted_score
+    from ..session import cut_lineage
     d = df.withColumn("past3", W.past_mean(count, entity, period, 3, 2, default=None))
     d = d.withColumn("trend_flag", flag(F.col(count) > F.col("past3") * trend_factor))
+    # panel-sized and read by four branches below (quantile, cut, group means,
+    # tiers): written once instead of re-derived per branch
+    d = cut_lineage(d)
     q25 = exact_quantiles(d, covariate, {"__q25": 0.25})
     d = with_scalars(d, q25).withColumn("low_flag", flag(F.col(covariate) < F.col("__q25"))).drop("__q25")
-    d = d.withColumn("risk_score", weighted_score(count, severity))
+    d = cut_lineage(d.withColumn("risk_score", weighted_score(count, severity)))
     means = d.filter(F.col(period) <= last_train_period).groupBy(group).agg(F.avg("risk_score").alias("group_mean"))
     q = exact_quantiles(means, "group_mean", {"__q50": 0.5, "__q75": 0.75})
     t = with_scalars(means, q).select(group, "group_mean",
