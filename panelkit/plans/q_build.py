@@ -269,8 +269,16 @@ from ..operators.joins import with_scalars  # noqa: E402
 from ..operators.panel import mode_two_level  # noqa: E402,F401
 
 
+# Series definitions (business conditions on the shipped lines): returns
+# with a high discount, low-tax lines, large filled lines. Each leaves some
+# (nation, month) keys without data, which the join flags must report.
+RETURNS = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08)
+LOW_TAX = F.col("l_tax") <= 0.01
+LARGE_FILLED = (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 40)
+
+
 def _ship_lines(spark, root):
-    li = table(spark, root, "lineitem", ["l_suppkey", "l_quantity", "l_extendedprice",
+    li = table(spark, root, "lineitem", ["l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                                          "l_returnflag", "l_linestatus", "l_shipdate"])
     s = table(spark, root, "supplier", ["s_suppkey", "s_nationkey"])
     n = table(spark, root, "nation", ["n_nationkey", "n_name", "n_regionkey"])
@@ -284,7 +292,7 @@ def _ship_lines(spark, root):
 def conflict_series(spark, root):
     """Per return line: intensity = quantity, flag and ordinal level; then per
     (nation, month): modal region, max flag, max level, summed intensity."""
-    x = _ship_lines(spark, root).filter((F.col("l_returnflag") == "R") & (F.col("month_idx") % 3 != 0))
+    x = _ship_lines(spark, root).filter(RETURNS)
     x = x.withColumns({"conflict": (F.col("l_quantity") > 0).cast("long"),
                        "level": ordinal_bucket("l_quantity")})
     return event_panel(x, "n_name", "month_idx", count_col=None,
@@ -293,12 +301,12 @@ def conflict_series(spark, root):
 
 
 def supplier_series(spark, root):
-    x = _ship_lines(spark, root).filter((F.col("month_idx") + F.col("n_nationkey")) % 5 != 0)
+    x = _ship_lines(spark, root).filter(LOW_TAX)
     return x.groupBy("n_name", "month_idx").agg(F.count_distinct("l_suppkey").cast("double").alias("supplier_count"))
 
 
 def price_series(spark, root):
-    x = _ship_lines(spark, root).filter((F.col("l_linestatus") == "F") & (F.col("month_idx") % 4 != 1))
+    x = _ship_lines(spark, root).filter(LARGE_FILLED)
     # mean price to the cent, half up, in exact integer cents
     a = x.groupBy("n_name", "month_idx").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("s"),
                                              F.count(F.lit(1)).alias("n"))
@@ -313,9 +321,7 @@ def reference_series(spark, root):
     there. (Equivalent to ``conflict_series``, ``supplier_series`` and
     ``price_series`` joined one by one, with a third of the scans.)"""
     x = _ship_lines(spark, root)
-    c1 = (F.col("l_returnflag") == "R") & (F.col("month_idx") % 3 != 0)
-    c2 = (F.col("month_idx") + F.col("n_nationkey")) % 5 != 0
-    c3 = (F.col("l_linestatus") == "F") & (F.col("month_idx") % 4 != 1)
+    c1, c2, c3 = RETURNS, LOW_TAX, LARGE_FILLED
     qty = F.when(c1, F.col("l_quantity"))
     a = x.groupBy("n_name", "month_idx").agg(
         F.count_if(c1).alias("__n1"), F.count_if(c2).alias("__n2"), F.count_if(c3).alias("__n3"),
@@ -371,14 +377,14 @@ ev AS ({ORDER_EVENTS_SQL}),
 p AS (SELECT n_name, month_idx, count(*) AS n_events, sum(o_totalprice) AS amount, min(r_name) AS r_name FROM ev GROUP BY n_name, month_idx),
 ship AS ({_SHIP_SQL}),
 cl AS (SELECT *, CASE WHEN l_quantity > 0 THEN 1 ELSE 0 END AS conflict, {_BUCKET_SQL.format(x='l_quantity')} AS lvl
-       FROM ship WHERE l_returnflag = 'R' AND month_idx % 3 <> 0),
+       FROM ship WHERE l_returnflag = 'R' AND l_discount >= 0.08),
 {mode_cte('cr', 'cl', ['n_name', 'month_idx'], 'r_name', 'conflict_region')},
 c AS (SELECT n_name, month_idx, COALESCE(sum(l_quantity), 0) AS intensity, max(conflict) AS conflict,
              max(lvl) AS conflict_level FROM cl GROUP BY n_name, month_idx),
 sc AS (SELECT n_name, month_idx, CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS supplier_count FROM ship
-       WHERE (month_idx + s_nationkey) % 5 <> 0 GROUP BY n_name, month_idx),
+       WHERE l_tax <= 0.01 GROUP BY n_name, month_idx),
 pr AS (SELECT n_name, month_idx, CAST((2 * sum(CAST(round(l_extendedprice * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 100.0 AS avg_price FROM ship
-       WHERE l_linestatus = 'F' AND month_idx % 4 <> 1 GROUP BY n_name, month_idx),
+       WHERE l_linestatus = 'F' AND l_quantity >= 40 GROUP BY n_name, month_idx),
 j AS (
 SELECT p.n_name, p.month_idx, CAST(p.n_events AS BIGINT) AS n_events, round(p.amount, 2) AS amount,
        CAST(COALESCE(c.conflict, 0) AS BIGINT) AS conflict, CAST(COALESCE(c.conflict_level, 0) AS BIGINT) AS conflict_level,
