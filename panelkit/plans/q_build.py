@@ -272,9 +272,16 @@ from ..operators.panel import mode_two_level  # noqa: E402,F401
 # Series definitions (business conditions on the shipped lines): returns
 # with a high discount, low-tax lines, large filled lines. Each leaves some
 # (nation, month) keys without data, which the join flags must report.
-RETURNS = (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08)
-LOW_TAX = F.col("l_tax") <= 0.01
-LARGE_FILLED = (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 40)
+def RETURNS():
+    return (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.08)
+
+
+def LOW_TAX():
+    return F.col("l_tax") <= 0.01
+
+
+def LARGE_FILLED():
+    return (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 40)
 
 
 def _ship_lines(spark, root):
@@ -292,7 +299,7 @@ def _ship_lines(spark, root):
 def conflict_series(spark, root):
     """Per return line: intensity = quantity, flag and ordinal level; then per
     (nation, month): modal region, max flag, max level, summed intensity."""
-    x = _ship_lines(spark, root).filter(RETURNS)
+    x = _ship_lines(spark, root).filter(RETURNS())
     x = x.withColumns({"conflict": (F.col("l_quantity") > 0).cast("long"),
                        "level": ordinal_bucket("l_quantity")})
     return event_panel(x, "n_name", "month_idx", count_col=None,
@@ -301,12 +308,12 @@ def conflict_series(spark, root):
 
 
 def supplier_series(spark, root):
-    x = _ship_lines(spark, root).filter(LOW_TAX)
+    x = _ship_lines(spark, root).filter(LOW_TAX())
     return x.groupBy("n_name", "month_idx").agg(F.count_distinct("l_suppkey").cast("double").alias("supplier_count"))
 
 
 def price_series(spark, root):
-    x = _ship_lines(spark, root).filter(LARGE_FILLED)
+    x = _ship_lines(spark, root).filter(LARGE_FILLED())
     # mean price to the cent, half up, in exact integer cents
     a = x.groupBy("n_name", "month_idx").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("s"),
                                              F.count(F.lit(1)).alias("n"))
@@ -321,7 +328,7 @@ def reference_series(spark, root):
     there. (Equivalent to ``conflict_series``, ``supplier_series`` and
     ``price_series`` joined one by one, with a third of the scans.)"""
     x = _ship_lines(spark, root)
-    c1, c2, c3 = RETURNS, LOW_TAX, LARGE_FILLED
+    c1, c2, c3 = RETURNS(), LOW_TAX(), LARGE_FILLED()
     qty = F.when(c1, F.col("l_quantity"))
     a = x.groupBy("n_name", "month_idx").agg(
         F.count_if(c1).alias("__n1"), F.count_if(c2).alias("__n2"), F.count_if(c3).alias("__n3"),
