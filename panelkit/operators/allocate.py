@@ -11,14 +11,16 @@ sums of slope and constant gives the segment where D(k) = B, in closed
 form. Feasible when n*lo <= B <= sum(up); otherwise the allocation is NULL.
 
 Everything is keyed by ``scenario``: many budgets / group sets are solved
-at once, one window partition per scenario (its size is twice the number of
-groups of that scenario)."""
+at once; the running sums are two-level prefix sums, so a scenario with
+millions of groups is spread over many tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import prefix_sums
+
 # Parameters of the effectiveness curve and the bounds.
 MIN_ALLOC = 2.0
 MAX_ALLOC = 40.0
@@ -43,15 +45,17 @@ def allocate(harm: DataFrame, scenario: str, group: str, h: str, budgets: DataFr
                    F.col("__up").alias("dc")))
     base = g.groupBy(scenario).agg((F.count(F.lit(1)) * lo).alias("__c0"), F.first("budget").alias("budget"),
                                    F.sum("__up").alias("__sum_up"))
-    order = Window.partitionBy(scenario).orderBy("k", "typ", group)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumns({"__slope": F.sum("ds").over(run), "__cc": F.sum("dc").over(run),
-                         "__rn": F.row_number().over(order)})
+    # running slope / constant over break-points in (k, type, group) order:
+    # a two-level prefix sum (k is positive and spans orders of magnitude,
+    # so buckets are on log k), never one window over a whole scenario
+    ev = prefix_sums(ev, scenario, "k", ["typ", group], ["ds", "dc"], log_scale=True)
+    ev = ev.withColumnsRenamed({"ds_cum": "__slope", "dc_cum": "__cc"})
     ev = ev.join(base, scenario).withColumn("__const", F.col("__c0") + F.col("__cc"))
     ev = ev.withColumn("__d", F.col("__const") + F.col("__slope") * F.col("k"))
     # the last break-point whose total is still within the budget holds k*
     seg = (ev.filter(F.col("__d") <= F.col("budget") + 1e-9)
-             .groupBy(scenario).agg(F.max_by(F.struct("k", "__slope", "__const"), F.col("__rn")).alias("s")))
+             .groupBy(scenario).agg(F.max_by(F.struct("k", "__slope", "__const"),
+                                             F.struct("k", "typ", group)).alias("s")))
     kstar = base.join(seg, scenario, "left").select(
         scenario,
         F.when((F.col("budget") < F.col("__c0") - 1e-9) | (F.col("budget") > F.col("__sum_up") + 1e-9), F.lit(None))

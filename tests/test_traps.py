@@ -111,3 +111,21 @@ def test_ansi_safe_corr_on_constant(spark):
     from panelkit.operators.stats import pearson_pairs
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert pearson_pairs(df, ["a", "b"]).first().r is None
+
+
+def test_prefix_sums_match_sequential(spark):
+    import numpy as np
+    from panelkit.operators.prefix import prefix_sums
+    rng = np.random.default_rng(9)
+    rows = [(p, float(k), i, float(d)) for p in ("a", "b") for i, (k, d) in
+            enumerate(zip(rng.choice([0.5, 1.0, 2.0, 40.0, 1e4], 60), rng.normal(0, 1, 60)))]
+    df = spark.createDataFrame(rows, "p string, k double, i long, d double")
+    for log_scale in (False, True):
+        got = {(r.p, r.i): r.d_cum for r in prefix_sums(df, "p", "k", ["i"], ["d"], buckets=3,
+                                                         log_scale=log_scale).collect()}
+        for p in ("a", "b"):
+            seq = sorted((k, i, d) for q, k, i, d in rows if q == p)
+            acc = 0.0
+            for k, i, d in seq:
+                acc += d
+                assert got[(p, i)] == pytest.approx(acc)
