@@ -113,9 +113,10 @@ def best_f1_threshold(df: DataFrame, y: str, score: str, default: float = 0.5) -
 
 def group_folds(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> DataFrame:
     """Whole groups per fold: groups ranked by (size desc, key), fold =
-    (rank - 1) mod k. Returns (group, fold). The ranking window has no
-    partition key; it runs on one row per group (the number of held-out
-    groups, not the number of rows)."""
+    (rank - 1) mod k. Returns (group, fold). The ranking is a distributed
+    row number (range partitioning + per-partition offsets), so millions of
+    groups never meet in one task."""
+    from .prefix import row_numbers
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    w = Window.orderBy(F.col("__size").desc(), F.col(group))
-    return g.select(group, F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int").alias(out))
+    r = row_numbers(g, [F.col("__size").desc(), F.col(group).asc()], "__rank")
+    return r.select(group, F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int").alias(out))

@@ -38,3 +38,21 @@ def prefix_sums(df: DataFrame, part, order: str, tiebreak, cols, buckets: int =
     x = x.join(off, part + ["__b"])
     return x.withColumns({f"{c}{suffix}": F.col(f"__off_{c}") + F.col(f"__in_{c}") for c in cols}) \
             .drop("__v", "__b", *[f"__in_{c}" for c in cols], *[f"__off_{c}" for c in cols])
+
+
+def row_numbers(df: DataFrame, order, out: str = "rn", parts: int | None = None) -> DataFrame:
+    """1..n in a total ``order`` without an unpartitioned window: range-
+    partition on the order (partition ids follow it), write the rows with
+    their partition id once (so every branch sees the same assignment),
+    count rows per partition, offset = running count of the earlier
+    partitions (at most ``parts`` rows), then a row number inside each
+    partition."""
+    from ..session import cut_lineage
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = cut_lineage(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
+    cnt = x.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows
+    off = cnt.select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    w = Window.partitionBy("__pid").orderBy(*order)
+    return (x.join(F.broadcast(off), "__pid")
+             .withColumn(out, F.col("__off") + F.row_number().over(w)).drop("__pid", "__off"))

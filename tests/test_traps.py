@@ -129,3 +129,12 @@ def test_prefix_sums_match_sequential(spark):
             for k, i, d in seq:
                 acc += d
                 assert got[(p, i)] == pytest.approx(acc)
+
+
+def test_row_numbers_total_order(spark):
+    from panelkit.operators.prefix import row_numbers
+    rows = [(f"g{i:03d}", (i * 37) % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, size long")
+    got = {r.g: r.rn for r in row_numbers(df, [F.col("size").desc(), F.col("g").asc()], parts=7).collect()}
+    exp = {g: i + 1 for i, (g, _) in enumerate(sorted(rows, key=lambda t: (-t[1], t[0])))}
+    assert got == exp
