@@ -219,6 +219,8 @@ def entity_profile(spark, root):
 
 
 register("entity_profile", f"""WITH {P1_SQL}
-SELECT c_custkey, round(avg(n_events), 6) AS mean_count, round(avg(amount), 4) AS mean_severity,
-       round(CASE WHEN count(n_events) < 3 THEN 0.0 ELSE COALESCE(regr_slope(n_events, year), 0.0) END, 6) AS count_slope
-FROM p1 GROUP BY c_custkey""")(entity_profile)
+SELECT c_custkey, mean_count, mean_severity,
+       CASE WHEN slope_r = 0 THEN 0.0 ELSE slope_r END AS count_slope  -- no negative zero
+FROM (SELECT c_custkey, round(avg(n_events), 6) AS mean_count, round(avg(amount), 4) AS mean_severity,
+       round(CASE WHEN count(n_events) < 3 THEN 0.0 ELSE COALESCE(regr_slope(n_events, year), 0.0) END, 6) AS slope_r
+FROM p1 GROUP BY c_custkey) t""")(entity_profile)
