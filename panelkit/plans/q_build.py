@@ -329,15 +329,23 @@ def reference_series(spark, root):
     ``price_series`` joined one by one, with a third of the scans.)"""
     x = _ship_lines(spark, root)
     c1, c2, c3 = RETURNS(), LOW_TAX(), LARGE_FILLED()
-    qty = F.when(c1, F.col("l_quantity"))
-    a = x.groupBy("n_name", "month_idx").agg(
-        F.count_if(c1).alias("__n1"), F.count_if(c2).alias("__n2"), F.count_if(c3).alias("__n3"),
-        F.sum(qty).alias("intensity"), F.max(F.when(c1, (F.col("l_quantity") > 0).cast("long"))).alias("conflict"),
-        F.max(F.when(c1, ordinal_bucket("l_quantity"))).alias("conflict_level"),
-        F.mode(F.when(c1, F.col("r_name")), True).alias("conflict_region"),
-        F.count_distinct(F.when(c2, F.col("l_suppkey"))).cast("double").alias("supplier_count"),
+    # level 1: per (nation, month, supplier) - partial sums that the second
+    # level adds up; distinct suppliers become a plain count (no Expand of
+    # the lines). r_name is fixed per supplier nation, so keying it costs
+    # no extra rows and its line mode equals its mode over these groups.
+    s1 = x.groupBy("n_name", "month_idx", "l_suppkey", "r_name").agg(
+        F.count_if(c1).alias("n1"), F.count_if(c2).alias("n2"), F.count_if(c3).alias("n3"),
+        F.sum(F.when(c1, F.col("l_quantity"))).alias("q1"),
+        F.max(F.when(c1, (F.col("l_quantity") > 0).cast("long"))).alias("cf"),
+        F.max(F.when(c1, ordinal_bucket("l_quantity"))).alias("lv"),
         # mean price to the cent, half up, in exact integer cents
-        F.sum(F.when(c3, F.round(F.col("l_extendedprice") * 100).cast("bigint"))).alias("__cents"))
+        F.sum(F.when(c3, F.round(F.col("l_extendedprice") * 100).cast("bigint"))).alias("cents"))
+    a = s1.groupBy("n_name", "month_idx").agg(
+        F.sum("n1").alias("__n1"), F.sum("n2").alias("__n2"), F.sum("n3").alias("__n3"),
+        F.sum("q1").alias("intensity"), F.max("cf").alias("conflict"), F.max("lv").alias("conflict_level"),
+        F.mode(F.when(F.col("n1") > 0, F.col("r_name")), True).alias("conflict_region"),
+        F.count_if(F.col("n2") > 0).cast("double").alias("supplier_count"),
+        F.sum("cents").alias("__cents"))
     a = a.withColumn("avg_price", F.when(F.col("__n3") > 0, F.expr("(2 * __cents + __n3) div (2 * __n3)")
                                          .cast("double") / 100.0))
     return a.select("n_name", "month_idx",
