@@ -24,6 +24,8 @@ N, PERCENT = 5, 80
 SMALL = 64
 #: Most shingles of a light set that enter into pairs, whatever the costs say.
 MOST_LIGHT = 24
+#: Bits of the parity sketch of a set.
+SKETCH = 512
 #: Ids that are broadcast at most, to pick their texts in place.
 BROADCAST_IDS = 1_000_000
 
@@ -60,25 +62,30 @@ def least_overlap(n: int, percent: int) -> int:
 
 def _sets(base: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
     """(id, n, sig, low): set size, 128-bit signature, and the shingles: all of
-    them, or those that the search can need, smallest hashes first."""
+    them, or those that the search can need, smallest hashes first. With whole
+    sets also ``bits``: for each of ``SKETCH`` residues, whether an odd number
+    of shingles has it."""
 
     def make():
         def work(batch):
-            sizes, signatures, lows, ends = [], [], [], [0]
+            sizes, signatures, lows, ends, bits = [], [], [], [0], []
             for text in texts(batch):
                 s = shingles(text, n)
                 sizes.append(len(s))
                 signatures.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if not whole and len(s) > SMALL:
+                if whole:
+                    odd = np.bincount(s % SKETCH, minlength=SKETCH) % 2 == 1
+                    bits.append(np.packbits(odd).view(np.int64))
+                elif len(s) > SMALL:
                     s = s[: max(len(s) - least_overlap(len(s), percent) + 2, int(np.searchsorted(s, region(percent))))]
                 lows.append(s)
                 ends.append(ends[-1] + len(s))
             low = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lows), pa.int64()))
-            return None, [sizes, signatures, low]
+            return None, [sizes, signatures, low] + [bits] * whole
 
         return work
 
-    return map_texts(base, "n long, sig binary, low array<bigint>", make)
+    return map_texts(base, "n long, sig binary, low array<bigint>" + ", bits array<bigint>" * whole, make)
 
 
 # ---- candidates ---------------------------------------------------------
@@ -106,10 +113,10 @@ def _light_limit(scan: float, percent: int) -> int:
     return size
 
 
-def _keys(reps: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, light): what each class is posted under. Shingles that
-    stand in one set only are left out, since they lead to nothing."""
-    end = region(percent)
+def _keys(reps: DataFrame, percent: int, end: int) -> DataFrame:
+    """(key, id, n, light, pos, own): what each class is posted under, the
+    place of that shingle in its order, and its share of shingles (per mille)
+    that no other set holds. Those are left out, since they lead to nothing."""
     post = reps.select("id", F.explode(F.filter("low", lambda x: x < end)).alias("h"))
     shared = materialise(post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     cost = shared.agg(F.sum(F.col("df").cast("double") ** 2) / F.sum("df")).first()[0]
@@ -117,22 +124,38 @@ def _keys(reps: DataFrame, percent: int) -> DataFrame:
     # at most one set's shingles in a group
     freq = post.join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("freq"))
     ranked = reps.join(freq, "id", "left").select("id", "n", _ordered(F.col("low"), F.col("freq"), end).alias("order"))
+    ranked = ranked.withColumn("own", F.floor(1000 * F.size(F.filter("order", lambda x: x["kind"] == 0)) / F.size("order")))
     first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
-    open_ = lambda size: F.transform(F.filter(F.slice("order", 1, size), lambda x: x["kind"] == 1), lambda x: x["h"])
+
+    def posted(size: Column) -> Column:
+        placed = F.transform(F.slice("order", 1, size), lambda x, i: F.struct(x["kind"].alias("kind"), x["h"].alias("h"), (i + 1).alias("pos")))
+        return F.filter(placed, lambda x: x["kind"] == 1)
+
     light = F.col("n") <= limit
     # sets that a heavy one may link to are posted in the lists as well
     lists = ranked.where(F.col("n") >= least_overlap(limit + 1, percent)).select(
-        "id", "n", light.alias("light"), F.explode(open_(first)).alias("key"))
-    some = open_(first + 1)
-    pair = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b))
-    pairs = ranked.where(light & (F.col("n") > 1)).withColumn("some", some).select(
-        "id", "n", F.lit(False).alias("light"), F.explode(F.flatten(F.transform("some", lambda a, i: F.transform(
-            F.slice("some", i + 2, F.size("some")), lambda b: pair(a, b))))).alias("key"))
-    return lists.unionByName(pairs).select("key", "id", "n", "light")
+        "id", "n", light.alias("light"), "own", F.explode(posted(first)).alias("x")).select("*", F.col("x.h").alias("key"), F.col("x.pos").alias("pos"))
+    pair = lambda a, b: F.xxhash64(F.least(a["h"], b["h"]), F.greatest(a["h"], b["h"]))
+    pairs = ranked.where(light & (F.col("n") > 1)).withColumn("some", posted(first + 1)).select(
+        "id", "n", F.lit(False).alias("light"), "own", F.explode(F.flatten(F.transform("some", lambda a, i: F.transform(
+            F.slice("some", i + 2, F.size("some")), lambda b: pair(a, b))))).alias("key"), F.lit(1).alias("pos"))
+    columns = ["key", "id", "n", "light", "pos", "own"]
+    return lists.select(*columns).unionByName(pairs.select(*columns))
+
+
+def _possible(percent: int) -> Column:
+    """The sizes of two sets, and what is left of both after the places where
+    they meet first, allow a link."""
+    sized = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    most = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    return sized & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
 
 
-def _sized(percent: int) -> Column:
-    return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+def _near(percent: int) -> Column:
+    """The bits in which two sketches differ are no more than the shingles in
+    which linked sets of these sizes may differ: each such shingle turns one."""
+    differ = sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(SKETCH // 64)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,44 +167,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "a", "b", (100 * both >= percent * (F.size("low_a") + F.size("low_b") - both)).alias("linked"))
 
 
+def _whole_sets(ids: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, n, low) with all shingles, for some ids (distinct, with repeats)."""
+    ids = materialise(ids.select("id").distinct())
+    if ids.count() <= BROADCAST_IDS:  # ids alone, so the size is known; else texts are shuffled by id
+        ids = F.broadcast(ids)
+    return materialise(_sets(base.join(ids, "id", "left_semi"), n, percent, whole=True).select("id", "n", "low", "bits"))
+
+
+def _pairs(listed: DataFrame, percent: int, other: Column) -> DataFrame:
+    """Distinct candidates (a, b) that meet in a list and may link."""
+    side = lambda s: listed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "light", "pos", "label", "bits")])
+    return (side("a").join(side("b"), "key").where("id_a < id_b").where(other).where("NOT (light_a AND light_b)")
+            .where(_possible(percent) & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+
+
 def _links(reps: DataFrame, base: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
     """Verified links (a, b) between classes: all of them on ``every``, else
     enough that classes are connected just as by all."""
-    keys = materialise(_keys(reps, percent))
-    # candidates of a list: its members and its first one, before members among themselves
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.min(F.struct("id", "n"))["n"].alias("n_head"),
-                                    F.count("*").alias("size"))
-    listed = materialise(keys.join(heads.where("size > 1"), "key"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")))
-        need = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        if need.count() <= BROADCAST_IDS:  # ids alone, so the size is known; else texts are shuffled by id
-            need = F.broadcast(need)
-        sets = materialise(_sets(base.join(need, "id", "left_semi"), n, percent, whole=True).select("id", "low"))
-        return materialise(_verified(pairs, sets, percent))
-
-    if not every:
-        star = listed.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.col("n_head").alias("n_a"),
-                                                F.col("n").alias("n_b")).where(_sized(percent))
-        tested = verified(star)
-        links = tested.where("linked").select("a", "b")
-        label = connected_components(links)
-        listed = (listed.join(label.withColumnRenamed("component", "label"), "id", "left")
-                  .withColumn("label", F.coalesce("label", "id")))
-        # lists whose members are not all connected yet
-        open_ = listed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        listed = materialise(listed.join(open_, "key"))
-        other = F.col("label_a") != F.col("label_b")
-    else:
-        listed, other = listed.withColumn("label", F.col("id")), F.lit(True)
-    side = lambda s: listed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "light", "label")])
-    rest = (side("a").join(side("b"), "key").where("id_a < id_b").where(other).where(_sized(percent))
-            .where("NOT (light_a AND light_b)").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b"))
+    listed = materialise(_keys(reps, percent, region(percent)))
     if every:
-        return verified(rest).where("linked").select("a", "b")
-    rest = rest.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionByName(verified(rest).where("linked").select("a", "b"))
+        both = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        sets = _whole_sets(listed.join(both, "key"), base, n, percent)
+        met = listed.join(sets.select("id", "bits"), "id").withColumn("label", F.col("id"))
+        pairs = materialise(_pairs(met, percent, F.lit(True)))
+        return _verified(pairs, sets, percent).where("linked").select("a", "b")
+
+    # first each member of a list with the head of the list, the set with the
+    # least of its own: in a group of copies that is the one next to all others
+    heads = listed.groupBy("key").agg(F.min(F.struct("own", "id", "n", "pos")).alias("head"), F.count("*").alias("size"))
+    listed = materialise(listed.join(heads.where("size > 1"), "key"))
+    star = (listed.where("id <> head.id").select(
+        F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("n").alias("n_a"),
+        F.col("head.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("head.pos").alias("pos_b"))
+        .where(_possible(percent)).select("a", "b").distinct())
+    star = materialise(star)
+    sets = _whole_sets(star.select(F.explode(F.array("a", "b")).alias("id")), base, n, percent)
+    tested = materialise(_verified(star, sets, percent))
+    links = tested.where("linked").select("a", "b")
+    label = connected_components(links).withColumnRenamed("component", "label")
+
+    # then the sets of lists that are not connected yet, among themselves: they
+    # are few, so that all their shingles can be counted and the order is exact
+    listed = listed.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    split = listed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    left = _whole_sets(listed.join(split, "key"), base, n, percent)
+    again = (_keys(left, percent, 2**63 - 1).join(left.select("id", "bits"), "id").join(label, "id", "left")
+             .withColumn("label", F.coalesce("label", "id")))
+    rest = _pairs(materialise(again), percent, F.col("label_a") != F.col("label_b"))
+    rest = materialise(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    return links.unionByName(_verified(rest, left, percent).where("linked").select("a", "b"))
 
 
 # ---- the operator -------------------------------------------------------
