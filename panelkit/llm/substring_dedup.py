@@ -101,14 +101,14 @@ def repeated_runs(chunked: DataFrame) -> DataFrame:
               .where("first_id < last_id").select("digest", "first_id"))
     marked = each.join(shared, "digest").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("pos", "first_id"))).alias("hits"))  # at most one document's chunks
-    both = marked.join(chunked.select("row", "id", "ends"), "row")
-    return both.select("id", F.explode(_runs(F.col("hits"), F.col("ends"))).alias("run")).select("id", "run.*")
+    # position less rank is constant within a run; a column of its own, which is computed once a row
+    keyed = F.transform("hits", lambda h, i: F.struct((h["pos"] - i).alias("key"), h["pos"].alias("pos"), h["first_id"].alias("first_id")))
+    both = marked.select("row", keyed.alias("keyed")).join(chunked.select("row", "id", "ends"), "row")
+    return both.select("id", F.explode(_runs(F.col("keyed"), F.col("ends"))).alias("run")).select("id", "run.*")
 
 
-def _runs(hits: Column, ends: Column) -> Column:
+def _runs(keyed: Column, ends: Column) -> Column:
     """Runs of consecutive positions, as (start, end, n_chunks, first_id)."""
-    # position less rank is constant within a run
-    keyed = F.transform(hits, lambda h, i: F.struct((h["pos"] - i).alias("key"), h["pos"].alias("pos"), h["first_id"].alias("first_id")))
     heads = F.filter(keyed, lambda h, i: (i == 0) | (F.get(keyed, i - 1)["key"] != h["key"]))
     lasts = F.filter(keyed, lambda h, i: (i == F.size(keyed) - 1) | (F.get(keyed, i + 1)["key"] != h["key"]))
     spans = F.zip_with(heads, lasts, lambda a, b: F.struct(
