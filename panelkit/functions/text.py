@@ -19,7 +19,7 @@ def _c(c) -> Column:
 
 def strip_ws(c) -> Column:
     """Trim every kind of leading/trailing whitespace (tab, newline, ...)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
 
 
 def norm_key(c) -> Column:
@@ -34,8 +34,11 @@ def sentinel_to_null(c, sentinels=("unknown", "")) -> Column:
 
 
 def coerce_double(c) -> Column:
-    """Numeric coerce: unparsable text becomes NULL instead of an error."""
-    return _c(c).try_cast("double")
+    """Numeric coerce: text that is no plain number becomes NULL instead of an
+    error. ``NaN`` is missing, and Java's type suffixes (``12d``) are no numbers."""
+    text = _c(c).cast("string")
+    number = text.rlike(r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)\s*$")
+    return F.when(number, text.try_cast("double"))
 
 
 def coerce_long(c) -> Column:

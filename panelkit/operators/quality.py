@@ -211,8 +211,12 @@ PREFILTERS = {
 }
 
 
-def _prefilter(label: str):
-    if label not in PREFILTERS:
+_FIXED = {label: rx for _, label, rx, _ in SCAN_PATTERNS}
+
+
+def _prefilter(label: str, rx: str):
+    # the literals belong to the fixed expression; another one under its label has none
+    if label not in PREFILTERS or _FIXED.get(label) != rx:
         return F.lit(True)
     folded, groups = PREFILTERS[label]
     src = F.col("__lc") if folded else F.col("line")
@@ -233,7 +237,7 @@ def pattern_scan(lines: DataFrame, patterns=SCAN_PATTERNS, content_width: int =
     cheap ``contains`` check on its necessary literals; hits are an array of
     structs that is filtered and exploded - no join, no per-row Python."""
     hits = F.array(*[
-        F.when(_prefilter(label) & F.col("line").rlike(rx) &
+        F.when(_prefilter(label, rx) & F.col("line").rlike(rx) &
                (F.lit(True) if skip is None else ~F.upper(F.col("line")).contains(skip)),
                F.struct(F.lit(kind).alias("type"), F.lit(label).alias("reason")))
         for kind, label, rx, skip in patterns])

@@ -108,17 +108,24 @@ def kruskal(df: DataFrame, group: str, y: str, buckets: int = 256) -> DataFrame:
 def chi2_gof(df: DataFrame, cat: str) -> DataFrame:
     """Chi-square goodness of fit against equal expected counts."""
     c = df.filter(F.col(cat).isNotNull()).groupBy(cat).agg(F.count(F.lit(1)).alias("o"))
-    s = c.agg(F.sum("o").alias("N"), F.count(F.lit(1)).alias("k"), F.sum(F.col("o") * F.col("o")).alias("S2"))
+    return chi2_gof_counts(c)
+
+
+def chi2_gof_counts(counts: DataFrame) -> DataFrame:
+    """X5 from pre-counted classes (column ``o``), in doubles and without the
+    difference of two large sums."""
+    x = with_scalars(counts, counts.agg(F.sum("o").cast("double").alias("N"), F.count(F.lit(1)).alias("k")))
     e = F.col("N") / F.col("k")
-    # sum (o - e)^2 / e = sum o^2 / e - N
-    return s.select((F.col("S2") / e - F.col("N")).alias("chi2"), (F.col("k") - 1).cast("bigint").alias("df"))
+    return x.agg(F.sum(F.pow(F.col("o") - e, F.lit(2.0)) / e).alias("chi2"),
+                 (F.count(F.lit(1)) - 1).cast("bigint").alias("df"))
 
 
 def chi2_independence(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     """Chi-square test of independence on the a x b contingency table.
 
-    Uses sum O^2/E - N over observed cells (empty cells add nothing), so no
-    r x c grid is materialised. With one degree of freedom (2 x 2) and
+    Sums (O - E)^2 / E over observed cells in doubles; each empty cell adds its
+    E, which together is N less the E of observed cells, so no r x c grid is
+    materialised. With one degree of freedom (2 x 2) and
     ``yates``, every |O - E| equals |O11 - E11| and is reduced by 0.5 (not
     below 0), as SciPy does."""
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
@@ -128,16 +135,16 @@ def chi2_independence(df: DataFrame, a: str, b: str, yates: bool = True) -> Data
     tot = cell.agg(F.sum("o").alias("N"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c"),
                    F.min(a).alias("__a1"), F.min(b).alias("__b1"))
     x = with_scalars(cell.join(ra, a).join(cb, b), tot)
-    x = x.withColumn("e", F.col("ri") * F.col("cj") / F.col("N"))
+    x = x.withColumn("e", F.col("ri").cast("double") * F.col("cj") / F.col("N"))
     first_a, first_b = F.col(a) == F.col("__a1"), F.col(b) == F.col("__b1")
-    s = x.agg(F.sum(F.col("o") * F.col("o") / F.col("e")).alias("S"), F.first("N").alias("N"),
+    s = x.agg(F.sum(F.pow(F.col("o") - F.col("e"), F.lit(2.0)) / F.col("e") - F.col("e")).alias("S"), F.first("N").alias("N"),
               F.first("r").alias("r"), F.first("c").alias("c"),
               F.sum(F.when(first_a & first_b, F.col("o"))).alias("o11"),
               F.max(F.when(first_a, F.col("ri"))).alias("r1"), F.max(F.when(first_b, F.col("cj"))).alias("c1"))
     n = F.col("N").cast("double")
     dof = (F.col("r") - 1) * (F.col("c") - 1)
-    plain = F.col("S") - n
-    dd = F.abs(F.coalesce(F.col("o11"), F.lit(0)) - F.col("r1") * F.col("c1") / n)
+    plain = F.col("S") + n
+    dd = F.abs(F.coalesce(F.col("o11"), F.lit(0)) - F.col("r1").cast("double") * F.col("c1") / n)
     adj = F.greatest(dd - 0.5, F.lit(0.0))
     corrected = adj * adj * n * n * n / (F.col("r1") * (n - F.col("r1")) * F.col("c1") * (n - F.col("c1")))
     stat = F.when(dof == 1, corrected).otherwise(plain) if yates else plain

@@ -32,7 +32,7 @@ def flagship(spark, root):
                   rnd(F.sum("amount"), 2).alias("total_amount"),
                   rnd(F.sum("qty"), 2).alias("total_qty"),
                   rnd(F.avg(F.col("supply_value").isNotNull().cast("double")), 6).alias("supply_match_rate")))
-    return out.orderBy(F.col("total_events").desc(), "r_name").limit(10)
+    return out.orderBy(F.col("total_events").desc(), "r_name")
 
 
 register("flagship_group_totals", f"""

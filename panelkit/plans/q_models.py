@@ -40,8 +40,6 @@ def _horizon_fit(train, test, label, log_target: bool):
         p = m.transform(test)
         if log_target:
             p = with_scalars(p, upper).withColumn("prediction", expm1_inverse("prediction", F.col("__ymax")))
-        else:
-            p = p.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
         out[name] = EV.rmse_r2(p, label, "prediction").select("rmse")
     return out
 
@@ -123,7 +121,10 @@ def _labelled(spark, root):
     f = f.withColumn("high_risk", F.col("high_risk").cast("double"))
     scaled = MD.standardize(f, P1_FEATURES, fit_on=f.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), suffix="_z")
     _, x, names = MD.design(scaled, [c + "_z" for c in P1_FEATURES], ["region"], drop_first=False)
-    x = MD.balanced_weights(x.select("c_custkey", "year", "region", "high_risk", "features"), "high_risk")
+    x = x.select("c_custkey", "year", "region", "high_risk", "features")
+    # weights from the training years alone; test rows have none
+    train = MD.balanced_weights(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk")
+    x = train.unionByName(x.filter(F.col("year") > P1_TRAIN_LAST_YEAR), allowMissingColumns=True)
     return cut_lineage(x), [n[:-2] if n.endswith("_z") else n for n in names]
 
 

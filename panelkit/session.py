@@ -8,6 +8,7 @@ resolves the shared checkpoint folder the cluster names.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -56,10 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is only read here.
-    A private folder is created only when the setting is unset (tests, local
-    runs)."""
+    A private folder is created only when the setting is unset and the master
+    is local (tests, local runs); elsewhere an unset folder is an error, since
+    executors do not share a local one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set; master {master} needs a shared folder there")
         d = tempfile.mkdtemp(prefix="panelkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
@@ -81,10 +86,33 @@ def cut_lineage(df):
     survives lost executors."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop_at_exit, spark)
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+#: Copies that this application has written.
+_WRITTEN: list[str] = []
+
+
+def drop_copies(spark: SparkSession) -> int:
+    """Delete every copy that ``cut_lineage`` wrote; frames that read them are
+    no longer usable. Returns how many there were."""
+    sc, n = spark.sparkContext, len(_WRITTEN)
+    while _WRITTEN:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _BUILT.clear()
+    return n
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped yet
+        drop_copies(spark)
+
+
 _BUILT: dict = {}
 
 

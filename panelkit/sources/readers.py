@@ -20,9 +20,12 @@ def table(spark: SparkSession, root: str, name: str, columns=None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema, columns=None,
-             encoding: str = "UTF-8", null_value: str | None = None) -> DataFrame:
-    """CSV scan with header, explicit schema and a column list."""
-    r = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+             encoding: str = "UTF-8", null_value: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV scan with header, explicit schema and a column list. Quoted fields may
+    hold line breaks and doubled quotes; ``multi_line=False`` lets files without
+    such breaks be split between tasks."""
+    r = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+         .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
     if null_value is not None:
         r = r.option("nullValue", null_value)
     df = r.schema(schema).csv(path)
