@@ -19,8 +19,8 @@ from ._common import id_and_text, map_texts, texts
 #: Hashed features, and the lengths of the character n-grams.
 BITS, ORDERS = 14, (1, 2, 3)
 DIM = 1 << BITS
-#: Most training texts per language (in expectation) and most languages.
-SAMPLE, MAX_LANGS = 1500, 200
+#: Most training texts per language and in all (in expectation), most languages.
+SAMPLE, SAMPLE_ALL, MAX_LANGS = 1500, 8000, 200
 #: Code points of a text that one step looks at; longer texts take more steps.
 STEP = 1 << 20
 
@@ -120,7 +120,7 @@ def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_langs: int, ep
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
             at, value = x[i]
-            at, value = np.append(at, DIM), np.append(value, 1.0)
+            at, value = np.append(at.astype(np.int64), DIM), np.append(value.astype(float), 1.0)
             w = solved(z[at], q[at])
             p = value @ w
             p = np.exp(p - p.max())
@@ -162,6 +162,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         return Model((), np.zeros(DIM), np.zeros((DIM + 1, 0)), 1.0)
     n, df = document_frequencies(rows.select("id", "text"))
     idf = np.log((1 + n) / (1 + df)) + 1
+    sample = min(sample, SAMPLE_ALL // len(langs))
     share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, sample / sizes[k]))])
     u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(F.col("lang").isin(*langs)).where(u < share[F.col("lang")])
@@ -169,14 +170,14 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     def make():
         def work(batch):
             at, values = zip(*(features(t, idf) for t in texts(batch)))
-            return None, [[a.astype(np.int32) for a in at], [v.astype(np.float32) for v in values]]
+            return None, [[a.astype(np.uint16).tobytes() for a in at], [v.astype(np.float32).tobytes() for v in values]]
 
         return work
 
-    made = map_texts(chosen, "at array<int>, value array<float>", make, keep=("id", "lang"))
+    made = map_texts(chosen, "at binary, value binary", make, keep=("id", "lang"))
     # bounded by the sample; sorted, so that the fit does not depend on the partitions
     got = sorted(((str(r["id"]), r["lang"], r["at"], r["value"]) for r in made.collect()), key=lambda r: r[:2])
-    x = [(np.asarray(r[2]), np.asarray(r[3], float)) for r in got]
+    x = [(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.float32)) for r in got]
     y = np.array([langs.index(r[1]) for r in got])
     held = np.arange(len(x)) % 5 == 4
     fit = np.flatnonzero(~held)
