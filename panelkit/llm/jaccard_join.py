@@ -103,7 +103,8 @@ def _ordered(low: Column, freq: Column, end: int) -> Column:
 
 def _light_limit(scan: float, percent: int) -> int:
     """The largest set size at which enumerating pairs of the first p + 1
-    shingles costs no more than scanning p lists of ``scan`` entries each."""
+    shingles costs no more than posting a set in p lists and making ``scan``
+    candidates in each."""
     size = 1
     while size < 10_000:
         p = size + 1 - least_overlap(size + 1, percent) + 1
@@ -113,14 +114,19 @@ def _light_limit(scan: float, percent: int) -> int:
     return size
 
 
-def _keys(reps: DataFrame, percent: int, end: int) -> DataFrame:
+def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
     """(key, id, n, light, pos, own): what each class is posted under, the
     place of that shingle in its order, and its share of shingles (per mille)
-    that no other set holds. Those are left out, since they lead to nothing."""
+    that no other set holds. Those are left out, since they lead to nothing.
+    A scan makes a candidate of each entry and its list's head (``heads``), or
+    of each two entries, which sets the boundary between light and heavy."""
     post = reps.select("id", F.explode(F.filter("low", lambda x: x < end)).alias("h"))
     shared = materialise(post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    cost = shared.agg(F.sum(F.col("df").cast("double") ** 2) / F.sum("df")).first()[0]
-    limit = _light_limit(float(cost or 1.0) - 1.0, percent)
+    if heads:
+        limit = _light_limit(1.0, percent)
+    else:
+        cost = shared.agg(F.sum(F.col("df").cast("double") ** 2) / F.sum("df")).first()[0]
+        limit = _light_limit(float(cost or 1.0) - 1.0, percent)
     # at most one set's shingles in a group
     freq = post.join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("freq"))
     ranked = reps.join(freq, "id", "left").select("id", "n", _ordered(F.col("low"), F.col("freq"), end).alias("order"))
@@ -185,7 +191,7 @@ def _pairs(listed: DataFrame, percent: int, other: Column) -> DataFrame:
 def _links(reps: DataFrame, base: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
     """Verified links (a, b) between classes: all of them on ``every``, else
     enough that classes are connected just as by all."""
-    listed = materialise(_keys(reps, percent, region(percent)))
+    listed = materialise(_keys(reps, percent, region(percent), heads=not every))
     if every:
         both = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         sets = _whole_sets(listed.join(both, "key"), base, n, percent)
@@ -212,7 +218,7 @@ def _links(reps: DataFrame, base: DataFrame, n: int, percent: int, every: bool)
     listed = listed.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     split = listed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     left = _whole_sets(listed.join(split, "key"), base, n, percent)
-    again = (_keys(left, percent, 2**63 - 1).join(left.select("id", "bits"), "id").join(label, "id", "left")
+    again = (_keys(left, percent, 2**63 - 1, heads=False).join(left.select("id", "bits"), "id").join(label, "id", "left")
              .withColumn("label", F.coalesce("label", "id")))
     rest = _pairs(materialise(again), percent, F.col("label_a") != F.col("label_b"))
     rest = materialise(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
