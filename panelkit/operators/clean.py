@@ -47,9 +47,8 @@ def entity_rows(df: DataFrame, code_col: str | None = None, name_col: str | None
     if exclude_names is None:
         return df
     if isinstance(exclude_names, DataFrame):
-        from .joins import bounded_broadcast
         ex = exclude_names.select(strip_ws(exclude_names.columns[0]).alias("__ex"))
-        return df.join(bounded_broadcast(ex), strip_ws(name_col) == F.col("__ex"), "left_anti")
+        return df.join(ex, strip_ws(name_col) == F.col("__ex"), "left_anti")
     return df.filter(~F.coalesce(strip_ws(name_col).isin(*list(exclude_names)), F.lit(False)))
 
 

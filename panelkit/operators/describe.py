@@ -87,9 +87,19 @@ def driver_table(df: DataFrame, group: str, y: str, level: str, places: int = 6)
                     rnd(F.col("n") * 100.0 / F.col("__n"), places).alias("share_pct")))
 
 
+def listed_only(col: str, values):
+    """The column, or an error at run time where it has a value (or null) that
+    the list does not name."""
+    said = F.concat(F.lit(f"{col} has a value that the column list lacks: "), F.coalesce(F.col(col).cast("string"), F.lit("null")))
+    return F.when(F.col(col).isin(list(values)), F.col(col)).otherwise(F.raise_error(said))
+
+
 def pivot_wide(df: DataFrame, row: str, col: str, value: str, values=None, fill=0.0) -> DataFrame:
     """Row x col matrix of sums; pass ``values`` (the column list)
-    to avoid the extra distinct job. Missing cells are ``fill``."""
+    to avoid the extra distinct job: a row of another column value then fails
+    the job, since the matrix would lose it. Missing cells are ``fill``."""
+    if values is not None:
+        df = df.withColumn(col, listed_only(col, values))
     p = df.groupBy(row).pivot(col, values).agg(F.sum(value))
     return p.fillna(fill) if fill is not None else p
 
@@ -107,7 +117,8 @@ def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between min and max; the max falls in the last
-    bin (not bin n+1). Returns (bin, lo, hi, n) for non-empty bins."""
+    bin (not bin n+1). Returns (bin, lo, hi, n) for every bin, empty ones with
+    n = 0; no rows when there is no value."""
     v = df.select(F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     mm = v.agg(F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
     x = with_scalars(v, mm)
@@ -116,9 +127,13 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
                   F.floor((F.col("__v") - F.col("__mn")) * F.try_divide(F.lit(float(bins)),
                                                                         F.col("__mx") - F.col("__mn"))))
     x = x.withColumn("bin", F.coalesce(idx, F.lit(0)).cast("int"))
-    return (x.groupBy("bin", "__mn", "__mx").agg(F.count(F.lit(1)).alias("n"))
-             .select("bin", (F.col("__mn") + F.col("bin") * width).alias("lo"),
-                     (F.col("__mn") + (F.col("bin") + 1) * width).alias("hi"), "n"))
+    counts = x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    every = mm.filter(F.col("__mn").isNotNull()).select(
+        "__mn", "__mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return (every.join(counts, "bin", "left")
+                 .select("bin", (F.col("__mn") + F.col("bin") * width).alias("lo"),
+                         (F.col("__mn") + (F.col("bin") + 1) * width).alias("hi"),
+                         F.coalesce("n", F.lit(0).cast("long")).alias("n")))
 
 
 def trend(df: DataFrame, y: str, x: str, by=None) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, strip_ws
-from .joins import bounded_broadcast
 
 
 def dedup_mapping(mapping: DataFrame, key: str = "map_key", order_col: str | None = None) -> DataFrame:
@@ -25,11 +24,10 @@ def apply_mapping(df: DataFrame, mapping: DataFrame, name_col: str,
     """Left join on the normalised name; output the canonical name (or the
     stripped original when unmapped) and a 0/1 flag.
 
-    The mapping is a dimension: it is deduplicated first, then broadcast
-    behind a row-count bound (beyond it the planner shuffles)."""
+    The mapping is deduplicated first; the planner broadcasts it only where
+    its measured bytes allow."""
     m = dedup_mapping(mapping.select("map_key", "canonical_name", *([order_col] if order_col else [])),
                       order_col=order_col).select("map_key", "canonical_name")
-    m = bounded_broadcast(m)
     out = (df.withColumn(name_col, strip_ws(name_col))
              .withColumn("__key", norm_key(name_col))
              .join(m, F.col("__key") == F.col("map_key"), "left"))
@@ -42,7 +40,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, out_col: str | N
            default: str | None = "Unknown") -> DataFrame:
     """Key -> value from a small aggregate (entity -> modal group, group
     -> tier); a missing key gets ``default``."""
-    d = bounded_broadcast(dim.select(F.col(key).alias("__lk"), F.col(value).alias("__lv")))
+    d = dim.select(F.col(key).alias("__lk"), F.col(value).alias("__lv"))
     out = df.join(d, F.col(key) == F.col("__lk"), "left").drop("__lk")
     v = F.coalesce(F.col("__lv"), F.lit(default)) if default is not None else F.col("__lv")
     return out.withColumn(out_col or value, v).drop("__lv") if (out_col or value) != "__lv" else out

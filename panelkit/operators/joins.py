@@ -1,27 +1,15 @@
 """Join helpers.
 
-A side is broadcast only when its size is bounded: either by construction
-(a literal table such as a rule or pattern list, a one-row aggregate) or by
-a cheap check (``limit(max_rows + 1).count()``).  Beyond the bound the join
-is left to the planner (sort-merge with AQE, which may still switch to a
-broadcast once it measures the shuffled side)."""
+A side is hinted for broadcast only when its size is bounded by construction
+(a literal table such as a rule or pattern list, a one-row aggregate).  Every
+other join is left to the planner, which decides by bytes: from the scan's
+statistics, or with AQE from what it measured of the shuffled side."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound for a dimension we are willing to broadcast to every executor.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
-
-    The check reads at most ``max_rows + 1`` rows (a limit, not a full count)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def fixed_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a side whose size is fixed by construction (literal tables,

@@ -139,24 +139,32 @@ def positive_probability(pred: DataFrame, col: str = "probability", out: str = "
     return pred.withColumn(out, vector_to_array(F.col(col))[1])
 
 
-def isotonic_calibrate(train_scored: DataFrame, score: str, label: str, folds: int = 3, fold_col: str = "__fold"):
-    """Fit one isotonic map per fold on the other folds' out-of-fold
-    scores; returns the list of models (averaged by ``apply_calibration``)."""
-    models = []
-    for f in range(folds):
-        part = train_scored.filter(F.col(fold_col) != f)
-        models.append(IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="__cal").fit(
-            part.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label))))
-    return models
-
-
-def apply_calibration(df: DataFrame, models, score: str, out: str = "proba_cal") -> DataFrame:
-    cols = []
-    x = df
-    for i, m in enumerate(models):
-        x = m.setPredictionCol(f"__cal{i}").setFeaturesCol(score).transform(x)
-        cols.append(F.col(f"__cal{i}"))
-    return x.withColumn(out, sum(cols) / len(cols)).drop(*[f"__cal{i}" for i in range(len(models))])
+def isotonic_calibrate(train: DataFrame, label: str, fit, folds: int = 3, fold_col: str = "__fold"):
+    """For each fold, ``fit`` a classifier on the other folds, score the
+    held-out fold with it and fit an isotonic map there, so that no row is
+    scored by a classifier that saw it. Returns the (classifier, map) pairs
+    (averaged by ``apply_calibration``)."""
+
+    def one(f):
+        model = fit(train.filter(F.col(fold_col) != f))
+        held = positive_probability(model.transform(train.filter(F.col(fold_col) == f)), out="__score")
+        iso = IsotonicRegression(featuresCol="__score", labelCol="__label", predictionCol=f"__cal{f}").fit(
+            held.select("__score", F.col(label).cast("double").alias("__label")))
+        return model, iso
+
+    return parallel_fits(one, range(folds))
+
+
+def apply_calibration(df: DataFrame, pairs, out: str = "proba_cal") -> DataFrame:
+    """The mean over (classifier, map) pairs of the mapped probabilities;
+    ``df`` has the features that the classifiers were fitted on."""
+    cols, x = [], df
+    for model, iso in pairs:
+        before = x.columns
+        x = positive_probability(model.transform(x), out="__score")
+        x = iso.transform(x).select(*before, iso.getPredictionCol())
+        cols.append(iso.getPredictionCol())
+    return x.withColumn(out, sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols)).drop(*cols)
 
 
 def parallel_fits(fn, items, threads: int = 8):

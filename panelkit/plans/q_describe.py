@@ -194,10 +194,11 @@ register("histogram50", """
 WITH v AS (SELECT CAST(o_totalprice AS DOUBLE) AS v FROM orders WHERE o_totalprice IS NOT NULL),
 mm AS (SELECT min(v) AS mn, max(v) AS mx FROM v),
 b AS (SELECT CAST(COALESCE(least(49, floor((v - mn) * (50.0 / NULLIF(mx - mn, 0)))), 0) AS INTEGER) AS bin, mn, mx
-      FROM v CROSS JOIN mm)
-SELECT bin, round(mn + bin * ((mx - mn) / 50), 6) AS lo, round(mn + (bin + 1) * ((mx - mn) / 50), 6) AS hi,
-       CAST(count(*) AS BIGINT) AS n
-FROM b GROUP BY bin, mn, mx""")(histogram50)
+      FROM v CROSS JOIN mm),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT CAST(r.bin AS INTEGER) AS bin, round(mn + r.bin * ((mx - mn) / 50), 6) AS lo,
+       round(mn + (r.bin + 1) * ((mx - mn) / 50), 6) AS hi, CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+FROM mm CROSS JOIN range(50) r(bin) LEFT JOIN c ON c.bin = r.bin WHERE mn IS NOT NULL""")(histogram50)
 
 
 def trend(spark, root):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import flag, rnd, weighted_score
 from ..operators import evaluate as EV
 from ..operators import windows as W
-from ..operators.joins import bounded_broadcast, with_scalars
+from ..operators.joins import with_scalars
 from ..operators.stats import exact_quantiles
 from ..sources.readers import table
 from .q_describe import P2_SQL
@@ -145,7 +145,7 @@ def group_kfold_baseline(spark, root):
     its fold list, no join against a fold table."""
     d = p2_panel(spark, root).select("n_name", "month_idx", weighted_score("n_events", "qty").alias("risk"))
     folds = EV.group_folds(d, "n_name", K_FOLDS)
-    d = d.join(bounded_broadcast(folds), "n_name")
+    d = d.join(folds, "n_name")
     train = d.select("risk", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(K_FOLDS - 1)), F.col("fold"))).alias("f"))
     thr = exact_quantiles(train, "risk", {"thr": 0.75}, by=["f"])
     tl = train.join(thr, "f").withColumn("ytr", flag(F.col("risk") >= F.col("thr")))

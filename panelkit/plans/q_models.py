@@ -14,7 +14,7 @@ from ..operators import evaluate as EV
 from ..operators import features as FT
 from ..operators import models as MD
 from ..operators.describe import entity_profile
-from ..operators.joins import bounded_broadcast, with_scalars
+from ..operators.joins import with_scalars
 from ..operators.panel import balance_panel
 from ..session import cut_lineage
 from .q_panel import FEATURES, dense_features
@@ -23,16 +23,14 @@ from .roles import p1_panel
 from .q_stats import TRAIN_LAST_MONTH
 
 HORIZONS = (1, 5, 10)
-# Catalogue model sizes (the operators default to the
-# reference's larger settings).
-FOREST = {"trees": 60, "depth": 10, "min_leaf": 5}
+# Forests have the operators' published sizes.
 RIDGE_REG = 0.1
 
 
 def _horizon_fit(train, test, label, log_target: bool):
     y = "__y"
     tr = train.withColumn(y, log1p_target(label) if log_target else F.col(label).cast("double"))
-    rf = MD.forest_regressor(tr, y, **FOREST)
+    rf = MD.forest_regressor(tr, y)
     lr = MD.linear(tr, y, reg=RIDGE_REG)
     upper = tr.agg(F.max(y).alias("__ymax"))
     out = {}
@@ -81,7 +79,7 @@ def forward_forecast(spark, root):
     anchor = x.agg(F.max("month_idx").alias("__a"))
     last = with_scalars(x, anchor).filter(F.col("month_idx") == F.col("__a"))
     models = MD.parallel_fits(
-        lambda h: MD.forest_regressor(x.filter(F.col(f"y_plus{h}").isNotNull()), f"y_plus{h}", **FOREST), HORIZONS)
+        lambda h: MD.forest_regressor(x.filter(F.col(f"y_plus{h}").isNotNull()), f"y_plus{h}"), HORIZONS)
     out = None
     for h, m in zip(HORIZONS, models):
         p = m.transform(last).select("n_name", F.col("month_idx").alias("anchor"), F.lit(h).alias("horizon"),
@@ -136,7 +134,7 @@ def classifier_metrics(spark, root):
     x, _ = _labelled(spark, root)
     train, test = x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), x.filter(F.col("year") > P1_TRAIN_LAST_YEAR)
     builders = {"logistic": lambda: MD.logistic(train, "high_risk"), "tree": lambda: MD.tree(train, "high_risk"),
-                "forest": lambda: MD.forest_classifier(train, "high_risk", trees=FOREST["trees"], depth=FOREST["depth"])}
+                "forest": lambda: MD.forest_classifier(train, "high_risk")}
     fits = dict(zip(builders, MD.parallel_fits(lambda b: b(), builders.values())))
     keep = ["c_custkey", "year", "high_risk"]
     maj = MD.majority(train, "high_risk")
@@ -153,9 +151,10 @@ def classifier_metrics(spark, root):
     pt = MD.positive_probability(rf.transform(test))
     preds.append(pt.select(F.lit("forest_tuned").alias("model"), *keep, "proba",
                            (F.col("proba") >= t).cast("double").alias("pred"), F.lit(t).alias("threshold")))
-    folds = tr_scored.withColumn("__fold", F.pmod(F.col("c_custkey"), F.lit(3)))
-    cal = MD.isotonic_calibrate(folds, "proba", "high_risk", 3)
-    pc = MD.apply_calibration(pt, cal, "proba", "proba_cal")
+    folds = train.drop("w").withColumn("__fold", F.pmod(F.xxhash64("c_custkey", "year"), F.lit(3)))
+    cal = MD.isotonic_calibrate(
+        folds, "high_risk", lambda d: MD.forest_classifier(MD.balanced_weights(d, "high_risk"), "high_risk"), 3)
+    pc = MD.apply_calibration(test, cal, "proba_cal")
     preds.append(pc.select(F.lit("forest_calibrated").alias("model"), *keep, F.col("proba_cal").alias("proba"),
                            (F.col("proba_cal") >= 0.5).cast("double").alias("pred"), F.lit(0.5).alias("threshold")))
     allp = preds[0]
@@ -176,8 +175,7 @@ register("classifier_metrics")(classifier_metrics)
 def feature_importance(spark, root):
     """Forest importances with feature names, ranked."""
     x, names = _labelled(spark, root)
-    rf = MD.forest_classifier(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk",
-                              trees=FOREST["trees"], depth=FOREST["depth"])
+    rf = MD.forest_classifier(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk")
     return MD.importance_table(spark, names, rf.featureImportances)
 
 
@@ -188,8 +186,7 @@ def group_risk_rank(spark, root):
     """A22 + W14: mean predicted probability of high risk per region on the
     test years, ranked 1..n (one row per region)."""
     x, _ = _labelled(spark, root)
-    rf = MD.forest_classifier(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk",
-                              trees=FOREST["trees"], depth=FOREST["depth"])
+    rf = MD.forest_classifier(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk")
     p = MD.positive_probability(rf.transform(x.filter(F.col("year") > P1_TRAIN_LAST_YEAR)))
     g = p.groupBy("region").agg(rnd(F.avg("proba"), 6).alias("mean_proba_high"))
     from ..operators.windows import dense_position
@@ -287,13 +284,13 @@ def group_kfold_models(spark, root):
     _, x, _ = MD.design(f, FEATURES + ["month_idx"], ["region"])
     x = x.filter(F.col("y_plus1").isNotNull()).select("n_name", "features", "y_plus1")
     folds = EV.group_folds(x, "n_name", 5)
-    x = cut_lineage(x.join(bounded_broadcast(folds), "n_name"))
+    x = cut_lineage(x.join(folds, "n_name"))
     jobs = [(k, m) for k in range(5) for m in ("rf", "ridge")]
 
     def run(job):
         k, m = job
         tr, te = x.filter(F.col("fold") != k), x.filter(F.col("fold") == k)
-        model = MD.forest_regressor(tr, "y_plus1", **FOREST) if m == "rf" else MD.linear(tr, "y_plus1", reg=RIDGE_REG)
+        model = MD.forest_regressor(tr, "y_plus1") if m == "rf" else MD.linear(tr, "y_plus1", reg=RIDGE_REG)
         p = model.transform(te).withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
         return k, m, EV.rmse_r2(p, "y_plus1", "prediction").first().rmse
 

@@ -8,6 +8,7 @@ from ..functions.numeric import rnd
 from ..operators import allocate as AL
 from ..operators import rules as RU
 from ..operators import windows as W
+from ..operators.describe import listed_only
 from .q_build import JOINED_SQL, joined_panel
 from .q_stats import TRAIN_LAST_MONTH
 from .registry import register
@@ -110,7 +111,8 @@ PRIORITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
 
 def rule_hits_by_group(spark, root):
-    f = fired_rules(spark, root)
+    # a rule with a priority that the list lacks fails the job instead of vanishing
+    f = fired_rules(spark, root).withColumn("priority", listed_only("priority", PRIORITIES))
     p = f.groupBy("r_name").pivot("priority", PRIORITIES).agg(F.count(F.lit(1))).fillna(0)
     return p.withColumn("total", sum(F.col(c) for c in PRIORITIES))
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast
 from ..operators.panel import event_panel
 from ..session import built_once
 from ..sources.readers import table
@@ -38,11 +37,10 @@ def order_qty(spark: SparkSession, root: str) -> DataFrame:
 
 
 def geo(spark: SparkSession, root: str) -> DataFrame:
-    """nation + region (a bounded dimension), broadcast after a size check."""
+    """nation + region; the planner broadcasts them by their bytes."""
     n = table(spark, root, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     r = table(spark, root, "region", ["r_regionkey", "r_name"])
-    return bounded_broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-                              .select("n_nationkey", "n_name", "r_name"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
 
 
 def order_events(spark: SparkSession, root: str, with_qty: bool = True) -> DataFrame:

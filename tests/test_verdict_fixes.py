@@ -62,3 +62,41 @@ def test_copies_are_deleted(spark):
     assert os.path.exists(path) and session.drop_copies(spark) == 1 and not os.path.exists(path)
     session._WRITTEN.extend(before)
     session._BUILT.update(kept)
+
+
+def test_histogram_keeps_empty_bins(spark):
+    from panelkit.operators.describe import histogram
+    df = spark.createDataFrame([(0.0,), (1.0,), (100.0,), (None,)], "v double")
+    h = {r.bin: r.n for r in histogram(df, "v", 50).collect()}
+    assert h == {b: 2 if b == 0 else 1 if b == 49 else 0 for b in range(50)}
+    assert histogram(df.filter("v IS NULL"), "v", 50).count() == 0
+
+
+def test_pivot_with_a_column_list_fails_on_other_values(spark):
+    from panelkit.operators.describe import pivot_wide
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], "r string, c string, v double")
+    assert pivot_wide(df, "r", "c", "v", values=["x", "y"]).first().asDict() == {"r": "a", "x": 1.0, "y": 2.0}
+    with pytest.raises(Exception, match="column list lacks"):
+        pivot_wide(df, "r", "c", "v", values=["x"]).collect()
+
+
+def test_calibration_scores_held_out_rows_only(spark):
+    """Labels are coin flips: a classifier that saw a row knows its label, so
+    calibrated in-sample scores would be near 0 and 1."""
+    import numpy as np
+    from panelkit.operators import models as MD
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, float(a), float(rng.integers(2))) for i, a in enumerate(rng.normal(0, 1, 300))]
+    _, x, _ = MD.design(spark.createDataFrame(rows, "__fold int, a double, y double"), ["a"])
+    seen = []
+
+    def fit(d):
+        seen.append({r["__fold"] for r in d.select("__fold").distinct().collect()})
+        return MD.forest_classifier(MD.balanced_weights(d, "y"), "y", trees=10)
+
+    pairs = MD.isotonic_calibrate(x, "y", fit, 3)
+    assert sorted(map(sorted, seen)) == [[0, 1], [0, 2], [1, 2]]
+    out = MD.apply_calibration(x, pairs).select("proba_cal").collect()
+    assert len(out) == 300 and all(0 <= r[0] <= 1 for r in out)
+    # held-out maps of a classifier without signal stay near the base rate
+    assert np.std([r[0] for r in out]) < 0.25
