@@ -49,7 +49,7 @@ def share_of_total(df: DataFrame, by, value: str, places: int = 1) -> DataFrame:
     """Per-key total and its percent share of the grand total."""
     by = [by] if isinstance(by, str) else list(by)
     g = df.groupBy(*by).agg(F.sum(value).alias("total"))
-    tot = df.agg(F.sum(value).alias("__grand"))
+    tot = g.agg(F.sum("total").alias("__grand"))  # the same aggregate again, so its exchange is reused
     return (with_scalars(g, tot)
             .withColumn("share_pct", F.round(F.try_divide(F.col("total") * 100.0, F.col("__grand")), places))
             .drop("__grand"))
