@@ -91,8 +91,8 @@ def _sets(base: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
 # ---- candidates ---------------------------------------------------------
 
 def _ordered(low: Column, freq: Column, end: int) -> Column:
-    """The shingles rare first. ``freq`` lists those that several sets hold, as
-    (df, h); the rest of the counted region stands in one set only. Shingles
+    """The shingles rare first. ``freq`` lists those that sets of several labels
+    hold, as (df, h); the rest of the counted region leads to no other label. Shingles
     beyond the region, whose frequency nobody counted, come last."""
     shared = F.coalesce(F.transform(freq, lambda x: x["h"]), F.array().cast("array<bigint>"))
     alone = F.array_except(F.filter(low, lambda x: x < end), shared)
@@ -115,20 +115,22 @@ def _light_limit(scan: float, percent: int) -> int:
 
 
 def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
-    """(key, id, n, light, pos, own): what each class is posted under, the
-    place of that shingle in its order, and its share of shingles (per mille)
-    that no other set holds. Those are left out, since they lead to nothing.
-    A scan makes a candidate of each entry and its list's head (``heads``), or
+    """(key, id, n, light, pos, own): what each class (id, label, n, low) is
+    posted under, the place of that shingle in its order, and its share of
+    shingles (per mille) that no other label holds. Those are left out: links
+    are sought between labels, and two sets of different labels that share a
+    shingle make it one that both labels hold. A scan makes a candidate of each entry and its list's head (``heads``), or
     of each two entries, which sets the boundary between light and heavy."""
-    post = reps.select("id", F.explode(F.filter("low", lambda x: x < end)).alias("h"))
-    shared = materialise(post.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    post = reps.select("id", "label", F.explode(F.filter("low", lambda x: x < end)).alias("h"))
+    shared = materialise(post.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
+                         .where("x < y").select("h", "df"))
     if heads:
         limit = _light_limit(1.0, percent)
     else:
         cost = shared.agg(F.sum(F.col("df").cast("double") ** 2) / F.sum("df")).first()[0]
         limit = _light_limit(float(cost or 1.0) - 1.0, percent)
     # at most one set's shingles in a group
-    freq = post.join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("freq"))
+    freq = post.select("id", "h").join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("freq"))
     ranked = reps.join(freq, "id", "left").select("id", "n", _ordered(F.col("low"), F.col("freq"), end).alias("order"))
     ranked = ranked.withColumn("own", F.floor(1000 * F.size(F.filter("order", lambda x: x["kind"] == 0)) / F.size("order")))
     first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
@@ -188,10 +190,15 @@ def _pairs(listed: DataFrame, percent: int, other: Column) -> DataFrame:
             .where(_possible(percent) & _near(percent)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
 
 
+def _of_several_labels(listed: DataFrame) -> DataFrame:
+    """The keys whose lists hold sets of more than one label."""
+    return listed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+
+
 def _links(reps: DataFrame, base: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
     """Verified links (a, b) between classes: all of them on ``every``, else
     enough that classes are connected just as by all."""
-    listed = materialise(_keys(reps, percent, region(percent), heads=not every))
+    listed = materialise(_keys(reps.withColumn("label", F.col("id")), percent, region(percent), heads=not every))
     if every:
         both = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         sets = _whole_sets(listed.join(both, "key"), base, n, percent)
@@ -216,11 +223,11 @@ def _links(reps: DataFrame, base: DataFrame, n: int, percent: int, every: bool)
     # then the sets of lists that are not connected yet, among themselves: they
     # are few, so that all their shingles can be counted and the order is exact
     listed = listed.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = listed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    left = _whole_sets(listed.join(split, "key"), base, n, percent)
-    again = (_keys(left, percent, 2**63 - 1, heads=False).join(left.select("id", "bits"), "id").join(label, "id", "left")
-             .withColumn("label", F.coalesce("label", "id")))
-    rest = _pairs(materialise(again), percent, F.col("label_a") != F.col("label_b"))
+    left = _whole_sets(listed.join(_of_several_labels(listed), "key"), base, n, percent)
+    left = materialise(left.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    again = materialise(_keys(left, percent, 2**63 - 1, heads=False).join(left.select("id", "label", "bits"), "id"))
+    again = again.join(_of_several_labels(again), "key")
+    rest = _pairs(again, percent, F.col("label_a") != F.col("label_b"))
     rest = materialise(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     return links.unionByName(_verified(rest, left, percent).where("linked").select("a", "b"))
 
