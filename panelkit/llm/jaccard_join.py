@@ -119,26 +119,32 @@ def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
     posted under, the place of that shingle in its order, and its share of
     shingles (per mille) that no other label holds. Those are left out: links
     are sought between labels, and two sets of different labels that share a
-    shingle make it one that both labels hold. A scan makes a candidate of each entry and its list's head (``heads``), or
-    of each two entries, which sets the boundary between light and heavy."""
+    shingle make it one that both labels hold. A scan makes a candidate of each
+    entry and its list's head (``heads``), or of each two entries of different
+    labels in the lists of first shingles, which are measured; that sets the
+    boundary between light and heavy."""
     post = reps.select("id", "label", F.explode(F.filter("low", lambda x: x < end)).alias("h"))
     shared = materialise(post.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
                          .where("x < y").select("h", "df"))
-    if heads:
-        limit = _light_limit(1.0, percent)
-    else:
-        cost = shared.agg(F.sum(F.col("df").cast("double") ** 2) / F.sum("df")).first()[0]
-        limit = _light_limit(float(cost or 1.0) - 1.0, percent)
     # at most one set's shingles in a group
     freq = post.select("id", "h").join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("freq"))
     ranked = reps.join(freq, "id", "left").select("id", "n", _ordered(F.col("low"), F.col("freq"), end).alias("order"))
-    ranked = ranked.withColumn("own", F.floor(1000 * F.size(F.filter("order", lambda x: x["kind"] == 0)) / F.size("order")))
     first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
+    own = F.floor(1000 * F.size(F.filter("order", lambda x: x["kind"] == 0)) / F.size("order"))
+    ranked = materialise(ranked.join(reps.select("id", "label"), "id").select(
+        "id", "label", "n", own.alias("own"), F.slice("order", 1, first + 1).alias("order")))
 
     def posted(size: Column) -> Column:
         placed = F.transform(F.slice("order", 1, size), lambda x, i: F.struct(x["kind"].alias("kind"), x["h"].alias("h"), (i + 1).alias("pos")))
         return F.filter(placed, lambda x: x["kind"] == 1)
 
+    scan = 1.0
+    if not heads:
+        each = ranked.select("label", F.explode(posted(first)).alias("x")).groupBy("x.h", "label").agg(F.count("*").alias("n"))
+        lists = each.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("same"))
+        # entries of other labels that an entry meets on average; each pair is made once
+        scan = lists.agg(F.sum(F.col("n").cast("double") ** 2 - F.col("same")) / F.sum("n") / 2).first()[0] or 0.0
+    limit = _light_limit(scan, percent)
     light = F.col("n") <= limit
     # sets that a heavy one may link to are posted in the lists as well
     lists = ranked.where(F.col("n") >= least_overlap(limit + 1, percent)).select(
