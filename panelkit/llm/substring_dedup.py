@@ -3,20 +3,24 @@
 A gear rolling hash over the UTF-8 bytes cuts each text into variable chunks;
 the cuts depend on the bytes near them alone, so an insertion shifts only the
 chunks around it.  Chunks are matched by digest across documents, and runs of
-matched chunks that are long enough are repeated passages.  Every occurrence
-but that in the document with the smallest id is to be cut."""
+matched chunks that are long enough are repeated passages.  Of each chunk in
+them, every occurrence but that in the document with the smallest id is to be
+cut."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import id_and_text, map_texts, materialise, text_bytes
+from ._common import id_and_text, map_texts, materialise, on_workers, text_bytes
 
 #: Bytes of a chunk at least and at most; one byte in ``1 << CUT_BITS`` may end one.
 LEAST, MOST, CUT_BITS = 20, 160, 4
@@ -91,38 +95,81 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_texts(base, "ends array<int>, digests array<bigint>", make, keep=("id", "row"))
 
 
+def split(pos: np.ndarray, older: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int, int, bool]]:
+    """The repeated passages of one document as (start, end, n_chunks, place of
+    the first hit, hits, dropped). Hits are the positions of repeated chunks, in
+    order, and whether an earlier occurrence stays. Runs of ``RUN`` bytes are
+    parted where that answer changes; a part with an earlier occurrence that is
+    shorter than ``RUN`` is kept with its neighbours, so that no kept passage
+    has a hole where a short chunk stands elsewhere too."""
+    each, at = np.unique(pos, return_index=True)  # a chunk may have several hits
+    old = np.logical_or.reduceat(older, at).tolist()
+    hit = [*at.tolist(), len(pos)]
+    stop = ends[each].tolist()
+    start = np.where(each == 0, 0, ends[each - 1]).tolist()
+    bounds = [0, *(np.flatnonzero(np.diff(each) != 1) + 1).tolist(), len(each)]
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        if stop[b - 1] - start[a] < RUN:
+            continue
+        parts: list[list] = []  # [first, past the last, dropped]
+        i = a
+        while i < b:
+            j = i + 1
+            while j < b and old[j] == old[i]:
+                j += 1
+            dropped = old[i] and stop[j - 1] - start[i] >= RUN
+            if parts and not dropped and not parts[-1][2]:
+                parts[-1][1] = j
+            else:
+                parts.append([i, j, dropped])
+            i = j
+        out += [(start[i], stop[j - 1], j - i, hit[i], hit[j] - hit[i], dropped) for i, j, dropped in parts]
+    return out
+
+
 def repeated_runs(chunked: DataFrame) -> DataFrame:
-    """Rows (id, start, end, n_chunks, first_id): maximal runs of chunks of a
-    document that stand in other documents too, in bytes. ``first_id`` is the
-    smallest id that holds one of the run's chunks."""
+    """Rows (id, start, end, n_chunks, first_id, dropped): the parts of the
+    maximal runs of chunks of a document that stand in other documents too, in
+    bytes. ``first_id`` is the smallest id that holds one of the part's chunks;
+    ``dropped``: each of its chunks stands in a document of a smaller id."""
     each = chunked.select("row", "id", F.posexplode("digests").alias("pos", "digest"))
     # partial aggregation first: a digest that a third of all documents hold is one row per task
     shared = (each.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
               .where("first_id < last_id").select("digest", "first_id"))
-    marked = each.join(shared, "digest").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "first_id"))).alias("hits"))  # at most one document's chunks
-    # position less rank is constant within a run; a column of its own, which is computed once a row
-    keyed = F.transform("hits", lambda h, i: F.struct((h["pos"] - i).alias("key"), h["pos"].alias("pos"), h["first_id"].alias("first_id")))
-    both = marked.select("row", keyed.alias("keyed")).join(chunked.select("row", "id", "ends"), "row")
-    return both.select("id", F.explode(_runs(F.col("keyed"), F.col("ends"))).alias("run")).select("id", "run.*")
-
-
-def _runs(keyed: Column, ends: Column) -> Column:
-    """Runs of consecutive positions, as (start, end, n_chunks, first_id)."""
-    heads = F.filter(keyed, lambda h, i: (i == 0) | (F.get(keyed, i - 1)["key"] != h["key"]))
-    lasts = F.filter(keyed, lambda h, i: (i == F.size(keyed) - 1) | (F.get(keyed, i + 1)["key"] != h["key"]))
-    spans = F.zip_with(heads, lasts, lambda a, b: F.struct(
-        F.when(a["pos"] == 0, 0).otherwise(F.get(ends, a["pos"] - 1)).alias("start"), F.get(ends, b["pos"]).alias("end"),
-        (b["pos"] - a["pos"] + 1).alias("n_chunks"),
-        F.array_min(F.transform(F.slice(keyed, a["pos"] - a["key"] + 1, b["pos"] - a["pos"] + 1),
-                                lambda x: x["first_id"])).alias("first_id")))
-    return F.filter(spans, lambda s: s["end"] - s["start"] >= RUN)
+    marked = each.join(shared, "digest").groupBy("row").agg(F.array_sort(F.collect_list(
+        F.struct("pos", (F.col("first_id") < F.col("id")).alias("older"), "first_id"))).alias("hits"))  # at most one document's chunks
+    return _parts(chunked.join(marked, "row").select("id", "ends", "hits"))
+
+
+def _parts(both: DataFrame) -> DataFrame:
+    """The parts of each document from rows (id, ends, hits)."""
+    out = both.select("id", F.col("hits.first_id").alias("first"), "ends", F.col("hits.pos").alias("pos"), F.col("hits.older").alias("older"))
+    fields = T.StructType([*out.schema.fields[:2], *T.StructType.fromDDL(
+        "parts array<struct<start:int,end:int,n_chunks:int,at:int,hits:int,dropped:boolean>>")])
+    schema = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, pos, older = (batch.column(k) for k in (2, 3, 4))
+            found = [split(np.asarray(pos[i].values), pos_older(older[i]), np.asarray(ends[i].values)) for i in range(batch.num_rows)]
+            kept = [batch.column(k).cast(schema.field(k).type) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, schema.field(2).type)], schema=schema)
+
+    def pos_older(flags: pa.ListScalar) -> np.ndarray:
+        return flags.values.to_numpy(zero_copy_only=False).astype(bool)
+
+    on_workers(both.sparkSession)
+    part = out.mapInArrow(run, fields).select("id", "first", F.explode("parts").alias("p"))
+    return part.select("id", "p.start", "p.end", "p.n_chunks", F.array_min(F.slice("first", F.col("p.at") + 1, F.col("p.hits"))).alias("first_id"), "p.dropped")
 
 
 def substring_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage of a document: the id, ``start`` and ``end``
     (UTF-8 bytes), ``n_chunks``, ``first_id`` (the smallest id that holds a
-    chunk of it) and ``dropped`` (false in that document itself).
+    chunk of it) and ``dropped`` (each of its chunks stands in a document of a
+    smaller id). A passage that is new here in part gives a row for each part;
+    what is dropped has at least 100 bytes, what is kept of it may be shorter.
 
     A passage counts from about 100 bytes of whole chunks that other ids hold;
     repeats inside one document alone do not. Null and empty texts and null ids
@@ -130,8 +177,7 @@ def substring_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     themselves do not count; an empty table gives an empty result; other columns
     are ignored. Digests have 64 bits, and a run needs several to agree."""
     found = repeated_runs(materialise(chunks(df, id_col, text_col).where("id IS NOT NULL")))
-    return found.select(F.col("id").alias(id_col), "start", "end", "n_chunks", "first_id",
-                        (F.col("first_id") < F.col("id")).alias("dropped"))
+    return found.select(F.col("id").alias(id_col), "start", "end", "n_chunks", "first_id", "dropped")
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

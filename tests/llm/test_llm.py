@@ -148,6 +148,27 @@ def test_substring_repeats_survive_shifts_and_leave_clean_documents(spark):
     assert cut[1].text == rows[0][1] and len(cut[2].text) < len(rows[1][1]) - S.RUN and cut[5].text is None and cut[3].text == rows[2][1]
 
 
+def test_a_passage_first_seen_beside_an_older_one_keeps_one_copy(spark):
+    header, body = prose(60, 80), prose(61, 120)
+    rows = [(1, header + " " + prose(62, 30)), (2, header + " " + body), (3, prose(63, 20) + " " + header + " " + body), (4, body)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = by_id(S.substring_dedup(df))
+    for passage in (header, body):
+        inner = passage[S.MOST:-S.MOST]  # whole chunks, whatever stands beside
+        assert sum(r.text.count(inner) for r in cut.values()) == 1
+    assert cut[1].text == rows[0][1] and body[S.MOST:] in cut[2].text and header[S.MOST:-S.MOST] not in cut[2].text
+    got = [r for r in S.substring_repeats(df).collect() if r.doc_id == 2]
+    assert sorted((r.first_id, r.dropped) for r in got) == [(1, True), (2, False)]
+
+
+def test_kept_passages_have_no_holes():
+    ends = np.arange(40, 440, 40)
+    # an older chunk of 40 bytes amid chunks first seen here; then 120 older bytes
+    assert S.split(np.arange(5), np.array([0, 0, 1, 0, 0], bool), ends) == [(0, 200, 5, 0, 5, False)]
+    assert S.split(np.arange(1, 6), np.array([0, 0, 1, 1, 1], bool), ends) == [(40, 120, 2, 0, 2, False), (120, 240, 3, 2, 3, True)]
+    assert S.split(np.array([0, 1, 4, 5]), np.ones(4, bool), ends) == []
+
+
 def test_chunks_do_not_depend_on_the_batch():
     texts = [prose(i, 50) + "é漢" * i for i in range(5)]
     def ends(parts):
