@@ -161,6 +161,23 @@ def test_a_passage_first_seen_beside_an_older_one_keeps_one_copy(spark):
     assert sorted((r.first_id, r.dropped) for r in got) == [(1, True), (2, False)]
 
 
+def test_repeats_inside_a_document_and_between_rows_of_an_id(spark):
+    once, twin = prose(70, 90), prose(71, 90)
+    rows = [(5, prose(72, 20) + " " + once + " " + prose(73, 20) + " " + once + " " + prose(74, 9) + " " + once),
+            (7, prose(75, 20) + " " + twin), (7, twin + " " + prose(76, 20)), (8, once), (9, prose(77, 90)), (9, prose(77, 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = [(r.doc_id, r.text) for r in S.substring_dedup(df).collect()]
+    for passage in (once, twin):
+        assert sum(t.count(passage[S.MOST:-S.MOST]) for _, t in cut) == 1
+    five = next(t for i, t in cut if i == 5)
+    assert rows[0][1].startswith(five[:20 + len(once)]) and once[:-S.MOST] in five
+    assert [t for i, t in cut if i == 9] == [rows[-1][1]] * 2  # rows that repeat whole are one document
+    got = S.substring_repeats(df).collect()
+    assert {r.doc_id for r in got} == {5, 7, 8}
+    whole = [r.dropped for r in got if r.doc_id == 5 and r.end - r.start >= S.RUN]  # edges of two copies may agree beyond the first
+    assert sorted(whole) == [False, True, True]
+
+
 def test_kept_passages_have_no_holes():
     ends = np.arange(40, 440, 40)
     # an older chunk of 40 bytes amid chunks first seen here; then 120 older bytes
