@@ -352,6 +352,37 @@ def test_wrapper_has_optional_and_repeated_groups():
     assert w == ["<ul>", "(<li> # </li>)+", "</ul>", "(<hr>)?", "<p>", "#", "</p>"]
 
 
+def test_pages_are_matched_against_the_wrapper():
+    w = ["<ul>", "(<li> # </li>)+", "</ul>", "(<hr>)?", "((<b>)? (#)? (</b>)? <p> # </p>)+"]
+    page = "<ul> <li> # </li> <li> # </li> </ul> <p> # </p> <b> # </b> <p> # </p>".split()
+    assert html_extract.match("\n".join(w), page) == [0, 0, 2, 1, 2]
+    assert html_extract.match("\n".join(w), page[:-1]) is None
+    assert html_extract.match("((<i>)?)+\n#", ["#"]) == [0]
+    r = random.Random(5)
+    for _ in range(200):
+        made = [html_extract.fold([r.choice(["<p>", "</p>", "#", "<i>"]) for _ in range(r.randint(0, 14))]) for _ in range(4)]
+        whole = made[0]
+        for m in made[1:]:
+            whole = html_extract.align(whole, m)
+        for m in made:
+            assert html_extract.match("\n".join(whole), html_extract.once("\n".join(m))) is not None
+
+
+def test_constant_slots_of_a_host_are_template(spark):
+    bare = "<body><div class=top>Our shop since 1901</div><ul>{}</ul><div class=x1><h1>{}</h1><p>{}</p></div><div class=x2>All rights <b>kept</b></div></body>"
+    links = "<li>Home</li><li>Away</li>"
+    rows = [(k, "http://a.b/%d" % k, bare.format(links, "Head %d" % k, "Body %d" % k)) for k in range(5)]
+    rows.append((5, "http://a.b/5", "<body><div class=top>Our shop since 1901</div><div class=post><p>Post</p></div><div class=z>Zed</div></body>"))
+    # another host: all pages alike, and one that has too few
+    rows += [(10 + k, "http://c.d/%d" % k, bare.format(links, "H", "B")) for k in range(4)]
+    rows += [(20 + k, "http://e.f/%d" % k, bare.format(links, "H%d" % k, "B")) for k in range(2)]
+    got = by_id(html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [got[k].text for k in range(5)] == ["Head %d Body %d" % (k, k) for k in range(5)]
+    assert got[5].text == "Post"
+    whole = "Our shop since 1901 Home Away {} B All rights kept"
+    assert {got[10 + k].text for k in range(4)} == {whole.format("H")} and got[21].text == whole.format("H1")
+
+
 def test_main_text(spark):
     page = ("<!DOCTYPE html><html><head><title>T</title><script>var a='</p>';</script></head><body><header>H</header><nav><a>N</a></nav>"
             "<!-- c --><div class='ad'>AD</div><article><h1>Title &amp; more</h1><p>One <b>two</b>\n three<br>four<aside>A</aside>"
