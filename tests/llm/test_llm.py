@@ -383,6 +383,22 @@ def test_constant_slots_of_a_host_are_template(spark):
     assert {got[10 + k].text for k in range(4)} == {whole.format("H")} and got[21].text == whole.format("H1")
 
 
+@pytest.mark.parametrize("mark", ["content-sidebar-wrap", "layout with-sidebar", "has-sidebar", "no-comments", "sidebar"])
+def test_what_the_article_stands_in_is_never_skipped(mark):
+    page = (f"<body><nav>N</nav><div class='{mark}'><article><header class='entry-header'><h1>Title</h1></header><p>One</p>"
+            f"<div class='{mark} x1'>%s</div><div class='related-posts'>R</div><div class='comments'>C</div></article></div><footer>F</footer></body>")
+    inner = "" if mark == "sidebar" else " Two"
+    assert html_extract.main_text(page % "Two", "article", None) == "Title One" + inner
+    # an article of its own beside keeps what stands in a skipped element out
+    both = "<body><article><p>One</p></article><div class='sidebar'><article>Card</article></div></body>"
+    assert html_extract.main_text(both, "article", None) == "One"
+
+
+def test_names_with_a_boilerplate_part_stay_without_a_container():
+    page = "<body><div class='layout with-sidebar'><p>One</p></div><div class='sidebar'>S</div><div class='site-footer'>F</div><div class='header'>H</div></body>"
+    assert html_extract.main_text(page, "body", None) == "One"
+
+
 def test_main_text(spark):
     page = ("<!DOCTYPE html><html><head><title>T</title><script>var a='</p>';</script></head><body><header>H</header><nav><a>N</a></nav>"
             "<!-- c --><div class='ad'>AD</div><article><h1>Title &amp; more</h1><p>One <b>two</b>\n three<br>four<aside>A</aside>"
