@@ -19,8 +19,9 @@ from ._common import id_and_text, map_texts, texts
 #: Hashed features, and the lengths of the character n-grams.
 BITS, ORDERS = 14, (1, 2, 3)
 DIM = 1 << BITS
-#: Most training texts per language and in all (in expectation), most languages.
-SAMPLE, SAMPLE_ALL, MAX_LANGS = 1500, 8000, 200
+#: Most training texts per language and in all (in expectation), and per language
+#: however many there are; what a language has less is for the others.
+SAMPLE, SAMPLE_ALL, LEAST = 1500, 8000, 20
 #: Code points of a text that one step looks at; longer texts take more steps.
 STEP = 1 << 20
 
@@ -151,21 +152,37 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
+def texts_each(sizes: list[int], sample: int) -> int:
+    """Texts per language: as many as ``SAMPLE_ALL`` holds when languages with
+    fewer give all they have, at most ``sample`` and at least ``LEAST``."""
+    left, each = SAMPLE_ALL, sample
+    for k, n in enumerate(sorted(sizes)):
+        each = left // (len(sizes) - k)
+        if n >= each:
+            break
+        left -= n
+    else:
+        each = sample  # all of them fit
+    return max(LEAST, min(sample, each))
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit a model on rows (id, text, lang) without nulls in text and lang.
-    The sample holds ``sample`` texts per language in expectation; one in five
-    of it calibrates. No rows give a model that answers ``und``."""
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    """Fit a model on rows (id, text, lang) without nulls in text and lang, of
+    every language there is. The sample holds ``sample`` texts per language in
+    expectation, fewer of many languages; one in five of it calibrates, but no
+    language's only texts; fewer than ``LEAST`` texts of a language are repeated
+    to as many in the fit. No rows give a model that answers ``und``."""
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(sizes))
     if not langs:
         return Model((), np.zeros(DIM), np.zeros((DIM + 1, 0)), 1.0)
     n, df = document_frequencies(rows.select("id", "text"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = min(sample, SAMPLE_ALL // len(langs))
-    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, sample / sizes[k]))])
+    sample = texts_each(list(sizes.values()), sample)
+    # one row per language
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, sample / sizes[k])) for k in langs], "lang string, share double")
     u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(F.col("lang").isin(*langs)).where(u < share[F.col("lang")])
+    chosen = rows.join(F.broadcast(share), "lang").where(u < F.col("share"))
 
     def make():
         def work(batch):
@@ -178,9 +195,14 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     # bounded by the sample; sorted, so that the fit does not depend on the partitions
     got = sorted(((str(r["id"]), r["lang"], r["at"], r["value"]) for r in made.collect()), key=lambda r: r[:2])
     x = [(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.float32)) for r in got]
-    y = np.array([langs.index(r[1]) for r in got])
+    place = {k: i for i, k in enumerate(langs)}
+    y = np.array([place[r[1]] for r in got])
     held = np.arange(len(x)) % 5 == 4
+    held &= np.isin(y, y[~held])
     fit = np.flatnonzero(~held)
+    # the few texts of a rare language are shown several times
+    few = -(-LEAST // np.bincount(y[fit], minlength=len(langs)).clip(1, LEAST))
+    fit = np.repeat(fit, few[y[fit]])
     weights = ftrl([x[i] for i in fit], y[fit], len(langs))
     scores = np.array([x[i][1] @ weights[x[i][0]] + weights[-1] for i in np.flatnonzero(held)]).reshape(-1, len(langs))
     return Model(langs, idf, weights.astype(np.float32), temperature(scores, y[held]))

@@ -306,6 +306,19 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_every_language_is_learned(spark):
+    rows = [(10 * k + i, chr(0x4E00 + 7 * k) * 6 + chr(0x4E01 + 7 * k) * 4, f"l{k:03}") for k in range(210) for i in range(1 if k >= 207 else 4)]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert len(model.langs) == 210
+    assert {lang for _, _, lang in rows} == {model.predict(t)[0] for _, t, _ in rows}
+
+
+def test_texts_of_a_language():
+    assert langid.texts_each([9999] * 4, 1500) == 1500 and langid.texts_each([9999] * 8, 1500) == 1000
+    assert langid.texts_each([10] * 300 + [9999] * 5, 1500) == 1000 and langid.texts_each([50] * 9000, 1500) == langid.LEAST
+    assert langid.texts_each([3, 4], 1500) == 1500
+
+
 def test_language_edges(docs, empty, spark):
     rows = langid.language_id(docs).collect()
     assert len(rows) == len(ROWS) and {r.lang_pred for r in rows if r.doc_id in (3, 4, 9)} == {"und"}
