@@ -26,6 +26,8 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "account")
 KINDS = BASE + ADDED
 SCHEMES = ("http", "https", "ftp", "sftp", "ssh", "git", "mailto")
+#: Lower-case of A-Z alone: every character keeps its place.
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words that announce an account or identity number.
 CUES = ("iban", "account", "acct", "routing", "passport", "ssn", "tax id", "social security")
 
@@ -118,20 +120,21 @@ def phone(text: str, plus: int) -> tuple[Span | None, int]:
     return (("phone", plus, end) if 9 <= n <= 15 else None), end
 
 
-def url(text: str, colon: int, floor: int) -> Span | None:
-    """A scheme before ``://`` and what follows it up to white space, quotes or
-    brackets, less closing punctuation."""
+def url(text: str, colon: int, size: int, floor: int) -> Span | None:
+    """A scheme before ``://``, or ``mailto`` before ``:`` (``size`` characters),
+    and what follows up to white space, quotes or brackets, less closing
+    punctuation."""
     start = colon
     while start > floor and text[start - 1] in ALNUM:
         start -= 1
     if text[start:colon].lower() not in SCHEMES:
         return None
-    end = colon + 3
+    end = colon + size
     while end < len(text) and text[end] not in URL_END:
         end += 1
-    while end > colon + 3 and text[end - 1] in ".,;:!?)]":
+    while end > colon + size and text[end - 1] in ".,;:!?)]":
         end -= 1
-    return ("url", start, end) if end > colon + 3 else None
+    return ("url", start, end) if end > colon + size else None
 
 
 def account(text: str, end_of_cue: int) -> Span | None:
@@ -163,9 +166,9 @@ def automaton():
     for c in "@+0123456789":
         a.add_word(c, (c if c in "@+" else "d", 1))
     a.add_word("://", ("://", 3))
+    a.add_word("mailto:", ("mailto:", 7))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            a.add_word(form, ("cue", len(form)))
+        a.add_word(cue, ("cue", len(cue)))
     a.make_automaton()
     return a
 
@@ -174,7 +177,7 @@ def find(text: str, machine) -> list[Span]:
     """All spans of one text, in order of start, then of kind."""
     spans: list[Span] = []
     ends = dict.fromkeys(KINDS, 0)
-    for last, (what, size) in machine.iter(text):
+    for last, (what, size) in machine.iter(text.translate(LOWER)):
         i = last - size + 1
         if what == "d":
             if i >= ends["ip"]:
@@ -193,8 +196,9 @@ def find(text: str, machine) -> list[Span]:
                 span, ends["phone"] = phone(text, i)
                 if span:
                     spans.append(span)
-        elif what == "://":
-            if i >= ends["url"] and (span := url(text, i, ends["url"])):
+        elif what in ("://", "mailto:"):
+            colon, width = (i, 3) if what == "://" else (last, 1)
+            if colon >= ends["url"] and (span := url(text, colon, width, ends["url"])):
                 spans.append(span)
                 ends["url"] = span[2]
         elif i >= ends["account"] and not (i and text[i - 1] in ALNUM) and (span := account(text, last + 1)):

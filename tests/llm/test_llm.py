@@ -285,6 +285,17 @@ def test_pii_base_equals_expressions():
         assert [s for s in pii.find(t, machine) if s[0] in pii.BASE] == brute_pii(t), t
 
 
+def test_pii_cues_in_any_case_and_mailto():
+    machine = pii.automaton()
+    for text, kind, found in [
+            ("Tax ID 123-45-6789.", "account", "123-45-6789"), ("tAX iD: 123-45-6789", "account", "123-45-6789"),
+            ("İ Social security 123-45-6789", "account", "123-45-6789"), ("write MailTo:a.b@c.de, or", "url", "MailTo:a.b@c.de"),
+            ("mailto://a.b@c.de", "url", "mailto://a.b@c.de"), ("HTTP://X.Y/z", "url", "HTTP://X.Y/z")]:
+        assert [text[a:b] for k, a, b in pii.find(text, machine) if k == kind] == [found]
+    assert [s for s in pii.find("xmailto:a mailto: b", machine) if s[0] == "url"] == []
+    assert ("email", 7, 13) in pii.find("mailto:a@b.de", machine)
+
+
 def test_pii_rows(docs, empty, spark):
     assert pii.find_pii(docs).count() == len(ROWS) and pii.find_pii(empty).count() == 0
     df = spark.createDataFrame([(1, "m a.b@c.de +1 (873) 555-9509 see https://x.y/z. IBAN DE89 3704 0044 0532 0130 00!")], "doc_id long, text string")
