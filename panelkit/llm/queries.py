@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .byte_bpe import round_trip_digests
 from .chat_format import CONVERSATIONS_SQL, preference_segments, swapped_responses
+from .chat_repair import REPAIR_SQL, repair_of_damaged
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
@@ -68,9 +70,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_of_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_exact_dedup, op2_jaccard_join, op3_substring_dedup, op4_preference_format, op5_decontaminate, op6_pii,
-    op7_language_id, op8_licenses, op9_html_extract, op10_packing)}
+    op7_language_id, op8_licenses, op9_html_extract, op10_packing, op11_conversation_repair, op12_byte_bpe)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
@@ -78,4 +88,5 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op4_preference_format": CONVERSATIONS_SQL,
+    "op11_conversation_repair": REPAIR_SQL,
 }
