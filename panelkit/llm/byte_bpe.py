@@ -3,9 +3,11 @@
 A text is split by the vocabulary's pattern and every match is encoded on its
 own: a match that is a token as a whole is that token; in any other the live pair
 of least rank, the leftmost of equals, is merged again and again.  A segment tree
-over the byte positions holds rank and position of each live pair, so its
-root names the next merge, and a merge changes three leaves on paths of
-logarithmic length.  Matches seen before come from a bounded table."""
+over the byte positions holds rank and position of each live pair, so its root
+names the next merge, and a merge changes three leaves on paths of logarithmic
+length.  Short matches that were not seen before go through their trees together,
+a step of all trees at a time (a row of one matrix is one tree); a long one has a
+tree of its own.  Matches seen before come from a bounded table."""
 
 from __future__ import annotations
 
@@ -23,14 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import id_and_text, map_texts, on_workers, pieces
+from ._common import id_and_text, map_texts, on_workers, pieces, texts
 
-#: Matches of at most this many bytes are remembered, and so many of them at once.
-SHORT, REMEMBERED = 48, 1 << 18
+#: Matches of at most this many bytes go through their trees together and are
+#: remembered, so many of them at once (and as many older ones).
+SHORT, REMEMBERED = 64, 1 << 18
 #: Entries below one node of the segment tree.
 WIDE = 16
-#: Matches of a text that are held at once.
-STEP = 1 << 16
+#: Characters of text whose matches are held at once, and matches of a longer text.
+GROUP, STEP = 1 << 20, 1 << 16
 
 # How rank files of this kind split a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -90,27 +93,115 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
 
 
-class _Packed(dict):
-    """Match -> its ids as little-endian unsigned 32-bit integers. Holds what it
-    was asked last: when full, it keeps one older generation beside the new one."""
+class _Ranks:
+    """A vocabulary with its pairs: which two tokens make which one together."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.longest, self.older = ranks, max(map(len, ranks), default=0), {}
+        self.ranks, self.longest = ranks, max(map(len, ranks), default=0)
+        self.bits = max(ranks.values(), default=0).bit_length()
+        self.none = 1 << (self.bits + SHORT.bit_length())  # beyond every (rank, position)
+        self.of_byte = np.array([ranks.get(bytes([c]), 0) for c in range(256)], np.int64)
+        found = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    found[left << self.bits | right] = rank
+        self.pairs = np.array(sorted(found), np.int64)
+        self.made = np.array([found[x] for x in self.pairs.tolist()], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two tokens make, -1 if none."""
+        if not len(self.pairs):
+            return np.full(left.shape, -1, np.int64)
+        key = left << self.bits | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], -1)
+
+
+def merged_together(pieces: list[bytes], vocabulary: _Ranks, size: int) -> list[bytes]:
+    """The packed ids of matches of up to ``size`` bytes (a power of two) that are
+    no tokens as a whole. Row r of ``tree`` is the segment tree of match r: its
+    root at 1, the leaf of byte position p at ``size + p``."""
+    m, shift, none = len(pieces), size.bit_length() - 1, vocabulary.none
+    n = np.array([len(x) for x in pieces])
+    raw = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in pieces), np.uint8).reshape(m, size)
+    ids = vocabulary.of_byte[raw]
+    after = np.broadcast_to(np.arange(1, size + 2), (m, size + 1)).copy()  # of a live position; n ends the match
+    before = np.broadcast_to(np.arange(-1, size), (m, size + 1)).copy()
+    live = np.arange(size)[None] < n[:, None]
+
+    def leaf(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(rank < 0, none, rank << shift | at)
+
+    tree = np.full((m, 2 * size), none, np.int64)
+    tree[:, size: 2 * size - 1] = np.where(live[:, 1:], leaf(vocabulary.rank(ids[:, :-1], ids[:, 1:]), np.arange(size - 1)[None]), none)
+    width = size // 2
+    while width:
+        tree[:, width: 2 * width] = np.minimum(tree[:, 2 * width: 4 * width: 2], tree[:, 2 * width + 1: 4 * width: 2])
+        width //= 2
+
+    def put(row: np.ndarray, at: np.ndarray, value: np.ndarray | int) -> None:
+        node = at + size
+        tree[row, node] = value
+        for _ in range(shift):
+            node = node >> 1
+            tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+
+    row = np.flatnonzero(tree[:, 1] < none)
+    while len(row):
+        least = tree[row, 1]
+        at = least & size - 1
+        gone = after[row, at]
+        end = after[row, gone]
+        after[row, at], before[row, end] = end, at
+        ids[row, at], live[row, gone] = least >> shift, False
+        put(row, gone, none)
+        inner = end < n[row]
+        right = np.where(inner, vocabulary.rank(ids[row, at], ids[row, np.minimum(end, size - 1)]), -1)
+        put(row, at, leaf(right, at))
+        some = before[row, at] >= 0
+        r, a = row[some], at[some]
+        start = before[r, a]
+        put(r, start, leaf(vocabulary.rank(ids[r, start], ids[r, a]), start))
+        row = row[tree[row, 1] < none]
+    packed, ends = ids[live].astype("<u4").tobytes(), np.cumsum(live.sum(axis=1)) * 4
+    return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
+class _Packed:
+    """Match -> its ids as little-endian unsigned 32-bit integers, remembered in
+    two generations: when the new one is full, it becomes the old one."""
 
-    def __missing__(self, match: str) -> bytes:
-        out = self.older.get(match)
-        if out is None:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.vocabulary = _Ranks(ranks)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, matches: set[str]) -> dict[str, bytes]:
+        """A table that has all of ``matches``."""
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        new, old, ranks = self.new, self.old, self.vocabulary.ranks
+        longer, unknown = {}, {}
+        for match in matches.difference(new):
+            if (ids := old.get(match)) is not None:
+                new[match] = ids
+                continue
             piece = match.encode()
-            whole = self.ranks.get(piece)
-            ids = [whole] if whole is not None else merged(piece, self.ranks, self.longest)
-            out = pack(f"<{len(ids)}I", *ids)
-            if len(piece) > SHORT:
-                return out
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[match] = out
-        return out
+            rank = ranks.get(piece)
+            if rank is not None:
+                new[match] = pack("<I", rank)
+            elif len(piece) > SHORT:
+                ids = merged(piece, ranks, self.vocabulary.longest)
+                longer[match] = np.array(ids, "<u4").tobytes()
+            else:
+                unknown.setdefault(1 << (len(piece) - 1).bit_length(), []).append((match, piece))
+        for size, some in unknown.items():
+            for k in range(0, len(some), 4096):
+                part = some[k: k + 4096]
+                new.update(zip([x for x, _ in part], merged_together([x for _, x in part], self.vocabulary, max(size, 2))))
+        return {**new, **longer} if longer else new
 
 
 @lru_cache(maxsize=4)
@@ -119,14 +210,28 @@ def _known(path: str) -> _Packed:
     return _Packed(read_ranks(path))
 
 
-def packed_ids(text: str, split: regex.Pattern, known: _Packed) -> bytes:
-    """The ids of a whole text, packed."""
-    if len(text) <= STEP:
-        return b"".join(map(known.__getitem__, split.findall(text)))
-    found, parts = split.finditer(text), []
-    while step := list(islice(found, STEP)):
-        parts.append(b"".join([known[m.group()] for m in step]))
-    return b"".join(parts)
+def _joined(found: list[list[str]], known: _Packed) -> list[bytes]:
+    table = known.learn(set().union(*found))
+    return [b"".join(map(table.__getitem__, x)) for x in found]
+
+
+def packed_ids(texts: list[str], split: regex.Pattern, known: _Packed) -> list[bytes]:
+    """The ids of whole texts, packed."""
+    out: list[bytes] = []
+    group, held = [], 0
+    for text in texts:
+        if held + len(text) > GROUP:
+            out += _joined(group, known)
+            group, held = [], 0
+        if len(text) <= GROUP:
+            group.append(split.findall(text))
+            held += len(text)
+        else:
+            matches, parts = split.finditer(text), []
+            while step := [m.group() for m in islice(matches, STEP)]:
+                parts += _joined([step], known)
+            out.append(b"".join(parts))
+    return out + _joined(group, known)
 
 
 def encode_packed(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -144,7 +249,7 @@ def encode_packed(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
         split, known = regex.compile(pattern), _known(ranks_path)
 
         def work(batch):
-            ids = [packed_ids(t, split, known) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            ids = packed_ids(texts(batch), split, known)
             return None, [[len(x) // 4 for x in ids], ids]
 
         return work

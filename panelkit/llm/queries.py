@@ -12,6 +12,7 @@ from .chat_format import CONVERSATIONS_SQL, preference_segments, swapped_respons
 from .chat_repair import REPAIR_SQL, repair_of_damaged
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .hard_negatives import MINED_SQL, mined
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .langid import language_id
@@ -78,9 +79,14 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_exact_dedup, op2_jaccard_join, op3_substring_dedup, op4_preference_format, op5_decontaminate, op6_pii,
-    op7_language_id, op8_licenses, op9_html_extract, op10_packing, op11_conversation_repair, op12_byte_bpe)}
+    op7_language_id, op8_licenses, op9_html_extract, op10_packing, op11_conversation_repair, op12_byte_bpe,
+    op13_hard_negatives)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
@@ -89,4 +95,5 @@ ORACLE: dict[str, str] = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op4_preference_format": CONVERSATIONS_SQL,
     "op11_conversation_repair": REPAIR_SQL,
+    "op13_hard_negatives": MINED_SQL,
 }
