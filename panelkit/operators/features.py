@@ -94,8 +94,12 @@ def label_train_quantile(df: DataFrame, score: str, period: str, last_train, q:
     return with_scalars(df, t).withColumn(out, flag(F.col(score) >= F.col("threshold")))
 
 
+def observed_median(df: DataFrame, score: str) -> DataFrame:
+    """One row: the median of the score as ``threshold``."""
+    from .stats import exact_quantiles
+    return exact_quantiles(df, score, {"threshold": 0.5})
+
+
 def label_median(df: DataFrame, score: str, out: str = "label") -> DataFrame:
     """label = score > median of the observed rows."""
-    from .stats import exact_quantiles
-    t = exact_quantiles(df, score, {"threshold": 0.5})
-    return with_scalars(df, t).withColumn(out, flag(F.col(score) > F.col("threshold")))
+    return with_scalars(df, observed_median(df, score)).withColumn(out, flag(F.col(score) > F.col("threshold")))

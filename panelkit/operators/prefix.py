@@ -1,43 +1,29 @@
-"""Ordered prefix sums without a single-partition window.
+"""Ordered prefix sums and row numbers without a single-partition window.
 
-``prefix_sums`` computes, per partition key, running sums of some columns
-in the order of a numeric column (ties broken by further columns). Rows are
-cut into equal-width buckets of the order value (optionally on a log scale
-for positive values spanning orders of magnitude); each bucket is summed by
-its own window, and bucket offsets are a prefix over at most ``buckets``
-rows per key. No window ever holds a whole partition key."""
+Rows are range-partitioned in the order (see ``operators.order``), so that
+borders follow the data; each range is summed by its own window, and what stands
+before it is a prefix over as many rows as there are ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import with_scalars
+from .order import placed, running
 
 
-def prefix_sums(df: DataFrame, part, order: str, tiebreak, cols, buckets: int = 256,
+def prefix_sums(df: DataFrame, part, order: str, tiebreak, cols, buckets: int | None = None,
                 log_scale: bool = False, suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``cols`` ordered by (order, *tiebreak)
-    within ``part``; adds ``{col}{suffix}`` columns."""
+    within ``part``; adds ``{col}{suffix}`` columns. ``buckets``: number of
+    ranges (default: the shuffle setting). ``log_scale`` has no effect: ranges
+    follow the data on any scale."""
     part = [part] if isinstance(part, str) else list(part)
     tiebreak = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-    v = F.log(F.col(order)) if log_scale else F.col(order).cast("double")
-    x = df.withColumn("__v", v)
-    mm = x.groupBy(*part).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    x = x.join(mm, part) if part else with_scalars(x, mm)
-    b = F.least(F.lit(buckets - 1), F.floor((F.col("__v") - F.col("__lo")) *
-                                            F.try_divide(F.lit(float(buckets)), F.col("__hi") - F.col("__lo"))))
-    x = x.withColumn("__b", F.coalesce(b, F.lit(0)).cast("int")).drop("__lo", "__hi")
-    within = Window.partitionBy(*part, "__b").orderBy(F.col(order), *tiebreak) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({f"__in_{c}": F.sum(c).over(within) for c in cols})
-    tot = x.groupBy(*part, "__b").agg(*[F.sum(c).alias(f"__bt_{c}") for c in cols])
-    before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*part, "__b", *[F.coalesce(F.sum(f"__bt_{c}").over(before), F.lit(0)).alias(f"__off_{c}")
-                                     for c in cols])
-    x = x.join(off, part + ["__b"])
-    return x.withColumns({f"{c}{suffix}": F.col(f"__off_{c}") + F.col(f"__in_{c}") for c in cols}) \
-            .drop("__v", "__b", *[f"__in_{c}" for c in cols], *[f"__off_{c}" for c in cols])
+    keys = [order, *tiebreak]
+    r = running(placed(df, [*part, *keys], buckets), part, keys, cols, peers=False)
+    return (r.withColumns({f"{c}{suffix}": F.col(f"{c}_before") + F.col(c) for c in cols})
+             .drop(*[f"{c}_before" for c in cols], *[f"{c}_total" for c in cols]))
 
 
 def row_numbers(df: DataFrame, order, out: str = "rn", parts: int | None = None) -> DataFrame:
@@ -47,11 +33,9 @@ def row_numbers(df: DataFrame, order, out: str = "rn", parts: int | None = None)
     count rows per partition, offset = running count of the earlier
     partitions (at most ``parts`` rows), then a row number inside each
     partition."""
-    from ..session import cut_lineage
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = cut_lineage(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
+    x = placed(df, order, parts)
     cnt = x.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     off = cnt.select("__pid", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
     w = Window.partitionBy("__pid").orderBy(*order)
     return (x.join(F.broadcast(off), "__pid")

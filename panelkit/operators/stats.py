@@ -1,20 +1,20 @@
 """Statistics: correlation matrices, average ranks, ANOVA, Kruskal-Wallis,
 chi-square goodness of fit and independence (X1-X6, W13, O4).
 
-Ranks never use a window over all rows: values are first reduced to a
-histogram (value, count), the histogram is cut into equal-width buckets of
-the value range, and ranks are prefix sums inside a bucket plus the bucket's
-offset (a prefix sum over at most ``buckets`` rows per group)."""
+Ranks never use a window over all rows: values are first reduced to counts,
+which ``operators.order`` puts in ranges whose borders follow the data. What is
+computed from ranks weights the counts; ranks never go back to single rows."""
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_pvalue, f_pvalue
 from .joins import with_scalars
+from .order import order_table, placed, quantile_of, running
 
 
 def _pairs(cols):
@@ -35,39 +35,30 @@ def pearson_pairs(df: DataFrame, cols) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def average_rank(df: DataFrame, value: str, by=(), out: str = "avg_rank", buckets: int = 256) -> DataFrame:
+def average_rank(df: DataFrame, value: str, by=(), out: str = "avg_rank", buckets: int | None = None) -> DataFrame:
     """Average rank (ties share the mean rank) of each distinct non-null
-    ``value`` within ``by``; returns (by..., value, n_ties, out)."""
-    by = list(by)
-    h = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    mm = h.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    hb = h.join(mm, by) if by else with_scalars(h, mm)
-    b = F.least(F.lit(buckets - 1), F.floor((F.col(value) - F.col("__lo")) *
-                                            F.try_divide(F.lit(float(buckets)), F.col("__hi") - F.col("__lo"))))
-    hb = hb.withColumn("__b", F.coalesce(b, F.lit(0)).cast("int")).drop("__lo", "__hi")
-    wb = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    hb = hb.withColumn("__in", F.coalesce(F.sum("__n").over(wb), F.lit(0)))
-    tot = hb.groupBy(*by, "__b").agg(F.sum("__n").alias("__bt"))
-    wo = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("__off", F.coalesce(F.sum("__bt").over(wo), F.lit(0))).drop("__bt")
-    r = hb.join(off, by + ["__b"])
-    return r.select(*by, value, F.col("__n").alias("n_ties"),
-                    (F.col("__off") + F.col("__in") + (F.col("__n") + 1) / 2.0).alias(out))
-
-
-def spearman_pairs(df: DataFrame, cols, buckets: int = 256) -> DataFrame:
+    ``value`` within ``by``; returns (by..., value, n_ties, out). ``buckets``:
+    number of ranges (default: the shuffle setting)."""
+    t = order_table(df, value, by, parts=buckets)
+    return t.select(*by, value, F.col("n").alias("n_ties"), (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(out))
+
+
+def spearman_pairs(df: DataFrame, cols, buckets: int | None = None) -> DataFrame:
     """Spearman rho per pair: rows complete on the pair are ranked (per
-    pair), then Pearson on the ranks."""
+    pair), then Pearson on the ranks. The counts of (x, y) are put in order of
+    x, then of y: each row gets its two ranks where it stands."""
     # one pass over the input: each row yields one (pair, x, y) row per pair
     pairs = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"),
                                F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
                       for i, (a, b) in enumerate(_pairs(cols))])
-    long = (df.select(F.inline(pairs)).filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    rx = average_rank(long, "x", ["pair"], "rx", buckets).drop("n_ties")
-    ry = average_rank(long, "y", ["pair"], "ry", buckets).drop("n_ties")
-    ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-    return ranked.groupBy("pair", "a", "b").agg(
-        F.try_divide(F.covar_pop("rx", "ry"), F.sqrt(F.var_pop("rx") * F.var_pop("ry"))).alias("rho"))
+    long = df.select(F.inline(pairs)).filter(F.col("y").isNotNull())
+    by = ["pair", "a", "b"]
+    # less the mean rank, so that the products below stay small
+    rank = F.col("n_before") + (F.col("n_ties") + 1) / 2.0 - (F.col("n_total") + 1) / 2.0
+    x = order_table(long, "x", by, also=["y"], parts=buckets).select(*by, "y", rank.alias("rx"), "n")
+    y = running(placed(x, [*by, "y"], buckets), by, ["y"], ["n"], peers=True).select(*by, "rx", rank.alias("ry"), "n")
+    product = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    return y.groupBy(*by).agg(F.try_divide(product("rx", "ry"), F.sqrt(product("rx", "rx") * product("ry", "ry"))).alias("rho"))
 
 
 def top_pairs(pairs: DataFrame, value: str = "r", k: int = 8) -> DataFrame:
@@ -90,19 +81,20 @@ def anova(df: DataFrame, group: str, y: str) -> DataFrame:
                     (k - 1).cast("bigint").alias("df_between"), (tot - k).cast("bigint").alias("df_within"))
 
 
-def kruskal(df: DataFrame, group: str, y: str, buckets: int = 256) -> DataFrame:
-    """Kruskal-Wallis H (tie-corrected) and degrees of freedom."""
-    d = df.filter(F.col(group).isNotNull() & F.col(y).isNotNull()).select(group, F.col(y).cast("double").alias("v"))
-    r = average_rank(d, "v", (), "rk", buckets)
-    ties = r.agg(F.sum(F.pow(F.col("n_ties"), 3) - F.col("n_ties")).alias("T"))
-    per = d.join(r.select("v", "rk"), "v").groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("rk").alias("R"))
+def kruskal(df: DataFrame, group: str, y: str, buckets: int | None = None) -> DataFrame:
+    """Kruskal-Wallis H (tie-corrected) and degrees of freedom, from the
+    ranks of (value, group) counts."""
+    d = df.filter(F.col(group).isNotNull()).select(group, F.col(y).cast("double").alias("v"))
+    r = order_table(d, "v", also=[group], parts=buckets)
+    rank = F.col("n_before") + (F.col("n_ties") + 1) / 2.0
+    ties = F.col("n") * (F.pow(F.col("n_ties").cast("double"), F.lit(2.0)) - 1)  # over a value's groups: t^3 - t
+    per = r.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * rank).alias("R"), F.sum(ties).alias("T"))
     s = per.agg(F.sum(F.col("R") * F.col("R") / F.col("n")).alias("S"), F.sum("n").alias("N"),
-                F.count(F.lit(1)).alias("k"))
-    x = with_scalars(s, ties)
+                F.count(F.lit(1)).alias("k"), F.sum("T").alias("T"))
     n = F.col("N").cast("double")
     h0 = F.lit(12.0) / (n * (n + 1)) * F.col("S") - 3 * (n + 1)
     c = 1 - F.try_divide(F.col("T"), n * n * n - n)
-    return x.select(F.try_divide(h0, c).alias("h_stat"), (F.col("k") - 1).cast("bigint").alias("df"))
+    return s.select(F.try_divide(h0, c).alias("h_stat"), (F.col("k") - 1).cast("bigint").alias("df"))
 
 
 def chi2_gof(df: DataFrame, cat: str) -> DataFrame:
@@ -160,37 +152,17 @@ def with_f_p(stat: DataFrame) -> DataFrame:
                                                F.col("df_within").cast("double")))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict, by=(), buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: dict, by=(), buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (``quantile_cont``), for
-    groups of any size: positions come from the distributed average-rank
-    histogram instead of one in-memory value map per group (what
-    ``percentile`` keeps). ``probs = {out_col: p}``; one row per group."""
-    by = list(by)
-    r = average_rank(df, value, by, "__ar", buckets)
-    r = r.withColumn("__lo", F.col("__ar") - (F.col("n_ties") + 1) / 2.0) \
-         .withColumn("__hi", F.col("__lo") + F.col("n_ties") - 1)
-    tot = r.groupBy(*by).agg(F.sum("n_ties").alias("__N"))
-    x = r.join(tot, by) if by else with_scalars(r, tot)
-    aggs = []
-    for out, p in probs.items():
-        h = (F.col("__N") - 1) * F.lit(float(p))
-        i, j = F.floor(h), F.ceil(h)
-        x = x.withColumns({f"__h_{out}": h,
-                           f"__vi_{out}": F.when((F.col("__lo") <= i) & (i <= F.col("__hi")), F.col(value)),
-                           f"__vj_{out}": F.when((F.col("__lo") <= j) & (j <= F.col("__hi")), F.col(value))})
-        aggs += [F.max(f"__vi_{out}").alias(f"__vi_{out}"), F.max(f"__vj_{out}").alias(f"__vj_{out}"),
-                 F.first(f"__h_{out}").alias(f"__h_{out}")]
-    g = x.groupBy(*by).agg(*aggs)
-    outs = []
-    for out in probs:
-        vi, vj, h = F.col(f"__vi_{out}"), F.col(f"__vj_{out}"), F.col(f"__h_{out}")
-        outs.append((vi + (vj - vi) * (h - F.floor(h))).alias(out))
-    return g.select(*by, *outs)
-
-
-def column_quantiles(df: DataFrame, cols, probs: dict, buckets: int = 256) -> DataFrame:
+    groups of any size: positions come from the order table instead of one
+    in-memory value map per group (what ``percentile`` keeps).
+    ``probs = {out_col: p}``; one row per group."""
+    return quantile_of(order_table(df, value, by, parts=buckets), value, probs, by)
+
+
+def column_quantiles(df: DataFrame, cols, probs: dict, buckets: int | None = None) -> DataFrame:
     """Exact quantiles of several columns at once: the columns are stacked
     into (column, value) rows and ``exact_quantiles`` runs per column."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
                                         for c in cols])))
-    return exact_quantiles(long.filter(F.col("value").isNotNull()), "value", probs, by=["column"], buckets=buckets)
+    return exact_quantiles(long, "value", probs, by=["column"], buckets=buckets)

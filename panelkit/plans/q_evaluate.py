@@ -12,7 +12,6 @@ from ..functions.numeric import flag, rnd, weighted_score
 from ..operators import evaluate as EV
 from ..operators import windows as W
 from ..operators.joins import with_scalars
-from ..operators.stats import exact_quantiles
 from ..sources.readers import table
 from .q_describe import P2_SQL
 from .q_stats import _avg_rank_sql
@@ -62,6 +61,24 @@ register("confusion", f"""WITH {DOCS_SQL}
 SELECT y, pred, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY y, pred""")(confusion)
 
 
+def class_report(spark, root):
+    r = EV.class_report(scored_docs(spark, root), "y", "pred")
+    return r.select("class", *[rnd(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+register("class_report", f"""WITH {DOCS_SQL},
+k AS (SELECT y AS c FROM x UNION SELECT pred FROM x),
+per AS (SELECT c, count(*) FILTER (WHERE y = c AND pred = c) AS hit, count(*) FILTER (WHERE pred = c) AS given, count(*) FILTER (WHERE y = c) AS support
+        FROM k CROSS JOIN x GROUP BY c),
+m AS (SELECT c, hit, support, COALESCE(hit / NULLIF(given, 0), 0) AS precision, COALESCE(hit / NULLIF(support, 0), 0) AS recall,
+             COALESCE(2 * hit / NULLIF(given + support, 0), 0) AS f1 FROM per)
+SELECT CAST(c AS VARCHAR) AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hit) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+       round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m""")(class_report)
+
+
 def roc_auc(spark, root):
     a = EV.roc_auc(scored_docs(spark, root), "y", "score")
     return a.select(rnd("auc", 6).alias("auc"), "n_pos", "n_neg")
@@ -141,28 +158,15 @@ K_FOLDS = 5
 def group_kfold_baseline(spark, root):
     """Majority-class baseline under group k-fold: whole nations per fold; the
     label threshold (q75 of the risk score) and the majority class come from
-    the training folds only. A row enters k-1 training sets by ``explode`` of
-    its fold list, no join against a fold table."""
+    the training folds only, all of them from one order table."""
     d = p2_panel(spark, root).select("n_name", "month_idx", weighted_score("n_events", "qty").alias("risk"))
-    folds = EV.group_folds(d, "n_name", K_FOLDS)
-    d = d.join(folds, "n_name")
-    train = d.select("risk", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(K_FOLDS - 1)), F.col("fold"))).alias("f"))
-    thr = exact_quantiles(train, "risk", {"thr": 0.75}, by=["f"])
-    tl = train.join(thr, "f").withColumn("ytr", flag(F.col("risk") >= F.col("thr")))
-    maj = tl.groupBy("f").agg(F.mode("ytr", True).alias("maj"), F.sum("ytr").alias("s"), F.count(F.lit(1)).alias("n"))
-    ok = maj.filter((F.col("s") > 0) & (F.col("s") < F.col("n"))).join(thr, "f")
-    test = d.join(ok.withColumnRenamed("f", "fold"), "fold").withColumn("yte", flag(F.col("risk") >= F.col("thr")))
-    per = test.groupBy("fold").agg(
-        F.avg((F.col("yte") == F.col("maj")).cast("double")).alias("acc"),
-        F.coalesce(F.try_divide(2 * F.count_if((F.col("yte") == 1) & (F.col("maj") == 1)),
-                                2 * F.count_if((F.col("yte") == 1) & (F.col("maj") == 1))
-                                + F.count_if((F.col("yte") == 0) & (F.col("maj") == 1))
-                                + F.count_if((F.col("yte") == 1) & (F.col("maj") == 0))), F.lit(0.0)).alias("f1"))
-    n_rows = d.agg(F.count(F.lit(1)).alias("n_rows"))
-    s = per.agg(F.avg("acc").alias("accuracy_mean"), F.stddev_pop("acc").alias("accuracy_std"),
-                F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_std"),
-                F.count(F.lit(1)).alias("n_splits"))
-    s = with_scalars(s, n_rows)
+    d = d.join(EV.group_folds(d, "n_name", K_FOLDS), "n_name")
+    t = EV.fold_thresholds(EV.fold_table(d, "risk", "fold", K_FOLDS), "risk", K_FOLDS, 0.75)
+    of = lambda c: F.element_at(c, F.col("fold") + 1)
+    test = with_scalars(d, t).where((of("positives") > 0) & (of("negatives") > 0))  # both classes in training
+    test = test.select("fold", flag(F.col("risk") >= of("thresholds")).alias("y"), flag(of("positives") > of("negatives")).alias("maj"))
+    per = test.groupBy("fold").agg(*EV.accuracy_f1(F.col("y"), F.col("maj")))
+    s = with_scalars(EV.over_folds(per, {"acc": "accuracy", "f1": "f1"}), d.agg(F.count(F.lit(1)).alias("n_rows")))
     return s.select(*[rnd(c, 6).alias(c) for c in ["accuracy_mean", "accuracy_std", "f1_mean", "f1_std"]],
                     "n_splits", "n_rows")
 
