@@ -7,6 +7,7 @@ and by orderings such as 'beats the majority baseline').
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.numeric import expm1_inverse, flag, log1p_target, rnd, weighted_score
@@ -16,55 +17,62 @@ from ..operators import models as MD
 from ..operators.describe import entity_profile
 from ..operators.joins import with_scalars
 from ..operators.panel import balance_panel
+from ..operators.ridge import fit_ridge_cv, predicted
 from ..session import cut_lineage
-from .q_panel import FEATURES, dense_features
+from .q_panel import FEATURES, balanced_group_panel, dense_features
 from .registry import register
 from .roles import p1_panel
 from .q_stats import TRAIN_LAST_MONTH
 
 HORIZONS = (1, 5, 10)
-# Forests have the operators' published sizes.
-RIDGE_REG = 0.1
-
-
-def _horizon_fit(train, test, label, log_target: bool):
-    y = "__y"
-    tr = train.withColumn(y, log1p_target(label) if log_target else F.col(label).cast("double"))
-    rf = MD.forest_regressor(tr, y)
-    lr = MD.linear(tr, y, reg=RIDGE_REG)
-    upper = tr.agg(F.max(y).alias("__ymax"))
-    out = {}
-    for name, m in (("rf", rf), ("ridge", lr)):
-        p = m.transform(test)
-        if log_target:
-            p = with_scalars(p, upper).withColumn("prediction", expm1_inverse("prediction", F.col("__ymax")))
-        out[name] = EV.rmse_r2(p, label, "prediction").select("rmse")
-    return out
+TARGETS = ("raw", "log1p")
+# Forests have the operators' published sizes; ridge chooses among 25 penalties.
+
+
+def _horizon_frame(spark, root, *more):
+    """The design of the multi-horizon models, written once: MLlib's vector, the
+    same as an array, and which features are numeric (ridge scales those by the
+    training rows; one-hot columns stay 0/1)."""
+    _, x, names = MD.design(dense_features(spark, root), FEATURES + ["month_idx"], ["region"], drop_first=False)
+    x = x.select("n_name", "month_idx", "features", vector_to_array("features").alias("x"), *[f"y_plus{h}" for h in HORIZONS], *more)
+    return x, [i < len(FEATURES) + 1 for i in range(len(names))]
+
+
+def _target(df, label, target):
+    return df.withColumn("__y", log1p_target(label) if target == "log1p" else F.col(label).cast("double"))
+
+
+def _on_scale(df, upper, target):
+    """Predictions on the scale of the counts: those of log1p targets, between 0
+    and the largest training target, are transformed back; raw ones stay."""
+    return df.withColumn("prediction", expm1_inverse(F.greatest(F.col("prediction"), F.lit(0.0)), upper)) if target == "log1p" else df
 
 
 def direct_horizons(spark, root):
     """M22 + M9 + M15 + M16 + E1: one model per horizon, train <= the last
-    training month, RMSE on later months, raw and log1p targets. The design
-    frame is checkpointed once; the six (horizon, target) fits run
-    concurrently."""
-    f = dense_features(spark, root)
-    _, x, _ = MD.design(f, FEATURES + ["month_idx"], ["region"])
-    x = cut_lineage(x.select("n_name", "month_idx", "features", *[f"y_plus{h}" for h in HORIZONS]))
+    training month, RMSE on later months, raw and log1p targets: a forest and a
+    ridge on scaled features whose penalty is chosen by leave-one-out. The design
+    frame is written once; the six (horizon, target) fits run concurrently."""
+    x, scale = _horizon_frame(spark, root)
+    x = cut_lineage(x)
 
     def run(job):
-        h, log = job
+        h, target = job
         lab = f"y_plus{h}"
-        d = x.filter(F.col(lab).isNotNull())
+        d = _target(x.filter(F.col(lab).isNotNull()), lab, target)
         train, test = d.filter(F.col("month_idx") <= TRAIN_LAST_MONTH), d.filter(F.col("month_idx") > TRAIN_LAST_MONTH)
-        r = _horizon_fit(train, test, lab, log)
-        return h, log, r["rf"].first().rmse, r["ridge"].first().rmse, train.count(), test.count()
-
-    res = MD.parallel_fits(run, [(h, lg) for h in HORIZONS for lg in (False, True)])
-    by = {(h, lg): v for h, lg, *v in res}
-    rows = [(h, by[(h, False)][0], by[(h, False)][1], by[(h, True)][0], by[(h, True)][1],
-             by[(h, False)][2], by[(h, False)][3]) for h in HORIZONS]
+        n, upper = train.agg(F.count(F.lit(1)), F.max("__y")).first()
+        ridge = fit_ridge_cv(train, "x", "__y", scale)
+        scored = {"rf": MD.forest_regressor(train, "__y").transform(test),
+                  "ridge": test.withColumn("prediction", predicted(ridge, "x"))}
+        rmse = {m: EV.rmse_r2(_on_scale(p, upper, target), lab, "prediction").first().rmse for m, p in scored.items()}
+        return rmse["rf"], rmse["ridge"], ridge[0].alpha, n, test.count()
+
+    jobs = [(h, t) for h in HORIZONS for t in TARGETS]
+    by = dict(zip(jobs, MD.parallel_fits(run, jobs)))
+    rows = [(h, *by[h, "raw"][:2], *by[h, "log1p"][:2], by[h, "raw"][2], by[h, "log1p"][2], *by[h, "raw"][3:]) for h in HORIZONS]
     return spark.createDataFrame(rows, "horizon int, rmse_rf double, rmse_ridge double, rmse_rf_log_target double, "
-                                       "rmse_ridge_log_target double, n_train long, n_test long")
+                                       "rmse_ridge_log_target double, alpha double, alpha_log_target double, n_train long, n_test long")
 
 
 register("direct_horizons")(direct_horizons)
@@ -213,12 +221,14 @@ register("driver_regression")(driver_regression)
 def regression_models(spark, root):
     """M10 + M11 + M12 + M28 + E1: 80/20 hash split of customer-years; least
     squares on three feature sets, a degree-2 polynomial and boosted trees
-    (raw and log1p target); R2 and RMSE on both sides. Fits run
-    concurrently on one checkpointed frame."""
+    (raw and log1p target) of the published size, stopped early by a held-out
+    tenth of the training rows; R2 and RMSE on both sides, and the boosting
+    rounds kept. Fits run concurrently on one written frame."""
     p = p1_panel(spark, root).withColumn("n_events", F.col("n_events").cast("double"))
-    p = FT.hash_split(p, "c_custkey", 80)
+    row = F.col("c_custkey") * 100 + F.col("year") % 100
+    p = FT.hash_split(p, row, 80).withColumn("held_out", F.pmod(FT.scramble(row * 31 + 7), F.lit(10)) == 0)
     s = MD.standardize(p, ["amount", "qty", "year"], fit_on=p.filter("is_train = 1"), suffix="_z")
-    s = cut_lineage(s.select("c_custkey", "is_train", "n_events", "amount_z", "qty_z", "year_z", "r_name"))
+    s = cut_lineage(s.select("c_custkey", "is_train", "held_out", "n_events", "amount_z", "qty_z", "year_z", "r_name"))
     designs = {"ols_severity": (["amount_z", "qty_z"], []), "ols_severity_period": (["amount_z", "qty_z", "year_z"], []),
                "grouped": (["amount_z", "qty_z", "year_z"], ["r_name"])}
     frames = {k: MD.design(s, num, cat)[1] for k, (num, cat) in designs.items()}
@@ -226,25 +236,26 @@ def regression_models(spark, root):
              ("ols_severity_period", "ols_severity_period", lambda d: MD.linear(d, "n_events"), False),
              ("ols_severity_period_group", "grouped", lambda d: MD.linear(d, "n_events"), False),
              ("poly2", "grouped", lambda d: MD.poly2(d, "n_events"), False),
-             ("gbt", "grouped", lambda d: MD.gbt(d, "n_events", max_iter=40, depth=5, step=0.1), False),
-             ("gbt_log", "grouped", lambda d: MD.gbt(d.withColumn("__ly", F.log1p("n_events")), "__ly",
-                                                     max_iter=40, depth=5, step=0.1), True)]
+             ("gbt", "grouped", lambda d: MD.gbt(d, "n_events", validation_col="held_out"), False),
+             ("gbt_log", "grouped", lambda d: MD.gbt(d.withColumn("__ly", F.log1p("n_events")), "__ly", validation_col="held_out"), True)]
 
     def run(spec):
         name, frame, fit, log = spec
         data = frames[frame]
-        pr = fit(data.filter("is_train = 1")).transform(data)
+        model = fit(data.filter("is_train = 1"))
+        rounds = getattr(model, "getNumTrees", None)
+        pr = model.transform(data)
         if log:
             pr = pr.withColumn("prediction", F.greatest(F.expm1("prediction"), F.lit(0.0)))
         rows = []
         for part, flagv in (("train", 1), ("test", 0)):
             e = EV.rmse_r2(pr.filter(F.col("is_train") == flagv), "n_events", "prediction").first()
-            rows.append((name, part, e.rmse, e.r2, e.n))
+            rows.append((name, part, e.rmse, e.r2, e.n, rounds))
         return rows
 
     rows = [r for rs in MD.parallel_fits(run, specs) for r in rs]
-    out = spark.createDataFrame(rows, "model string, split string, rmse double, r2 double, n long")
-    return out.select("model", "split", rnd("rmse", 6).alias("rmse"), rnd("r2", 6).alias("r2"), "n")
+    out = spark.createDataFrame(rows, "model string, split string, rmse double, r2 double, n long, rounds int")
+    return out.select("model", "split", rnd("rmse", 6).alias("rmse"), rnd("r2", 6).alias("r2"), "n", "rounds")
 
 
 register("regression_models")(regression_models)
@@ -276,31 +287,153 @@ def elbow(spark, root):
 register("elbow")(elbow)
 
 
+K_FOLDS = 5
+
+
 def group_kfold_models(spark, root):
-    """Group k-fold for the t+1 forecast - whole nations held out per
-    fold; RMSE of a forest and a ridge per fold, then mean and population
-    std over folds (fits run concurrently on one checkpointed frame)."""
-    f = dense_features(spark, root)
-    _, x, _ = MD.design(f, FEATURES + ["month_idx"], ["region"])
-    x = x.filter(F.col("y_plus1").isNotNull()).select("n_name", "features", "y_plus1")
-    folds = EV.group_folds(x, "n_name", 5)
-    x = cut_lineage(x.join(folds, "n_name"))
-    jobs = [(k, m) for k in range(5) for m in ("rf", "ridge")]
+    """Group k-fold of the direct forecasts - whole nations held out per
+    fold - for each horizon, raw and log1p target: RMSE of a forest and of a
+    ridge with its penalty chosen inside each training set, mean and population
+    std over folds. The ridges of all folds share their passes over the rows."""
+    x, scale = _horizon_frame(spark, root)
+    x = cut_lineage(x.join(EV.group_folds(x, "n_name", K_FOLDS), "n_name"))
+
+    def ridge(job):
+        h, target = job
+        d = _target(x.filter(F.col(f"y_plus{h}").isNotNull()), f"y_plus{h}", target)
+        return fit_ridge_cv(d, "x", "__y", scale, fold="fold", k=K_FOLDS)
+
+    jobs = [(h, t) for h in HORIZONS for t in TARGETS]
+    ridges = dict(zip(jobs, MD.parallel_fits(ridge, jobs)))
 
     def run(job):
-        k, m = job
-        tr, te = x.filter(F.col("fold") != k), x.filter(F.col("fold") == k)
-        model = MD.forest_regressor(tr, "y_plus1") if m == "rf" else MD.linear(tr, "y_plus1", reg=RIDGE_REG)
-        p = model.transform(te).withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
-        return k, m, EV.rmse_r2(p, "y_plus1", "prediction").first().rmse
+        h, target, k = job
+        lab = f"y_plus{h}"
+        d = _target(x.filter(F.col(lab).isNotNull()), lab, target)
+        train, test = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
+        upper = train.agg(F.max("__y")).first()[0]
+        scored = {"rf": MD.forest_regressor(train, "__y").transform(test),
+                  "ridge": test.withColumn("prediction", predicted(ridges[h, target], "x", "fold"))}
+        return [(h, target, m, k, EV.rmse_r2(_on_scale(p, upper, target), lab, "prediction").first().rmse) for m, p in scored.items()]
 
-    res = MD.parallel_fits(run, jobs)
-    per = spark.createDataFrame(res, "fold int, model string, rmse double")
-    n_rows = x.agg(F.count(F.lit(1)).alias("n_rows"))
-    out = per.groupBy("model").agg(F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"),
-                                   F.count(F.lit(1)).alias("n_splits"))
-    return with_scalars(out, n_rows).select("model", rnd("rmse_mean", 6).alias("rmse_mean"),
-                                            rnd("rmse_std", 6).alias("rmse_std"), "n_splits", "n_rows")
+    res = [r for rs in MD.parallel_fits(run, [(*j, k) for j in jobs for k in range(K_FOLDS)]) for r in rs]
+    per = spark.createDataFrame(res, "horizon int, target string, model string, fold int, rmse double")
+    n_rows = x.select(F.inline(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y_plus{h}").alias("y")) for h in HORIZONS]))) \
+        .groupBy("horizon").agg(F.count("y").alias("n_rows"))
+    out = EV.over_folds(per, {"rmse": "rmse"}, ["horizon", "target", "model"]).join(n_rows, "horizon")
+    return out.select("horizon", "target", "model", rnd("rmse_mean", 6).alias("rmse_mean"), rnd("rmse_std", 6).alias("rmse_std"), "n_splits", "n_rows")
 
 
 register("group_kfold_models")(group_kfold_models)
+
+
+def _classifier_fits(train):
+    """Majority, logistic regression, tree and forest on (features, y), as
+    functions from a frame to (y, pred)."""
+    weighted = MD.balanced_weights(train, "y")
+    maj = MD.majority(train, "y").first().majority
+    fits = {m: fit(weighted, "y") for m, fit in (("logistic", MD.logistic), ("tree", MD.tree), ("forest", MD.forest_classifier))}
+    return {"majority": lambda d: d.withColumn("prediction", F.lit(maj))} | {m: f.transform for m, f in fits.items()}
+
+
+def group_kfold_classifiers(spark, root):
+    """E3 for the risk classifiers: whole regions, then whole customers, held out
+    per fold; the label threshold (q75 of the risk score), scaling and class
+    weights come from the training folds alone. Accuracy and F1 of the high class,
+    mean and population std over the folds whose training rows have both classes."""
+    d = p1_features(spark, root)
+    jobs, frames, n_rows, names = [], {}, {}, None
+    for grouping in ("region", "c_custkey"):
+        g = cut_lineage(d.join(EV.group_folds(d, grouping, K_FOLDS), grouping))
+        told = EV.fold_thresholds(EV.fold_table(g, "risk_score", "fold", K_FOLDS), "risk_score", K_FOLDS, 0.75).first()
+        frames[grouping], n_rows[grouping] = g, g.count()
+        jobs += [(grouping, k, told.thresholds[k]) for k in range(K_FOLDS) if told.positives[k] and told.negatives[k]]
+
+    def run(job):
+        grouping, k, threshold = job
+        g = frames[grouping].withColumn("y", flag(F.col("risk_score") >= threshold).cast("double"))
+        z = MD.standardize(g, P1_FEATURES, fit_on=g.filter(F.col("fold") != k), suffix="_z")
+        _, x, _ = MD.design(z, [c + "_z" for c in P1_FEATURES], ["region"], drop_first=False)
+        x = cut_lineage(x.select("fold", "features", "y"))
+        test = x.filter(F.col("fold") == k)
+        scored = {m: f(test) for m, f in _classifier_fits(x.filter(F.col("fold") != k)).items()}
+        return [(grouping, m, k, *p.agg(*EV.accuracy_f1(F.col("y"), F.col("prediction"))).first()) for m, p in scored.items()]
+
+    res = [r for rs in MD.parallel_fits(run, jobs) for r in rs]
+    per = spark.createDataFrame(res, "grouping string, model string, fold int, acc double, f1 double")
+    sizes = spark.createDataFrame(sorted(n_rows.items()), "grouping string, n_rows long")
+    out = EV.over_folds(per, {"acc": "accuracy", "f1": "f1_high_risk"}, ["grouping", "model"]).join(sizes, "grouping")
+    return out.select("grouping", "model", *[rnd(c, 6).alias(c) for c in ("accuracy_mean", "accuracy_std", "f1_high_risk_mean", "f1_high_risk_std")],
+                      "n_splits", "n_rows")
+
+
+register("group_kfold_classifiers")(group_kfold_classifiers)
+
+
+# ------------------------------------------------- entity and group level
+
+GROUP_FEATURES = ["total_events_lag1", "total_events_lag2", "total_events_roll3", "amount_lag1", "log_amount_lag1", "price_lag1",
+                  "conflict_lag1", "entities_lag1", "events_x_entities", "month_idx"]
+
+
+def group_features(spark, root):
+    """M4, group level: the balanced region-month panel with lagged totals, a
+    log, a product of lags and the risk score of the month."""
+    g = balanced_group_panel(spark, root).withColumn("risk_score", weighted_score("total_events", "total_amount"))
+    return FT.add_panel_features(
+        g, "r_name", "month_idx", "total_events",
+        covariates={"amount_lag1": "total_amount", "price_lag1": "mean_price", "conflict_lag1": "conflict_share", "entities_lag1": "entities_reporting"},
+        logs={"log_amount_lag1": "amount_lag1"}, interactions={"events_x_entities": ("total_events_lag1", "entities_lag1")}, horizons=(1,))
+
+
+def _level_predictions(frame, level, keys, period, last_train, numeric, categorical):
+    """Test predictions of every classifier on one panel level, threshold,
+    scaling and weights from the training periods: (level, model, keys, y, pred,
+    proba)."""
+    f = FT.label_train_quantile(frame, "risk_score", period, last_train, 0.75, out="y").withColumn("y", F.col("y").cast("double"))
+    z = MD.standardize(f, numeric, fit_on=f.filter(F.col(period) <= last_train), suffix="_z")
+    _, x, _ = MD.design(z, [c + "_z" for c in numeric], categorical, drop_first=False)
+    x = cut_lineage(x.select(*dict.fromkeys([*keys, period]), "features", "y"))
+    test = x.filter(F.col(period) > last_train)
+    out = []
+    for m, score in _classifier_fits(x.filter(F.col(period) <= last_train)).items():
+        p = score(test)
+        proba = vector_to_array("probability")[1] if "probability" in p.columns else F.lit(None).cast("double")
+        out.append(p.select(F.lit(level).alias("level"), F.lit(m).alias("model"), *keys, "y", F.col("prediction").alias("pred"), proba.alias("proba")))
+    return out
+
+
+def two_level_risk(spark, root):
+    """M4 + U1 + E10: risk classifiers on the customer-year panel and on the
+    region-month panel, tested on later periods; predictions of both levels, whose
+    keys differ, in one frame, metrics by (level, model)."""
+    frames = _level_predictions(p1_features(spark, root), "entity", ["c_custkey", "year"], "year", P1_TRAIN_LAST_YEAR, P1_FEATURES, ["region"])
+    frames += _level_predictions(group_features(spark, root), "group", ["r_name", "month_idx"], "month_idx", TRAIN_LAST_MONTH, GROUP_FEATURES, ["r_name"])
+    every = frames[0]
+    for other in frames[1:]:
+        every = every.unionByName(other, allowMissingColumns=True)
+    every = cut_lineage(every)
+    by = ["level", "model"]
+    out = EV.binary_metrics(every, "y", "pred", by).join(EV.roc_auc(every, "y", "proba", by).select(*by, "auc"), by, "left")
+    return out.select(*by, "n", *[rnd(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
+
+
+register("two_level_risk")(two_level_risk)
+
+
+def median_risk_forest(spark, root):
+    """The panel risk forest: high = more orders than the median of observed
+    customer-years, forest on the training years, per-class report of the test
+    years (E8)."""
+    f = p1_features(spark, root)
+    median = F.col("threshold")
+    t = FT.observed_median(f.filter("observed = 1"), "n_events")
+    f = with_scalars(f, t).withColumn("y", flag(F.col("n_events") > median).cast("double"))
+    _, x, _ = MD.design(f, P1_FEATURES, ["region"], drop_first=False)
+    x = cut_lineage(x.select("year", "features", "y"))
+    train = MD.balanced_weights(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "y")
+    p = MD.forest_classifier(train, "y").transform(x.filter(F.col("year") > P1_TRAIN_LAST_YEAR))
+    return EV.class_report(p.select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")), "y", "pred")
+
+
+register("median_risk_forest")(median_risk_forest)
