@@ -5,16 +5,16 @@
   the same 2 x 2 closed form.
 * Iterated one-step forecasts in closed form per row with the ``aggregate``
   higher-order function.
-* Walk-forward backtest: the expanding training window of every anchor is
-  produced by ``explode(sequence(period + 1, last_anchor))`` on each
-  training row (no theta join), then one grouped ``applyInPandas`` fit per
-  (series, anchor) chooses the ridge penalty by leave-one-out error. Group
-  size is bounded by the number of periods of one series."""
+* Walk-forward backtest: every row is an anchor whose training window is the
+  rows before it. Moments of the windows are running aggregates per series, the
+  leave-one-out errors of all penalties are arrays of one row, so no table of
+  (row, anchor, penalty) exists. A series is one window partition, which the
+  number of its periods bounds."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -149,18 +149,66 @@ def ridge_loo_fits(tr: DataFrame, keys, y: str = "y", x1: str = "lag1", x2: str
                       b1.alias("b1"), b2.alias("b2"), F.col("b.alpha").alias("alpha"), "n")
 
 
+def expanding_ridge(sup: DataFrame, series: str, period: str, first_anchor_offset: int = 5,
+                    min_train_offset: int = 2, alphas=ALPHAS, keep=()) -> DataFrame:
+    """The fit of ``ridge_loo_fits`` for every anchor of every series, on the rows
+    from the series' start + ``min_train_offset`` to before the anchor: (series,
+    t, y, b0, b1, b2, alpha, n) and the columns ``keep`` for the rows that are
+    anchors with at least five training rows. ``sup`` has one row per (series, period) with lag1 and y."""
+    own = Window.partitionBy("series")
+    before = own.orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    s = sup.select(F.col(series).cast("string").alias("series"), F.col(period).cast("bigint").alias("t"),
+                   F.col("lag1").cast("double").alias("lag1"), F.col("y").cast("double").alias("y"), *keep)
+    s = s.withColumn("__from", F.min("t").over(own) + min_train_offset)
+    used = F.col("t") >= F.col("__from")
+    s = s.withColumns({"__1": F.when(used, F.col("lag1")), "__2": F.when(used, F.col("t").cast("double")), "__y": F.when(used, F.col("y"))})
+    s = s.withColumns({
+        "n": F.count("__y").over(before), "m1": F.avg("__1").over(before), "m2": F.avg("__2").over(before), "my": F.avg("__y").over(before),
+        "sd1": F.stddev_pop("__1").over(before), "sd2": F.stddev_pop("__2").over(before), "c12": F.covar_pop("__1", "__2").over(before),
+        "c1y": F.covar_pop("__1", "__y").over(before), "c2y": F.covar_pop("__2", "__y").over(before),
+        "rows": F.collect_list(F.when(used, F.struct(F.col("__1").alias("a"), F.col("__2").alias("b"), F.col("__y").alias("c")))).over(before)})
+    s = s.where((F.col("t") >= F.col("__from") + first_anchor_offset) & (F.col("n") >= 5))
+    n = F.col("n").cast("double")
+    # a constant regressor has no spread: its standardised values are 0
+    s = s.withColumns({"g11": F.when(F.col("sd1") > 0, n).otherwise(0.0), "g22": F.when(F.col("sd2") > 0, n).otherwise(0.0),
+                       "sd1": F.when(F.col("sd1") > 0, F.col("sd1")).otherwise(1.0), "sd2": F.when(F.col("sd2") > 0, F.col("sd2")).otherwise(1.0)})
+    s = s.withColumns({"g12": n * F.col("c12") / (F.col("sd1") * F.col("sd2")), "r1": n * F.col("c1y") / F.col("sd1"), "r2": n * F.col("c2y") / F.col("sd2"),
+                       "rows": F.transform("rows", lambda r: F.struct(((r["a"] - F.col("m1")) / F.col("sd1")).alias("z1"),
+                                                                      ((r["b"] - F.col("m2")) / F.col("sd2")).alias("z2"), (r["c"] - F.col("my")).alias("v")))})
+
+    def inverse(a):
+        det = (F.col("g11") + a) * (F.col("g22") + a) - F.col("g12") * F.col("g12")
+        return F.struct(a.alias("alpha"), ((F.col("g22") + a) / det).alias("i11"), ((F.col("g11") + a) / det).alias("i22"), (-F.col("g12") / det).alias("i12"))
+
+    def weights(f):
+        return F.struct(f["alpha"].alias("alpha"), f["i11"].alias("i11"), f["i22"].alias("i22"), f["i12"].alias("i12"),
+                        (f["i11"] * F.col("r1") + f["i12"] * F.col("r2")).alias("w1"), (f["i12"] * F.col("r1") + f["i22"] * F.col("r2")).alias("w2"))
+
+    def tried(f):
+        def left_out(r):
+            h = 1.0 / n + f["i11"] * r["z1"] * r["z1"] + 2 * f["i12"] * r["z1"] * r["z2"] + f["i22"] * r["z2"] * r["z2"]
+            e = (r["v"] - f["w1"] * r["z1"] - f["w2"] * r["z2"]) / (1 - h)
+            return e * e
+        err = F.aggregate("rows", F.lit(0.0), lambda acc, r: acc + left_out(r)) / n
+        return F.struct(err.alias("err"), f["alpha"].alias("alpha"), f["w1"].alias("w1"), f["w2"].alias("w2"))
+
+    s = s.withColumn("fits", F.transform(F.array(*[F.lit(float(a)) for a in alphas]), inverse))
+    s = s.withColumn("fits", F.transform("fits", weights))
+    s = s.withColumn("best", F.array_min(F.transform("fits", tried)))  # least error, then least penalty
+    s = s.withColumns({"b1": F.col("best.w1") / F.col("sd1"), "b2": F.col("best.w2") / F.col("sd2")})
+    return s.select("series", "t", "y", (F.col("my") - F.col("b1") * F.col("m1") - F.col("b2") * F.col("m2")).alias("b0"),
+                    "b1", "b2", F.col("best.alpha").alias("alpha"), "n", *keep)
+
+
 def ridge_backtest(sup: DataFrame, series: str, period: str, horizons=(1, 5, 10),
                    first_anchor_offset: int = 5, min_train_offset: int = 2) -> DataFrame:
     """Walk-forward backtest of the lag-1 + period ridge, iterated to
     each horizon from the actual value at the anchor; RMSE per (series, h)."""
-    s = sup.select(F.col(series).cast("string").alias("series"), F.col(period).cast("bigint").alias("t"),
-                   F.col("lag1").cast("double").alias("lag1"), F.col("y").cast("double").alias("y"))
-    tr = with_anchors(s, "series", "t", first_anchor_offset, min_train_offset).select("series", "anchor", "lag1", "t", "y")
-    fits = ridge_loo_fits(tr, ["series", "anchor"])
-    at = s.select("series", F.col("t").alias("anchor"), F.col("y").alias("y0"))
-    x = fits.join(at, ["series", "anchor"]).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    x = x.withColumn("pred", iterate_linear("b0", "b1", "b2", "y0", "anchor", F.col("horizon").cast("int")))
-    fut = s.select(F.col("series").alias("__s"), F.col("t").alias("__t"), F.col("y").alias("y_true"))
-    j = x.join(fut, (F.col("series") == F.col("__s")) & (F.col("__t") == F.col("anchor") + F.col("horizon")))
-    return j.groupBy("series", "horizon").agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("y_true"), 2))).alias("rmse"),
+    later = Window.partitionBy(F.col(series)).orderBy(F.col(period).cast("bigint"))
+    ahead = {f"y_after_{h}": F.max(F.col("y").cast("double")).over(later.rangeBetween(h, h)) for h in horizons}
+    fits = expanding_ridge(sup.withColumns(ahead), series, period, first_anchor_offset, min_train_offset, keep=list(ahead))
+    truth = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("y_true")) for h, c in zip(horizons, ahead)])
+    x = fits.select("series", "t", "y", "b0", "b1", "b2", F.inline(truth)).where("y_true IS NOT NULL")
+    x = x.withColumn("pred", iterate_linear("b0", "b1", "b2", "y", "t", F.col("horizon").cast("int")))
+    return x.groupBy("series", "horizon").agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("y_true"), 2))).alias("rmse"),
                                               F.count(F.lit(1)).alias("anchors_used"))
