@@ -22,9 +22,79 @@ def _stack(df: DataFrame, cols, metrics, name_col: str = "column") -> DataFrame:
 
 
 def schema_table(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Q1: column names, types and positions (metadata only)."""
+    """Q1: column names, types and positions, with the shape of the table (rows
+    are counted) on every row."""
     rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "position long, column string, dtype string, nullable boolean")
+    columns = spark.createDataFrame(rows, "position long, column string, dtype string, nullable boolean")
+    shape = df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(rows)).cast("long").alias("n_columns"))
+    return columns.crossJoin(F.broadcast(shape))  # one row
+
+
+def value_counts(df: DataFrame, cols=None) -> DataFrame:
+    """(column, value as text, num, n): how often each distinct value of each
+    column occurs; ``num`` is the value of a numeric column as a double. The
+    columns are written once and each is counted from a scan of its own, so that
+    no row is copied per column. Null is a value."""
+    from ..session import cut_lineage
+    cols = list(cols or df.columns)
+    x = cut_lineage(df.select(*[F.col(f"`{c}`") for c in cols]))
+    out = None
+    for c in cols:
+        numeric = isinstance(x.schema[c].dataType, T.NumericType)
+        part = x.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(c).alias("column"), F.col("v").cast("string").alias("value"),
+            (F.col("v").cast("double") if numeric else F.lit(None).cast("double")).alias("num"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def profile_table(df: DataFrame, categorical=(), numeric=(), checks: dict | None = None, k: int = 10) -> DataFrame:
+    """Q10: the whole profile as one long table (section, column, metric, value,
+    text): shape and types, missing and distinct values per column, repeated rows,
+    the ``k`` most frequent values of ``categorical``, mean, median, range and
+    negatives of ``numeric``, and the rows that meet each of ``checks``.
+
+    Everything about values comes from one table of value counts. A null counts as
+    a value for ``unique_values`` and among the most frequent (first of equals)."""
+    from ..session import cut_lineage
+    from .describe import top_k_per_group
+    from .order import order_table, quantile_of
+    null = lambda kind: F.lit(None).cast(kind)
+    cols = df.columns
+    v = cut_lineage(value_counts(df, cols))
+
+    def entry(section, metric, value, column=None, text=None):
+        return F.struct(F.lit(section).alias("section"), (F.lit(column) if isinstance(column, str) else column if column is not None else null("string")).alias("column"),
+                        (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"), value.cast("double").alias("value"),
+                        (text if text is not None else null("string")).alias("text"))
+
+    basic = [("basic", None, "columns", float(len(cols)), None)] + [("basic", f.name, "dtype", None, f.dataType.simpleString()) for f in df.schema.fields]
+    parts = [df.sparkSession.createDataFrame(basic, "section string, column string, metric string, value double, text string")]
+    per = v.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+                                  F.count(F.lit(1)).alias("unique"), F.sum("n").alias("rows"))
+    quality = F.array(entry("quality", "missing_count", F.col("missing"), F.col("column")),
+                      entry("quality", "missing_pct", rnd(F.try_divide(F.col("missing") * 100.0, F.col("rows")), 2), F.col("column")),
+                      entry("quality", "unique_values", F.col("unique"), F.col("column")))
+    parts.append(per.select(F.inline(quality)))
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"__{i}") for i, c in enumerate((checks or {}).values())])
+    parts.append(counted.select(F.inline(F.array(entry("basic", "rows", F.col("rows")), *[
+        entry("issues", name, F.col(f"__{i}")) for i, name in enumerate(checks or {})]))))
+    parts.append(duplicate_rows(df).select(F.inline(F.array(entry("quality", "duplicate_rows", F.col("duplicate_rows"))))))
+    if categorical:
+        top = top_k_per_group(v.where(F.col("column").isin(list(categorical))).select("column", "value", "n"), "column",
+                              [F.col("n").desc(), F.col("value").asc_nulls_first()], k)
+        parts.append(top.select(F.inline(F.array(entry("top", F.concat(F.lit("rank_"), F.col("rank").cast("string")), F.col("n"), F.col("column"), F.col("value"))))))
+    if numeric:
+        x = v.where(F.col("column").isin(list(numeric)) & F.col("num").isNotNull())
+        stats = x.groupBy("column").agg(F.try_divide(F.sum(F.col("num") * F.col("n")), F.sum("n")).alias("mean"), F.min("num").alias("min"), F.max("num").alias("max"),
+                                        F.coalesce(F.sum(F.when(F.col("num") < 0, F.col("n"))), F.lit(0)).alias("negatives"))
+        medians = quantile_of(order_table(x, "num", ["column"], weights={"n": F.col("n")}), "num", {"median": 0.5}, ["column"])
+        parts.append(stats.join(medians, "column").select(F.inline(F.array(*[
+            entry("numeric", m, rnd(m, 6), F.col("column")) for m in ("mean", "median", "min", "max", "negatives")]))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def profile_nulls(df: DataFrame, cols=None) -> DataFrame:
@@ -42,14 +112,9 @@ def profile_nulls(df: DataFrame, cols=None) -> DataFrame:
 def profile_distinct(df: DataFrame, cols=None, count_null: bool = True) -> DataFrame:
     """Q3: distinct values per column; with ``count_null`` a NULL counts as
     one more value (pandas ``nunique(dropna=False)``)."""
-    cols = cols or df.columns
-    aggs = []
-    for c in cols:
-        d = F.count_distinct(c)
-        if count_null:
-            d = d + F.max(F.col(c).isNull().cast("int"))
-        aggs.append(d.cast("bigint").alias(f"{c}__distinct"))
-    return _stack(df.agg(*aggs), cols, {"distinct": None}).withColumnRenamed("distinct", "n_distinct")
+    v = value_counts(df, cols)
+    known = F.lit(True) if count_null else F.col("value").isNotNull()
+    return v.groupBy("column").agg(F.count_if(known).alias("n_distinct"))
 
 
 def profile_numeric(df: DataFrame, cols) -> DataFrame:

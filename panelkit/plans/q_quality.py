@@ -190,7 +190,49 @@ def schema_table(spark, root):
     return Q.schema_table(spark, table(spark, root, "orders"))
 
 
-register("schema_table")(schema_table)
+register("schema_table", """WITH n AS (SELECT CAST(count(*) AS BIGINT) AS n_rows FROM orders),
+c(position, "column", dtype) AS (VALUES (1, 'o_orderkey', 'bigint'), (2, 'o_custkey', 'bigint'), (3, 'o_orderstatus', 'string'),
+  (4, 'o_totalprice', 'double'), (5, 'o_orderdate', 'timestamp_ntz'), (6, 'o_orderpriority', 'string'))
+SELECT CAST(position AS BIGINT) AS position, "column", dtype, true AS nullable, n_rows, CAST(6 AS BIGINT) AS n_columns FROM c CROSS JOIN n""")(schema_table)
+
+
+PROFILE_COLS = [*DIRTY_COLS, "o_totalprice", "price_change"]
+PROFILE_TOP, PROFILE_NUMBERS = ["group_txt", "cat1_txt", "cat3_txt"], ["o_totalprice", "price_change"]
+
+
+def profile_table(spark, root):
+    """Q10 over the dirty orders with their price and a signed number."""
+    o = table(spark, root, "orders", ["o_orderkey", "o_totalprice"])
+    d = dirty_orders(spark, root).join(o, "o_orderkey").withColumn("price_change", F.floor("o_totalprice") % 1000 - 400)
+    checks = {"missing_entity_or_period": F.col("entity_txt").isNull() | F.col("period_txt").isNull(),
+              "null_severity": F.col("sev1_txt").isNull() | F.col("sev2_txt").isNull(),
+              "unknown_category": F.lower(strip_ws("cat3_txt")) == "unknown"}
+    return Q.profile_table(d.select(*PROFILE_COLS), PROFILE_TOP, PROFILE_NUMBERS, checks)
+
+
+_P = lambda section, column, metric, value, text="NULL": (
+    f"SELECT '{section}' AS section, {column} AS \"column\", {metric} AS metric, CAST({value} AS DOUBLE) AS value, CAST({text} AS VARCHAR) AS text")
+_TYPES = {c: "string" for c in DIRTY_COLS} | {"o_totalprice": "double", "price_change": "bigint"}
+register("profile_table", f"""WITH d AS (
+  SELECT {', '.join(DIRTY_COLS)}, o.o_totalprice, CAST(floor(o.o_totalprice) AS BIGINT) % 1000 - 400 AS price_change
+  FROM ({DIRTY_ORDERS_SQL}) x JOIN orders o ON o.o_orderkey = x.o_orderkey),
+t AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS c, CAST({c} AS VARCHAR) AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR) ASC NULLS FIRST) AS r FROM d GROUP BY {c}"
+    for c in PROFILE_TOP) + ")\n" + "\nUNION ALL ".join(
+    [_P("basic", "NULL", "'rows'", "count(*)") + " FROM d", _P("basic", "NULL", "'columns'", len(PROFILE_COLS))]
+    + [_P("basic", f"'{c}'", "'dtype'", "NULL", f"'{k}'") for c, k in _TYPES.items()]
+    + [x for c in PROFILE_COLS for x in (
+        _P("quality", f"'{c}'", "'missing_count'", f"count(*) FILTER (WHERE {c} IS NULL)") + " FROM d",
+        _P("quality", f"'{c}'", "'missing_pct'", f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 2)") + " FROM d",
+        _P("quality", f"'{c}'", "'unique_values'", f"count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)") + " FROM d")]
+    + [_P("quality", "NULL", "'duplicate_rows'", "COALESCE(sum(n - 1), 0)") + f" FROM (SELECT count(*) AS n FROM d GROUP BY {', '.join(PROFILE_COLS)}) z"]
+    + [_P("top", "c", "'rank_' || r", "n", "v") + " FROM t WHERE r <= 10"]
+    + [_P("numeric", f"'{c}'", f"'{m}'", e) + " FROM d" for c in PROFILE_NUMBERS for m, e in (
+        ("mean", f"round(avg({c}), 6)"), ("median", f"round(quantile_cont({c}, 0.5), 6)"), ("min", f"round(min({c}), 6)"), ("max", f"round(max({c}), 6)"),
+        ("negatives", f"count(*) FILTER (WHERE {c} < 0)"))]
+    + [_P("issues", "NULL", "'missing_entity_or_period'", "count(*) FILTER (WHERE entity_txt IS NULL OR period_txt IS NULL)") + " FROM d",
+       _P("issues", "NULL", "'null_severity'", "count(*) FILTER (WHERE sev1_txt IS NULL OR sev2_txt IS NULL)") + " FROM d",
+       _P("issues", "NULL", "'unknown_category'", r"count(*) FILTER (WHERE lower(regexp_replace(cat3_txt, '^\s+|\s+$', '', 'g')) = 'unknown')") + " FROM d"]))(profile_table)
 
 # The panel contract (column order, required columns, type families).
 PANEL_CONTRACT = {
@@ -230,3 +272,17 @@ def content_hashes(spark, root):
 
 
 register("content_hashes", "SELECT doc_id, sha256(text) AS sha256 FROM documents")(content_hashes)
+
+
+def content_digest(spark, root):
+    """K4: one digest over the hashes of all documents in order of their ids."""
+    from ..sources.publish import merkle_digest
+    return merkle_digest(content_hashes(spark, root), "doc_id", "sha256")
+
+
+register("content_digest", """WITH h AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, sha256(text) AS h FROM documents),
+l1 AS (SELECT k // 1024 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM h GROUP BY k // 1024),
+l2 AS (SELECT k // 1024 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l1 GROUP BY k // 1024),
+n AS (SELECT count(*) AS n FROM h)
+SELECT CASE WHEN n = 1 THEN (SELECT max(h) FROM h) WHEN n <= 1024 THEN (SELECT max(h) FROM l1) ELSE (SELECT max(h) FROM l2) END AS digest,
+       CAST(n AS BIGINT) AS n FROM n""")(content_digest)

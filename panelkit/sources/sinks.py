@@ -53,7 +53,7 @@ def append_ledger(spark: SparkSession, path: str, action: str, inputs, input_has
 
 
 def hash_of_hashes(df: DataFrame, hash_col: str = "sha256", order_col: str = "path") -> DataFrame:
-    """One-row frame: SHA-256 of the ordered, concatenated per-file hashes."""
-    return df.agg(F.sha2(F.concat_ws("", F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order_col), F.col(hash_col)))),
-        lambda s: s[hash_col])), 256).alias("input_hash"))
+    """K4: one-row frame: the digest of per-file hashes in the order of their
+    paths, as a tree of digests (``publish.merkle_digest``)."""
+    from .publish import merkle_digest
+    return merkle_digest(df, order_col, hash_col).select(F.col("digest").alias("input_hash"))
