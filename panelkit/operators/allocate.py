@@ -11,14 +11,16 @@ sums of slope and constant gives the segment where D(k) = B, in closed
 form. Feasible when n*lo <= B <= sum(up); otherwise the allocation is NULL.
 
 Everything is keyed by ``scenario``: many budgets / group sets are solved
-at once; the running sums are two-level prefix sums, so a scenario with
-millions of groups is spread over many tasks."""
+at once. The bounds depend on a scenario's budget and number of groups alone, so
+they are columns of its row; the one running sum is over ranges of break-points
+(``prefix_sums``), so a scenario with millions of groups is spread over many tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .prefix import prefix_sums
 
 # Parameters of the effectiveness curve and the bounds.
@@ -33,27 +35,20 @@ def allocate(harm: DataFrame, scenario: str, group: str, h: str, budgets: DataFr
              alpha: float = ALPHA) -> DataFrame:
     """``harm`` has (scenario, group, h); ``budgets`` has (scenario,
     budget). Returns per group: allocation, effectiveness, harm after."""
-    g = harm.join(budgets, scenario)
-    n = g.groupBy(scenario).agg(F.count(F.lit(1)).alias("__n"))
-    g = g.join(n, scenario).withColumn("__m", F.col("budget") / F.col("__n"))
-    g = g.withColumn("__up", F.least(F.lit(hi), F.col("__m") * (e_max / alpha) ** 2))
+    base = harm.groupBy(scenario).agg(F.count(F.lit(1)).alias("__n")).join(budgets, scenario)
+    base = base.withColumn("__m", F.col("budget") / F.col("__n"))
+    base = base.withColumn("__up", F.least(F.lit(hi), F.col("__m") * (e_max / alpha) ** 2))
+    base = cut_lineage(base.withColumns({"__c0": F.col("__n") * lo, "__sum_up": F.col("__n") * F.col("__up")}))  # one row per scenario
+    g = cut_lineage(harm.select(scenario, group, h).join(base.select(scenario, "budget", "__m", "__up", "__c0"), scenario))
     h2 = F.col(h) * F.col(h)
-    pos = g.filter(F.col(h) > 0)
-    ev = pos.select(scenario, group, (F.lit(lo) / h2).alias("k"), F.lit(0).alias("typ"), h2.alias("ds"),
-                    F.lit(-lo).alias("dc")).unionByName(
-        pos.select(scenario, group, (F.col("__up") / h2).alias("k"), F.lit(1).alias("typ"), (-h2).alias("ds"),
-                   F.col("__up").alias("dc")))
-    base = g.groupBy(scenario).agg((F.count(F.lit(1)) * lo).alias("__c0"), F.first("budget").alias("budget"),
-                                   F.sum("__up").alias("__sum_up"))
-    # running slope / constant over break-points in (k, type, group) order:
-    # a two-level prefix sum (k is positive and spans orders of magnitude,
-    # so buckets are on log k), never one window over a whole scenario
-    ev = prefix_sums(ev, scenario, "k", ["typ", group], ["ds", "dc"], log_scale=True)
-    ev = ev.withColumnsRenamed({"ds_cum": "__slope", "dc_cum": "__cc"})
-    ev = ev.join(base, scenario).withColumn("__const", F.col("__c0") + F.col("__cc"))
-    ev = ev.withColumn("__d", F.col("__const") + F.col("__slope") * F.col("k"))
+    point = lambda k, typ, ds, dc: F.struct(k.alias("k"), F.lit(typ).alias("typ"), ds.alias("ds"), dc.alias("dc"))
+    ev = g.filter(F.col(h) > 0).select(scenario, group, "budget", "__c0", F.inline(F.array(
+        point(F.lit(lo) / h2, 0, h2, F.lit(-lo)), point(F.col("__up") / h2, 1, -h2, F.col("__up")))))
+    # running slope / constant over break-points in (k, type, group) order
+    ev = prefix_sums(ev, scenario, "k", ["typ", group], ["ds", "dc"])
+    ev = ev.withColumnsRenamed({"ds_cum": "__slope", "dc_cum": "__cc"}).withColumn("__const", F.col("__c0") + F.col("__cc"))
     # the last break-point whose total is still within the budget holds k*
-    seg = (ev.filter(F.col("__d") <= F.col("budget") + 1e-9)
+    seg = (ev.filter(F.col("__const") + F.col("__slope") * F.col("k") <= F.col("budget") + 1e-9)
              .groupBy(scenario).agg(F.max_by(F.struct("k", "__slope", "__const"),
                                              F.struct("k", "typ", group)).alias("s")))
     kstar = base.join(seg, scenario, "left").select(

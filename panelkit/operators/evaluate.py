@@ -93,6 +93,12 @@ def roc_auc(df: DataFrame, y: str, score: str, by=(), buckets: int | None = None
     return s.select(*by, auc.alias("auc"), "n_pos", "n_neg")
 
 
+def metrics_by(predictions: DataFrame, by, y: str = "y", pred: str = "pred", proba: str = "proba") -> DataFrame:
+    """One row of ``binary_metrics`` and ``auc`` (null without scores) per
+    key of a predictions frame."""
+    return binary_metrics(predictions, y, pred, by).join(roc_auc(predictions, y, proba, by).select(*by, "auc"), by, "left")
+
+
 def cumulative_by_score(df: DataFrame, score: str, cols, buckets: int | None = None) -> DataFrame:
     """Per distinct score: sums of ``cols`` over rows with score >= it, as
     ``cum_{c}``, and over all rows, as ``total_{c}``."""

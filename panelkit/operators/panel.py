@@ -30,10 +30,12 @@ def _sum0(c: str) -> F.Column:
 def event_panel(df: DataFrame, entity, period: str, count_col: str = "n_events",
                 sums: dict | None = None, modes: dict | None = None,
                 maxes: dict | None = None, means: dict | None = None,
-                distincts: dict | None = None) -> DataFrame:
+                distincts: dict | None = None, constants: dict | None = None) -> DataFrame:
     """One row per (entity, period): event count, sums, means, maxima,
     distinct counts and deterministic modes (smallest value on ties, nulls
-    ignored, NULL for an empty group). Rows with a NULL key are dropped."""
+    ignored, NULL for an empty group). ``constants`` are columns that the entity
+    alone decides (its region): they need no value buffer, being grouped by.
+    Rows with a NULL key are dropped."""
     keys = [entity] if isinstance(entity, str) else list(entity)
     keys = keys + [period]
     aggs = [F.count(F.lit(1)).alias(count_col)] if count_col else []
@@ -42,7 +44,8 @@ def event_panel(df: DataFrame, entity, period: str, count_col: str = "n_events",
     aggs += [F.max(c).alias(o) for o, c in (maxes or {}).items()]
     aggs += [F.count_distinct(c).alias(o) for o, c in (distincts or {}).items()]
     aggs += [F.mode(c, True).alias(o) for o, c in (modes or {}).items()]
-    return df.dropna(subset=keys).groupBy(*keys).agg(*aggs)
+    fixed = [F.col(c).alias(o) for o, c in (constants or {}).items()]
+    return df.dropna(subset=keys).groupBy(*keys, *fixed).agg(*aggs)
 
 
 def mode_two_level(df: DataFrame, keys, value: str, out_col: str) -> DataFrame:

@@ -118,6 +118,6 @@ def dedup_first(df: DataFrame, keys, order) -> DataFrame:
 
 
 def dense_position(df: DataFrame, order, out: str = "rank") -> DataFrame:
-    """1..n after a sort. Only for small frames (one row per group):
-    a window without a partition key runs in a single task."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    """1..n after a sort, over range partitions (no window over all rows)."""
+    from .prefix import row_numbers
+    return row_numbers(df, order, out).withColumn(out, F.col(out).cast("int"))

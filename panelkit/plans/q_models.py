@@ -19,6 +19,7 @@ from ..operators.joins import with_scalars
 from ..operators.panel import balance_panel
 from ..operators.ridge import fit_ridge_cv, predicted
 from ..session import cut_lineage
+from .q_build import P1_SQL
 from .q_panel import FEATURES, balanced_group_panel, dense_features
 from .registry import register
 from .roles import p1_panel
@@ -212,10 +213,26 @@ def driver_regression(spark, root):
     s = MD.standardize(p, cols)
     _, x, names = MD.design(s, cols, ["r_name"], drop_first=True)
     m = MD.linear(x, "n_events")
-    return MD.coefficient_table(spark, names, m.coefficients.toArray())
-
-
-register("driver_regression")(driver_regression)
+    return MD.coefficient_table(spark, names, m.coefficients.toArray()).select(
+        "feature", rnd("coefficient", 6).alias("coefficient"), rnd("abs_coefficient", 6).alias("abs_coefficient"))
+
+
+# dummies take up the regions' means: slopes from differences to them by Cramer's rule, dummies from what is left of the means
+register("driver_regression", f"""WITH {P1_SQL},
+m AS (SELECT avg(amount) AS ma, stddev_pop(amount) AS da, avg(qty) AS mq, stddev_pop(qty) AS dq, avg(year) AS mt, stddev_pop(year) AS dt FROM p1),
+z AS (SELECT r_name, CAST(n_events AS DOUBLE) AS y, (amount - ma) / da AS a, (qty - mq) / dq AS q, (year - mt) / dt AS t FROM p1 CROSS JOIN m),
+g AS (SELECT r_name, avg(y) AS gy, avg(a) AS ga, avg(q) AS gq, avg(t) AS gt FROM z GROUP BY r_name),
+s AS (SELECT sum((a - ga) * (a - ga)) AS aa, sum((a - ga) * (q - gq)) AS aq, sum((a - ga) * (t - gt)) AS at_, sum((q - gq) * (q - gq)) AS qq,
+             sum((q - gq) * (t - gt)) AS qt, sum((t - gt) * (t - gt)) AS tt, sum((a - ga) * (y - gy)) AS ay, sum((q - gq) * (y - gy)) AS qy,
+             sum((t - gt) * (y - gy)) AS ty FROM z JOIN g USING (r_name)),
+d AS (SELECT *, aa * (qq * tt - qt * qt) - aq * (aq * tt - qt * at_) + at_ * (aq * qt - qq * at_) AS det FROM s),
+b AS (SELECT (ay * (qq * tt - qt * qt) - aq * (qy * tt - qt * ty) + at_ * (qy * qt - qq * ty)) / det AS ba,
+             (aa * (qy * tt - qt * ty) - ay * (aq * tt - qt * at_) + at_ * (aq * ty - qy * at_)) / det AS bq,
+             (aa * (qq * ty - qy * qt) - aq * (aq * ty - qy * at_) + ay * (aq * qt - qq * at_)) / det AS bt FROM d),
+l AS (SELECT r_name, gy - ba * ga - bq * gq - bt * gt AS level FROM g CROSS JOIN b),
+c AS (SELECT 'amount' AS feature, ba AS c FROM b UNION ALL SELECT 'qty', bq FROM b UNION ALL SELECT 'year', bt FROM b
+      UNION ALL SELECT 'r_name=' || r_name, level - (SELECT level FROM l ORDER BY r_name LIMIT 1) FROM l WHERE r_name > (SELECT min(r_name) FROM l))
+SELECT feature, round(c, 6) AS coefficient, round(abs(c), 6) AS abs_coefficient FROM c""")(driver_regression)
 
 
 def regression_models(spark, root):
@@ -403,19 +420,23 @@ def _level_predictions(frame, level, keys, period, last_train, numeric, categori
     return out
 
 
-def two_level_risk(spark, root):
-    """M4 + U1 + E10: risk classifiers on the customer-year panel and on the
-    region-month panel, tested on later periods; predictions of both levels, whose
-    keys differ, in one frame, metrics by (level, model)."""
+def risk_predictions(spark, root):
+    """M4 + U1: risk classifiers on the customer-year panel and on the
+    region-month panel, tested on later periods: (level, model, keys of that
+    level, y, pred, proba), predictions of both levels, whose keys differ, in one
+    written frame."""
     frames = _level_predictions(p1_features(spark, root), "entity", ["c_custkey", "year"], "year", P1_TRAIN_LAST_YEAR, P1_FEATURES, ["region"])
     frames += _level_predictions(group_features(spark, root), "group", ["r_name", "month_idx"], "month_idx", TRAIN_LAST_MONTH, GROUP_FEATURES, ["r_name"])
     every = frames[0]
     for other in frames[1:]:
         every = every.unionByName(other, allowMissingColumns=True)
-    every = cut_lineage(every)
-    by = ["level", "model"]
-    out = EV.binary_metrics(every, "y", "pred", by).join(EV.roc_auc(every, "y", "proba", by).select(*by, "auc"), by, "left")
-    return out.select(*by, "n", *[rnd(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
+    return cut_lineage(every)
+
+
+def two_level_risk(spark, root):
+    """Metrics of ``risk_predictions`` by (level, model)."""
+    out = EV.metrics_by(risk_predictions(spark, root), ["level", "model"])
+    return out.select("level", "model", "n", *[rnd(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
 
 
 register("two_level_risk")(two_level_risk)

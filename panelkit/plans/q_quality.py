@@ -286,3 +286,36 @@ l2 AS (SELECT k // 1024 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l1
 n AS (SELECT count(*) AS n FROM h)
 SELECT CASE WHEN n = 1 THEN (SELECT max(h) FROM h) WHEN n <= 1024 THEN (SELECT max(h) FROM l1) ELSE (SELECT max(h) FROM l2) END AS digest,
        CAST(n AS BIGINT) AS n FROM n""")(content_digest)
+
+
+# --------------------------------------------------------------------------
+# row filters of their own: complete rows, empty strings, excluded names
+# --------------------------------------------------------------------------
+
+from ..operators import clean as C  # noqa: E402
+from .roles import strip_sql  # noqa: E402
+
+USED_COLS = ["entity_txt", "period_txt", "sev1_txt", "sev2_txt"]
+# Names that are no single market here.
+EXCLUDED_NAMES = ["UNITED STATES", "CHINA", "RUSSIA"]
+
+
+def complete_rows(spark, root):
+    """P4 + P5: rows with every used column and a category that is not empty."""
+    d = C.drop_empty(C.complete_cases(dirty_orders(spark, root), USED_COLS), "cat3_txt")
+    return d.select("o_orderkey", *USED_COLS, "cat3_txt")
+
+
+register("complete_rows", f"""SELECT o_orderkey, {', '.join(USED_COLS)}, cat3_txt FROM ({DIRTY_ORDERS_SQL}) d
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in USED_COLS)} AND {strip_sql('cat3_txt')} <> ''""")(complete_rows)
+
+
+def named_entities(spark, root):
+    """Rows of entities that the exclude list does not name; a row without a
+    name is none of those."""
+    d = C.entity_rows(dirty_orders(spark, root), name_col="entity_txt", exclude_names=EXCLUDED_NAMES)
+    return d.select("o_orderkey", strip_ws("entity_txt").alias("entity"))
+
+
+register("named_entities", f"""SELECT o_orderkey, {strip_sql('entity_txt')} AS entity FROM ({DIRTY_ORDERS_SQL}) d
+WHERE COALESCE({strip_sql('entity_txt')} NOT IN ({', '.join(f"'{n}'" for n in EXCLUDED_NAMES)}), true)""")(named_entities)

@@ -13,7 +13,7 @@ from ..operators import stats as S
 from ..sources.readers import table
 from .q_build import JOINED_SQL, joined_panel
 from .q_describe import P2_SQL
-from .registry import register
+from .registry import ORACLE, register
 from .roles import ORDER_EVENTS_SQL, order_events, p1_panel, p2_panel
 
 MEASURES = ["n_events", "amount", "supplier_count", "avg_price"]
@@ -75,11 +75,32 @@ SELECT round((sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum((n - 1) * CO
 FROM g CROSS JOIN gr""")(anova)
 
 
+def _tested(df, stat):
+    """A statistic with its degrees of freedom and p-value, rounded."""
+    return df.select(rnd(stat, 6).alias(stat), *[c for c in df.columns if c.startswith("df")], rnd("p_value", 6).alias("p_value"))
+
+
+# p-values of the oracle: the density integrated by Simpson's rule, nothing shared with the engine's tails
+_NODES = "(SELECT i, i / 20000.0 AS u, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 60000.0 AS w FROM range(0, 20001) r(i)) nodes"
+#: P(F > f): the beta integral from 0 to d2 / (d2 + d1 f), which u scales.
+_F_P = f"""(SELECT round(sum(w * CASE WHEN u = 0 THEN 0 ELSE exp((d2 / 2.0 - 1) * ln(x0 * u) + (d1 / 2.0 - 1) * ln(1 - x0 * u)
+    + lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0)) * x0 END), 6) FROM {_NODES})"""
+#: P(X > x) of chi-square: the gamma integral from x / 2 on; t = x / 2 + u / (1 - u).
+_CHI2_P = f"""(SELECT round(sum(w * CASE WHEN u >= 1 THEN 0 ELSE exp((k / 2.0 - 1) * ln(x / 2 + u / (1 - u) + 1e-300) - (x / 2 + u / (1 - u)) - lgamma(k / 2.0))
+    / ((1 - u) * (1 - u)) END), 6) FROM {_NODES})"""
+
+
+def _with_p_sql(sql, stat):
+    """The SQL of a chi-square statistic (columns ``stat``, df) with its p-value."""
+    return f"SELECT {stat}, df, {_CHI2_P} AS p_value FROM (SELECT *, {stat} AS x, df AS k FROM (\n{sql}) q0) q1"
+
+
 def anova_test(spark, root):
-    return S.with_f_p(S.anova(_p2(spark, root), "r_name", "n_events"))
+    return _tested(S.with_f_p(S.anova(_p2(spark, root), "r_name", "n_events")), "f_stat")
 
 
-register("anova_test")(anova_test)
+register("anova_test", f"""SELECT f_stat, df_between, df_within, {_F_P} AS p_value
+FROM (SELECT *, df_between AS d1, df_within AS d2, df_within / (df_within + df_between * f_stat) AS x0 FROM (\n{ORACLE['anova']}) q0) q1""")(anova_test)
 
 
 def kruskal(spark, root):
@@ -98,10 +119,10 @@ FROM s CROSS JOIN t""")(kruskal)
 
 
 def kruskal_test(spark, root):
-    return S.with_chi2_p(S.kruskal(_p2(spark, root), "r_name", "n_events"), "h_stat", "df")
+    return _tested(S.with_chi2_p(S.kruskal(_p2(spark, root), "r_name", "n_events"), "h_stat", "df"), "h_stat")
 
 
-register("kruskal_test")(kruskal_test)
+register("kruskal_test", _with_p_sql(ORACLE["kruskal"], "h_stat"))(kruskal_test)
 
 
 def chi2_gof(spark, root):
@@ -116,10 +137,10 @@ SELECT round(s2 / (nn / k) - nn, 6) AS chi2, CAST(k - 1 AS BIGINT) AS df FROM s"
 
 
 def chi2_gof_test(spark, root):
-    return S.with_chi2_p(S.chi2_gof(table(spark, root, "orders", ["o_orderpriority"]), "o_orderpriority"))
+    return _tested(S.with_chi2_p(S.chi2_gof(table(spark, root, "orders", ["o_orderpriority"]), "o_orderpriority")), "chi2")
 
 
-register("chi2_gof_test")(chi2_gof_test)
+register("chi2_gof_test", _with_p_sql(ORACLE["chi2_gof"], "chi2"))(chi2_gof_test)
 
 
 def chi2_independence(spark, root):
@@ -164,10 +185,10 @@ t2 AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'other' END AS status,
 
 
 def chi2_independence_test(spark, root):
-    return S.with_chi2_p(S.chi2_independence(order_events(spark, root, with_qty=False), "r_name", "o_orderpriority"))
+    return _tested(S.with_chi2_p(S.chi2_independence(order_events(spark, root, with_qty=False), "r_name", "o_orderpriority")), "chi2")
 
 
-register("chi2_independence_test")(chi2_independence_test)
+register("chi2_independence_test", _with_p_sql(ORACLE["chi2_independence"], "chi2"))(chi2_independence_test)
 
 
 # --------------------------------------------------------------------------

@@ -79,8 +79,8 @@ def p1_panel(spark: SparkSession, root: str) -> DataFrame:
     return built_once(spark, ("p1", root), lambda: event_panel(
         order_events(spark, root), "c_custkey", "year", count_col="n_events",
         sums={"amount": "o_totalprice", "qty": "o_qty"},
-        modes={"r_name": "r_name", "n_nationkey": "n_nationkey", "cat1_mode": "o_orderpriority",
-               "cat2_mode": "c_mktsegment", "cat3_mode": "o_orderstatus"}))
+        modes={"cat1_mode": "o_orderpriority", "cat3_mode": "o_orderstatus"},
+        constants={"r_name": "r_name", "n_nationkey": "n_nationkey", "cat2_mode": "c_mktsegment"}))
 
 
 def p2_panel(spark: SparkSession, root: str) -> DataFrame:
@@ -88,8 +88,8 @@ def p2_panel(spark: SparkSession, root: str) -> DataFrame:
     return built_once(spark, ("p2", root), lambda: event_panel(
         order_events(spark, root), "n_name", "month_idx", count_col="n_events",
         sums={"amount": "o_totalprice", "qty": "o_qty"}, distincts={"n_customers": "c_custkey"},
-        modes={"r_name": "r_name", "cat1_mode": "o_orderpriority", "cat2_mode": "c_mktsegment",
-               "cat3_mode": "o_orderstatus"}))
+        modes={"cat1_mode": "o_orderpriority", "cat2_mode": "c_mktsegment", "cat3_mode": "o_orderstatus"},
+        constants={"r_name": "r_name"}))
 
 
 def supply_series(spark: SparkSession, root: str, period: str = "year") -> DataFrame:
