@@ -4,8 +4,10 @@ Equal shingle sets are one class; the join runs on classes.  Shingles are
 ordered rare first, and sets that link share enough of their first ones: light
 (small) sets enumerate all pairs of their first shingles, so that candidates
 share two at once; heavy (large) sets scan inverted lists of single shingles.
-The boundary is where enumerating costs as much as scanning, from the measured
-list lengths.  Candidates are verified on their whole sets."""
+The boundary is the size at which both together cost least: where a list is only
+scanned for its head, that follows from the sizes; elsewhere a few sets are taken
+and what either way would write and compare for each of them is counted.
+Candidates are verified on their whole sets."""
 
 from __future__ import annotations
 
@@ -22,8 +24,8 @@ from .components import connected_components
 N, PERCENT = 5, 80
 #: Sets up to this size keep all their shingles for the search.
 SMALL = 64
-#: Most shingles of a light set that enter into pairs, whatever the costs say.
-MOST_LIGHT = 24
+#: Sets whose costs either way are counted to choose the boundary of light sets.
+COUNTED = 48
 #: Bits of the parity sketch of a set.
 SKETCH = 512
 #: Ids that are broadcast at most, to pick their texts in place.
@@ -101,19 +103,33 @@ def _ordered(low: Column, freq: Column, end: int) -> Column:
     return F.concat(F.transform(alone, item(0)), F.transform(shared, item(1)), F.transform(beyond, item(1)))
 
 
-def _light_limit(scan: float, percent: int) -> int:
+def _light_by_heads(percent: int) -> int:
     """The largest set size at which enumerating pairs of the first p + 1
-    shingles costs no more than posting a set in p lists and making ``scan``
-    candidates in each."""
+    shingles costs no more than posting a set in p lists and comparing it with
+    the head of each."""
     size = 1
-    while size < 10_000:
-        p = size + 1 - least_overlap(size + 1, percent) + 1
-        if p + 1 > MOST_LIGHT or p * (p + 1) / 2 > p * (1 + scan):
-            break
+    while (size + 2 - least_overlap(size + 1, percent) + 1) / 2 <= 2:
         size += 1
     return size
 
 
+def _light_by_count(ranked: DataFrame, posted: DataFrame) -> int:
+    """The set size up to which sets are light, from the costs of ``COUNTED`` sets
+    (those of least hash of the id), each counted in full. ``posted`` are the
+    entries (id, label, h) of first shingles. A pair of sets that share m of them
+    meets m times in lists of single shingles and m * (m - 1) / 2 times in lists
+    of pairs, which also have to be written."""
+    some = ranked.orderBy(F.xxhash64("id"), "id").limit(COUNTED).select(F.col("id").alias("of"), "n")
+    mine = posted.join(F.broadcast(some), F.col("id") == F.col("of")).select("of", F.col("n").alias("size"), F.col("label").alias("own_label"), "h")
+    met = mine.join(posted, "h").where("label <> own_label").groupBy("of", "id").agg(F.count("*").alias("m")).groupBy("of").agg(
+        F.sum("m").alias("scan"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"))
+    written = mine.groupBy("of", "size").agg(F.count("*").alias("q"))
+    rows = written.join(met, "of", "left").select("size", "q", F.coalesce("scan", F.lit(0)), F.coalesce("pairs", F.lit(0))).collect()
+    costs = [(size, q * (q - 1) / 2 + pairs, q + scan) for size, q, scan, pairs in rows]
+    total = lambda limit: sum(light if size <= limit else heavy for size, light, heavy in costs)
+    return min(sorted({1, *(size for size, _, _ in costs)}), key=total)
+
+
 def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
     """(key, id, n, light, pos, own): what each class (id, label, n, low) is
     posted under, the place of that shingle in its order, and its share of
@@ -121,8 +137,7 @@ def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
     are sought between labels, and two sets of different labels that share a
     shingle make it one that both labels hold. A scan makes a candidate of each
     entry and its list's head (``heads``), or of each two entries of different
-    labels in the lists of first shingles, which are measured; that sets the
-    boundary between light and heavy."""
+    labels; that sets the boundary between light and heavy."""
     post = reps.select("id", "label", F.explode(F.filter("low", lambda x: x < end)).alias("h"))
     shared = materialise(post.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
                          .where("x < y").select("h", "df"))
@@ -138,13 +153,10 @@ def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
         placed = F.transform(F.slice("order", 1, size), lambda x, i: F.struct(x["kind"].alias("kind"), x["h"].alias("h"), (i + 1).alias("pos")))
         return F.filter(placed, lambda x: x["kind"] == 1)
 
-    scan = 1.0
-    if not heads:
-        each = ranked.select("label", F.explode(posted(first)).alias("x")).groupBy("x.h", "label").agg(F.count("*").alias("n"))
-        lists = each.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("same"))
-        # entries of other labels that an entry meets on average; each pair is made once
-        scan = lists.agg(F.sum(F.col("n").cast("double") ** 2 - F.col("same")) / F.sum("n") / 2).first()[0] or 0.0
-    limit = _light_limit(scan, percent)
+    if heads:
+        limit = _light_by_heads(percent)
+    else:
+        limit = _light_by_count(ranked, materialise(ranked.select("id", "label", F.explode(posted(first + 1)).alias("x")).select("id", "label", "x.h")))
     light = F.col("n") <= limit
     # sets that a heavy one may link to are posted in the lists as well
     lists = ranked.where(F.col("n") >= least_overlap(limit + 1, percent)).select(

@@ -100,6 +100,12 @@ def near_copies():
             for _ in range(r.randint(0, max(1, len(w) // 25))):
                 w[r.randrange(len(w))] = "edit" + str(r.randint(0, 3))
             rows.append((len(rows), " ".join(w)))
+    words = prose(77, 120).split()  # a large group, about whose threshold its members lie
+    for _ in range(300):
+        w = list(words)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = "edit" + str(r.randint(0, 400))
+        rows.append((len(rows), " ".join(w)))
     return rows
 
 
