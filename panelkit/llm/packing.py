@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from functools import cache
 from unicodedata import is_normalized
@@ -28,7 +28,7 @@ MEMO_WORDS = 600_000
 #: Marks that may follow a word without joining it.
 MARKS = b".,;:!?*#$%&()\"-"
 #: Length classes per sequence, and the most documents in a pattern.
-CLASSES, PARTS = 64, 4
+CLASSES, PARTS = 64, 3
 
 
 # ---- tokens -------------------------------------------------------------
@@ -216,18 +216,35 @@ def layouts(histogram: dict[int, int], size: int, classes: int = CLASSES,
         have = np.array([sum(left[n] for n in by_class[c]) for c in range(1, classes + 1)], float)
         shape = patterns(classes, parts)
         repeats = np.rint(nnls(shape.T, have)).astype(int)
-        for k in np.argsort(-repeats, kind="stable"):
+        remaining = sorted(left)  # lengths, some of which may be used up
+
+        def longest_within(room: int, chosen: list[int]) -> int | None:
+            """The longest piece that is left and fits."""
+            k = bisect_right(remaining, room)
+            while k:
+                k -= 1
+                if left[remaining[k]] > chosen.count(remaining[k]):
+                    return remaining[k]
+                if not left[remaining[k]]:
+                    remaining.pop(k)
+            return None
+
+        # patterns with the longest members first, so that short pieces are left for the gaps
+        for k in sorted(range(len(shape)), key=lambda k: -np.flatnonzero(shape[k])[-1]):
             members = [c + 1 for c in np.flatnonzero(shape[k])[::-1] for _ in range(int(shape[k][c]))]
             want = int(repeats[k])
             while want > 0:
                 chosen: list[int] = []
-                for c in members:
+                for c in members[:-1]:
                     pick = next((n for n in by_class[c] if left[n] > chosen.count(n)), None)
                     if pick is None:
                         break
                     chosen.append(pick)
-                if len(chosen) < len(members):
+                # classes round lengths up, so the last member takes the exact room that is left
+                last = longest_within(size - sum(chosen), chosen) if len(chosen) == len(members) - 1 else None
+                if last is None:
                     break
+                chosen.append(last)
                 times = min([want, *(left[n] // chosen.count(n) for n in set(chosen))])
                 for n in set(chosen):
                     left[n] -= times * chosen.count(n)
