@@ -48,8 +48,8 @@ def iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-def _run(text: str, i: int, allowed: frozenset) -> int:
-    n = len(text)
+def _run(text: str, i: int, allowed: frozenset, most: int | None = None) -> int:
+    n = len(text) if most is None else min(len(text), i + most)
     while i < n and text[i] in allowed:
         i += 1
     return i
@@ -145,20 +145,39 @@ def account(text: str, end_of_cue: int) -> Span | None:
         if text[i: i + len(word)].lower() == word:
             i += len(word)
     i = _run(text, i, frozenset(" "))
-    end = _run(text, i, ACCOUNT)
+    end = _run(text, i, ACCOUNT, 21)  # longer ones are none, wherever they end
     code = text[i:end]
-    if code[:2].isalpha():  # an IBAN may stand in groups of four
-        wide = _run(text, i, ACCOUNT | frozenset(" "))
-        groups = text[i:wide].split(" ")
-        for k in range(len(groups), 0, -1):
-            span = " ".join(groups[:k])
-            if iban(span.replace(" ", "").upper()):
-                return ("account", i, i + len(span))
+    if code[:2].isalpha() and (stop := iban_end(text, i)):
+        return ("account", i, stop)
     if 6 <= len(code) <= 20 and sum(c in DIGITS for c in code) >= 6:
         return ("account", i, end)
     return None
 
 
+def iban_end(text: str, start: int) -> int | None:
+    """Where the longest valid IBAN that starts here ends; it may stand in groups
+    with blanks between. An IBAN has at most 34 letters and digits, so no more
+    are read."""
+    ends, code, i, n = [], "", start, len(text)
+    while i < n and len(code) <= 34:
+        if text[i] == " ":
+            ends.append((len(code), i))
+            i = _run(text, i, frozenset(" "))
+        elif text[i] in ALNUM:
+            code += text[i]
+            i += 1
+            if len(code) == 4 and not code[2:].isdigit():
+                return None
+        else:
+            break
+    if i > start and text[i - 1] != " " and (i == n or text[i] != "-"):
+        ends.append((len(code), i))
+    for size, end in reversed(ends):
+        if iban(code[:size].upper()):
+            return end
+    return None
+
+
 def automaton():
     import ahocorasick
 
