@@ -14,13 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_and_text, map_texts, texts
+from ._common import id_and_text, map_texts, materialise, texts
 
 #: Characters of a window, distance of window starts, length of a q-gram, and
 #: edits allowed per character.
 WINDOW, STRIDE, Q, ERRORS = 80, 20, 8, 0.075
-#: Characters of benchmark text that are broadcast at once; more go in blocks.
-BLOCK_CHARS = 8 << 20
+#: Characters of benchmark text in one block. Its index, which the driver builds and
+#: every worker holds, takes about 60 bytes for each, and some 200 while it is built.
+BLOCK_CHARS = 1 << 20
 #: Bits of the table that tells quickly whether a q-gram occurs in the block.
 FILTER_BITS = 22
 
@@ -55,10 +56,13 @@ def bound(w: int) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class Index:
-    """Windows of a block of benchmark items and the places of their q-grams."""
+    """Windows of a block of benchmark items and the places of their q-grams, in
+    flat arrays of the smallest types that hold them."""
 
     items: np.ndarray  # item of each window
-    windows: list[np.ndarray]  # codes of each window
+    code: np.ndarray  # the block's folded texts, one after another
+    start: np.ndarray  # of each window in it
+    size: np.ndarray
     edits: np.ndarray
     shared: np.ndarray
     key: np.ndarray  # sorted q-grams, with the window and the place there
@@ -68,9 +72,13 @@ class Index:
     least: int  # smallest bound of any window
     longest: int
 
+    @property
+    def windows(self) -> list[np.ndarray]:
+        return [self.code[a: a + n] for a, n in zip(self.start, self.size)]
+
 
 def build_index(items: list[tuple[object, str]]) -> Index | None:
-    owner, windows = [], []
+    owner, starts, sizes, parts, total = [], [], [], [], 0
     for number, (_, text) in enumerate(items):
         code = codes(fold(text or ""))
         if len(code) < Q:
@@ -78,19 +86,23 @@ def build_index(items: list[tuple[object, str]]) -> Index | None:
         last = max(0, len(code) - WINDOW)
         for start in sorted({*range(0, last, STRIDE), last}):
             owner.append(number)
-            windows.append(code[start: start + WINDOW])
-    if not windows:
+            starts.append(total + start)
+            sizes.append(min(WINDOW, len(code) - start))
+        parts.append(code)
+        total += len(code)
+    if not parts:
         return None
-    limits = [bound(len(w)) for w in windows]
-    each = [grams(w) for w in windows]
-    key = np.concatenate(each)
-    window = np.repeat(np.arange(len(each)), [len(g) for g in each])
-    place = np.concatenate([np.arange(len(g)) for g in each])
+    code, start, size = np.concatenate(parts), np.array(starts, np.int64), np.array(sizes, np.int64)
+    many = size - Q + 1  # q-grams of a window: a stretch of those of the whole block
+    window = np.repeat(np.arange(len(start), dtype=np.uint32), many)
+    place = (np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint8)
+    key = grams(code)[start[window] + place]
     order = np.argsort(key, kind="stable")
     quick = np.zeros(1 << FILTER_BITS, bool)
     quick[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array(owner), windows, np.array([k for k, _ in limits]), np.array([t for _, t in limits]),
-                 key[order], window[order], place[order], quick, min(t for _, t in limits), max(len(w) for w in windows))
+    limits = np.array([bound(w) for w in range(WINDOW + 1)])[size]
+    return Index(np.array(owner, np.int64), code, start, size, limits[:, 0], limits[:, 1], key[order], window[order], place[order], quick,
+                 int(limits[:, 1].min()), int(size.max()))
 
 
 def regions(code: np.ndarray, index: Index) -> np.ndarray:
@@ -114,8 +126,8 @@ def regions(code: np.ndarray, index: Index) -> np.ndarray:
     many = high - low
     at = np.repeat(at, many)
     entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-    window = index.window[entry]
-    diagonal = at - index.place[entry] + index.longest  # never negative
+    window = index.window[entry].astype(np.int64)
+    diagonal = at - index.place[entry].astype(np.int64) + index.longest  # never negative
     step = 2 * index.edits[window] + 1  # each diagonal is in two bands of twice this width
     band = diagonal // step
     width = len(code) + 2 * index.longest + 2
@@ -135,10 +147,9 @@ def align(code: np.ndarray, index: Index, found: np.ndarray) -> np.ndarray:
     most = int(k.max())
     lo = first - k  # diagonals lo .. lo + cells
     cells = 6 * most + 3
-    size = np.array([len(index.windows[w]) for w in window])
-    pattern = np.zeros((len(found), int(size.max())), np.uint32)
-    for row, w in zip(pattern, window):
-        row[: len(index.windows[w])] = index.windows[w]
+    size, column = index.size[window], np.arange(int(index.size[window].max()))
+    inner = column[None] < size[:, None]
+    pattern = np.where(inner, index.code[np.where(inner, index.start[window][:, None] + column, 0)], 0)
     far = 1 << 20
     text = np.concatenate([code, [np.uint32(0xFFFFFFFF)]])
     column = np.arange(cells)
@@ -191,27 +202,37 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     Null or empty texts and items match nothing, nor do items under 8
     characters; a null id passes as it is, repeated rows give repeated results;
     an empty table on either side gives an empty result; other columns are
-    ignored. The benchmark is read to the driver in blocks of at most 8 million
-    characters, each of which is one pass over the documents."""
+    ignored. The benchmark is read to the driver in blocks of about a million
+    characters, each of which is one pass over the documents; where there are
+    several, a pass is written before the next block is read. The two id columns
+    need different names."""
+    if id_col.lower() == item_col.lower():
+        raise ValueError(f"both ids are called {id_col}")
+    kind = benchmark.schema[item_col].dataType.simpleString()
     out = None
-    for block in _blocks(benchmark, item_col, item_text_col):
-        part = _one_block(df, block, id_col, text_col, benchmark.schema[item_col].dataType.simpleString(), item_col)
+    for block, only in _blocks(benchmark, item_col, item_text_col):
+        part, index = _one_block(df, block, id_col, text_col, kind, item_col)
+        if not only:
+            part = materialise(part)
+            index.destroy()
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = _one_block(df.limit(0), [], id_col, text_col, benchmark.schema[item_col].dataType.simpleString(), item_col)
-    return out
+    return _one_block(df.limit(0), [], id_col, text_col, kind, item_col)[0] if out is None else out
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, item_text_col: str = "text") -> DataFrame:
     """The rows of a table with a ``text`` column in which no window of any
     benchmark item stands (see ``contamination``). All columns stay; there is
-    no join and no shuffle. Null and empty texts are clean."""
-    for block in _blocks(benchmark, item_text_col, item_text_col):
-        df = _clean(df, block)
+    no join and no shuffle. Null and empty texts are clean. With several blocks,
+    what one leaves is written before the next."""
+    for block, only in _blocks(benchmark, item_text_col, item_text_col):
+        df, index = _clean(df, block)
+        if not only:
+            df = materialise(df)
+            index.destroy()
     return df
 
 
-def _clean(df: DataFrame, block: list) -> DataFrame:
+def _clean(df: DataFrame, block: list):
     index = df.sparkSession.sparkContext.broadcast(build_index(block))
 
     def make():
@@ -222,24 +243,26 @@ def _clean(df: DataFrame, block: list) -> DataFrame:
 
         return work
 
-    return map_texts(df, "", make, keep=tuple(df.columns))
+    return map_texts(df, "", make, keep=tuple(df.columns)), index
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
     """Lists of (item, text) of at most ``BLOCK_CHARS`` characters (a longer
-    item is a block of its own); one block is on the driver at a time."""
-    block, size = [], 0
+    item is a block of its own), and whether it is the only one; one block is on
+    the driver at a time."""
+    block, size, only = [], 0, True
     for r in benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL").orderBy("item", "text").toLocalIterator():
         if block and size + len(r[1]) > BLOCK_CHARS:
-            yield block
+            only = False
+            yield block, only
             block, size = [], 0
         block.append((r[0], r[1]))
         size += len(r[1])
     if block:
-        yield block
+        yield block, only
 
 
-def _one_block(df: DataFrame, block: list, id_col: str, text_col: str, item_type: str, item_col: str) -> DataFrame:
+def _one_block(df: DataFrame, block: list, id_col: str, text_col: str, item_type: str, item_col: str):
     index = df.sparkSession.sparkContext.broadcast((build_index(block), [i for i, _ in block]))
 
     def make():
@@ -258,4 +281,4 @@ def _one_block(df: DataFrame, block: list, id_col: str, text_col: str, item_type
 
     added = f"item {item_type}, n_windows long, edits long, match_end long"
     found = map_texts(id_and_text(df, id_col, text_col), added, make)
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "edits", "match_end")
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "edits", "match_end"), index
