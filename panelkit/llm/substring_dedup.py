@@ -223,12 +223,22 @@ def _repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with every dropped passage cut out of the text; a null text
-    stays null. Rows that repeat whole all stay, cut alike."""
-    found = (_repeats(df, id_col, text_col).where("dropped").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key"))
-             .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cut")))
+    stays null. Rows that repeat whole all stay, cut alike. Other columns stay,
+    whatever their names."""
+    at, key, cut = _unused(df, "at"), _unused(df, "key"), _unused(df, "cut")
+    found = (_repeats(df, id_col, text_col).where("dropped").groupBy(F.col("id").alias(at), F.col("key").alias(key))
+             .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cut)))
     raw = F.encode(F.col(f"`{text_col}`"), "UTF-8")
-    kept = F.aggregate("_cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, c: F.struct(
+    kept = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, c: F.struct(
         c["end"].alias("at"), F.concat(acc["out"], F.decode(F.substring(raw, acc["at"] + 1, c["start"] - acc["at"]), "UTF-8")).alias("out")),
         lambda acc: F.concat(acc["out"], F.decode(F.substring(raw, acc["at"] + 1, F.length(raw) - acc["at"]), "UTF-8")))
-    joined = df.join(found, (F.col(f"`{id_col}`") == F.col("_id")) & (text_key(text_col) == F.col("_key")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(f"`{text_col}`")).otherwise(kept)).drop("_id", "_key", "_cut")
+    joined = df.join(found, (F.col(f"`{id_col}`") == F.col(at)) & (text_key(text_col) == F.col(key)), "left")
+    return joined.withColumn(text_col, F.when(F.col(cut).isNull(), F.col(f"`{text_col}`")).otherwise(kept)).drop(at, key, cut)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case of its letters."""
+    there = {c.lower() for c in df.columns}
+    while f"_{name}" in there:
+        name = f"_{name}"
+    return f"_{name}"
