@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.operators.prefix import row_numbers
+
+from ._common import materialise
+
 # The chat template.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -85,21 +89,25 @@ def assembled(segments: DataFrame) -> DataFrame:
 
 def swapped_responses(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from a table of conversations without preferences: chosen is each
-    conversation up to its last assistant turn, rejected the same with that
-    turn's text replaced by the last assistant text of its neighbour (the
-    conversation whose id differs in the last bit). Conversations without an
-    assistant turn, or with a neighbour without one, give no pair. Of assistant
-    turns that share the last number, the greatest text is the last."""
+    conversation that has an assistant turn, rejected the same with the text of
+    its last assistant turn replaced by that of the next such conversation in
+    order of ids (after the last id comes the first). Whatever follows that turn
+    stays on both sides. Conversations without an assistant turn have nothing to
+    prefer and give no pair; a single one is its own partner, so that both sides
+    are equal. Of assistant turns that share the last number, the greatest text
+    is the last."""
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
     last = (turns.where("role = 'assistant'").groupBy("conv_id")
             .agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last")))
-    other = last.select(F.expr("conv_id ^ 1").alias("conv_id"), F.col("last.text").alias("swap"))
-    ends = last.join(other, "conv_id").select("conv_id", F.col("last.turn").alias("end"), F.col("last.text").alias("own"), "swap")
-    cut = turns.join(ends, "conv_id").where("turn <= end").select(
+    numbered = materialise(row_numbers(last, ["conv_id"], "n"))
+    count = F.broadcast(numbered.agg(F.count("*").alias("of")))  # one row
+    before = numbered.crossJoin(count).select((F.col("n") % F.col("of") + 1).alias("n"), "conv_id", F.col("last.turn").alias("end"), F.col("last.text").alias("own"))
+    ends = before.join(numbered.select("n", F.col("last.text").alias("swap")), "n").drop("n")
+    whole = turns.join(ends, "conv_id").select(
         F.col("conv_id").alias("pair_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"),
-        F.expr("turn = end AND role = 'assistant' AND coalesce(text, '') = own").alias("final"), "swap")
-    chosen = cut.select("pair_id", "turn", "role", "text")
-    rejected = cut.select("pair_id", "turn", "role", F.when(F.col("final"), F.col("swap")).otherwise(F.col("text")).alias("text"))
+        F.expr("turn = end AND coalesce(role, '') = 'assistant' AND coalesce(text, '') = own").alias("final"), "swap")
+    chosen = whole.select("pair_id", "turn", "role", "text")
+    rejected = whole.select("pair_id", "turn", "role", F.when(F.col("final"), F.col("swap")).otherwise(F.col("text")).alias("text"))
     return chosen, rejected
 
 
@@ -108,13 +116,13 @@ CONVERSATIONS_SQL = """
                    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
     final AS (SELECT conv_id, turn, text FROM turns WHERE role = 'assistant'
               QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) = 1),
-    pairs AS (SELECT a.conv_id, a.turn AS last, a.text AS own, b.text AS swap FROM final a JOIN final b ON xor(a.conv_id, 1) = b.conv_id),
+    pairs AS (SELECT conv_id, turn AS last, text AS own, coalesce(lead(text) OVER (ORDER BY conv_id), first_value(text) OVER (ORDER BY conv_id)) AS swap FROM final),
     chosen AS (SELECT conv_id, turn, role, text,
                       row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) - 1 AS place
-               FROM turns JOIN pairs USING (conv_id) WHERE turn <= last),
+               FROM turns JOIN pairs USING (conv_id)),
     swapped AS (SELECT DISTINCT conv_id, turn, role,
                        CASE WHEN turn = last AND role = 'assistant' AND text = own THEN swap ELSE text END AS text
-                FROM turns JOIN pairs USING (conv_id) WHERE turn <= last),
+                FROM turns JOIN pairs USING (conv_id)),
     rejected AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) - 1 AS place FROM swapped),
     fork AS (SELECT conv_id, min(turn * 1000000 + place) AS forked
              FROM chosen c FULL JOIN rejected r USING (conv_id, turn, place)
