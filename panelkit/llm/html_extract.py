@@ -3,9 +3,10 @@
 Each page becomes a stream of tags and text slots; streams of one host are
 aligned one after the other, mismatches become optional or repeated groups, and
 the result is the host's wrapper, a regular expression without unions.  Each
-page is matched against it, which gives every text of the page its slot; slots
-whose text is the same all over the host are template, and the article is what
-the others hold inside the container (an element chosen by name and class).
+page is matched against it, which gives every text of the page its slot.  The
+article is what stands inside the container (an element chosen by name and class).
+On pages without one, slots whose text is the same all over the host are template,
+unless they stand beside text that varies, as headings of an article do.
 
 Pages are first reduced to their structure with repeats folded, and equal
 structures of a host are counted together, so inference sees every page but its
@@ -47,8 +48,10 @@ BOILER = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(sorted(BOILER_WORDS))})(?:$|[\s_
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text)(?:$|[\s_-])")
 #: Different pages that hold a slot at least, and the share of the host's, for its constant text to be template.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.1
-#: Steps of matching a page; beyond them it counts as not matched, and all its text as varying.
-MATCH_STEPS = 2_000_000
+#: Steps of matching a page by trying; beyond them sets of states find the same match.
+TRIED_STEPS = 200_000
+#: Widths of repeated segments that are all tried; wider ones where symbols recur at that distance.
+NARROW = 24
 #: Partial wrappers that one task merges at a time.
 FAN_IN = 256
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
@@ -146,18 +149,31 @@ def _absorb(items: list[str], unit: list[str]) -> list[str]:
     return out
 
 
-def fold(items: list[str], widest: int = 24) -> list[str]:
+def _widths(items: list[str]) -> list[int]:
+    """Widths that a repeated segment may have: all narrow ones, and distances
+    at which a symbol recurs (its next three places)."""
+    far: set[int] = set()
+    if len(items) > 2 * NARROW:
+        places: dict[str, list[int]] = {}
+        for i, x in enumerate(items):
+            mine = places.setdefault(x, [])
+            far.update(i - k for k in mine[-3:])
+            mine.append(i)
+    return [*range(1, NARROW + 1), *sorted(w for w in far if w > NARROW)]
+
+
+def fold(items: list[str]) -> list[str]:
     """Write runs of equal neighbouring segments as repeated groups."""
-    width = 1
-    while width <= min(widest, len(items) // 2):
-        run = 0
+    widths, k = _widths(items), 0
+    while k < len(widths) and widths[k] <= len(items) // 2:
+        width, run = widths[k], 0
+        k += 1
         for i, (x, y) in enumerate(zip(items, items[width:])):
             run = run + 1 if x == y else 0
             if run == width:  # two equal segments end here
                 items = _absorb(items, items[i + 1: i + 1 + width])
-                width = 0  # groups may have made new neighbours
+                widths, k = _widths(items), 0  # groups may have made new neighbours
                 break
-        width += 1
     return items
 
 
@@ -222,8 +238,8 @@ def match(wrapper: str, found: list[str]) -> list[int] | None:
         del trail[size:]
         while (step, at) not in seen:
             seen.add((step, at))
-            if len(seen) > MATCH_STEPS:
-                return None
+            if len(seen) > TRIED_STEPS:
+                return match_by_sets(steps, found)
             if step == len(steps):
                 if at == len(found):
                     return trail
@@ -241,6 +257,59 @@ def match(wrapper: str, found: list[str]) -> list[int] | None:
     return None
 
 
+def match_by_sets(steps: tuple[tuple, ...], found: list[str]) -> list[int] | None:
+    """The match that ``match`` finds, for long pages: from the end, the set of
+    steps that may read each symbol and still lead to the end, as bits of an
+    integer; then forward the first such step. Sets are stored at every square
+    root of the length, and those between computed again."""
+    n, m = len(found), len(steps)
+
+    @lru_cache(None)
+    def following(step: int) -> tuple[tuple[int, ...], int]:
+        """The steps that may read next, first choice first, and as bits (m: the end)."""
+        out, todo, seen = [], [step], set()
+        while todo:
+            here = todo.pop()
+            if here in seen:
+                continue
+            seen.add(here)
+            if here < m and steps[here][0] is None:
+                todo += [steps[here][2], steps[here][1]]
+            else:
+                out.append(here)
+        return tuple(out), sum(1 << x for x in out)
+
+    readers: dict[str, list[int]] = {}
+    for k, (symbol, *_) in enumerate(steps):
+        if symbol is not None:
+            readers.setdefault(symbol, []).append(k)
+
+    def back(at: int, after: int) -> int:
+        return sum(1 << k for k in readers.get(found[at], ()) if following(k + 1)[1] & after)
+
+    stride = int(n**0.5) + 1
+    stored, alive = {n: 1 << m}, 1 << m
+    for at in range(n - 1, -1, -1):
+        alive = back(at, alive)
+        if at % stride == 0:
+            stored[at] = alive
+    trail, step = [], 0
+    for start in range(0, n + 1, stride):
+        stop = min(start + stride, n)
+        block = [stored[stop]]
+        for at in range(stop - 1, start - 1, -1):
+            block.append(back(at, block[-1]))
+        for at in range(start, stop):
+            may = block[stop - at]
+            read = next((x for x in following(step)[0] if may >> x & 1), None)
+            if read is None:
+                return None
+            if steps[read][1] >= 0:
+                trail.append(steps[read][1])
+            step = read + 1
+    return trail if following(step)[1] >> m & 1 else None
+
+
 def once(wrapper: str) -> list[str]:
     """The structure with each repeated group written once."""
     def flat(item: str) -> list[str]:
@@ -309,14 +378,41 @@ def page_container(wrapper: list[str], structure: list[str]) -> str:
     return chosen if any(chosen in (t, t.partition(".")[0]) for t in tags) else containers(structure)
 
 
+def beside_varying(tokens: list[tuple[str, str, str]], constant: list[bool]) -> list[bool]:
+    """``constant`` without the slots that are part of the article: those whose
+    block has a block of varying text beside it, in one parent (not the body)."""
+    parents: list[int] = []
+    stack: list[tuple[str, int]] = []
+    slot, in_text = -1, False
+    for number, (kind, name, value) in enumerate(tokens):
+        if kind == "close" and name in VOID:
+            continue
+        if kind == "text" or name in INLINE:
+            if not in_text and (kind != "text" or value.strip()):
+                slot, in_text = slot + 1, True
+                over = stack[-2] if len(stack) > 1 else ("body", -1)
+                parents.append(-1 if over[0] in ("body", "html") else over[1])
+            continue
+        in_text = False
+        if kind == "open":
+            if name not in VOID:
+                stack.append((name, number))
+        elif any(name == x for x, _ in stack):
+            while stack.pop()[0] != name:
+                pass
+    varying = {p for p, same in zip(parents, constant) if not same} - {-1}
+    return [same and p not in varying for p, same in zip(parents, constant)]
+
+
 def main_text(page: str, container: str, template: list[int] | None) -> str:
-    """The article of a page, without the slots of its structure that are
-    template; with them where nothing else is there."""
+    """The article of a page: all that its container holds; where that is the
+    body, without the slots of its structure that are template (with them where
+    nothing else is there)."""
     tokens = stream(page)
-    if template:
+    if template and container == "body":
         found = symbols(tokens)
         slots, constant = match("\n".join(fold(found)), found) or [], set(template)
-        text = article(tokens, container, [k in constant for k in slots])
+        text = article(tokens, container, beside_varying(tokens, [k in constant for k in slots]))
         if text:
             return text
     return article(tokens, container)
@@ -454,9 +550,9 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Null html is empty and gives an empty text; a null url or one without a
     host shares one wrapper with its like; null ids and repeated rows pass as
     they are; an empty table gives an empty result; other columns are ignored.
-    Character references are decoded. Text that stands in the same slot on all
-    pages of a host is its template, not the article; nothing else of the
-    article is dropped."""
+    Character references are decoded. On pages without an element that holds the
+    article, text that stands in the same slot on all pages of a host, away from
+    text that varies, is its template; nothing else of the article is dropped."""
     base = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), host_of(F.col(f"`{url_col}`")).alias("host"),
                      F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("text"))
 
