@@ -156,18 +156,18 @@ f AS (SELECT n_name, min(month_idx) + 2 AS start FROM sup GROUP BY n_name),
 tr AS (SELECT a.n_name, a.month_idx AS anchor, s.lag1 AS x1, CAST(s.month_idx AS DOUBLE) AS x2, s.y
        FROM sup a JOIN f USING (n_name) JOIN sup s ON s.n_name = a.n_name AND s.month_idx >= f.start AND s.month_idx < a.month_idx
        WHERE a.month_idx >= f.start + 5),
-st AS (SELECT n_name, anchor, CAST(count(*) AS DOUBLE) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, COALESCE(NULLIF(stddev_pop(x1), 0), 1) AS d1,
+ms AS (SELECT n_name, anchor, CAST(count(*) AS DOUBLE) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, COALESCE(NULLIF(stddev_pop(x1), 0), 1) AS d1,
               COALESCE(NULLIF(stddev_pop(x2), 0), 1) AS d2 FROM tr GROUP BY n_name, anchor HAVING count(*) >= 5),
-z AS (SELECT tr.n_name, tr.anchor, n, (x1 - m1) / d1 AS z1, (x2 - m2) / d2 AS z2, y - my AS v FROM tr JOIN st ON tr.n_name = st.n_name AND tr.anchor = st.anchor),
-g AS (SELECT n_name, anchor, sum(z1 * z1) AS g11, sum(z2 * z2) AS g22, sum(z1 * z2) AS g12, sum(z1 * v) AS r1, sum(z2 * v) AS r2 FROM z GROUP BY n_name, anchor),
+z AS (SELECT tr.n_name, tr.anchor, n, (x1 - m1) / d1 AS z1, (x2 - m2) / d2 AS z2, y - my AS v FROM tr JOIN ms ON tr.n_name = ms.n_name AND tr.anchor = ms.anchor),
+gm AS (SELECT n_name, anchor, sum(z1 * z1) AS g11, sum(z2 * z2) AS g22, sum(z1 * z2) AS g12, sum(z1 * v) AS r1, sum(z2 * v) AS r2 FROM z GROUP BY n_name, anchor),
 w AS (SELECT *, ((g22 + a) * r1 - g12 * r2) / det AS w1, ((g11 + a) * r2 - g12 * r1) / det AS w2, (g22 + a) / det AS i11, (g11 + a) / det AS i22, -g12 / det AS i12
-      FROM (SELECT g.*, a, (g11 + a) * (g22 + a) - g12 * g12 AS det FROM g CROSS JOIN (SELECT pow(10, -3 + 9 * k / 29.0) AS a FROM range(0, 30) r(k)) al) t),
+      FROM (SELECT gm.*, a, (g11 + a) * (g22 + a) - g12 * g12 AS det FROM gm CROSS JOIN (SELECT pow(10, -3 + 9 * k / 29.0) AS a FROM range(0, 30) r(k)) al) t),
 e AS (SELECT w.n_name, w.anchor, a, any_value(w1) AS w1, any_value(w2) AS w2,
              sum(pow((v - w1 * z1 - w2 * z2) / (1 - 1 / n - i11 * z1 * z1 - 2 * i12 * z1 * z2 - i22 * z2 * z2), 2)) AS err
       FROM w JOIN z ON z.n_name = w.n_name AND z.anchor = w.anchor GROUP BY w.n_name, w.anchor, a),
-b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY n_name, anchor ORDER BY err, a) = 1),
-c AS (SELECT b.n_name, b.anchor, s.y AS y0, w1 / d1 AS b1, w2 / d2 AS b2, my - w1 / d1 * m1 - w2 / d2 * m2 AS b0
-      FROM b JOIN st ON st.n_name = b.n_name AND st.anchor = b.anchor JOIN sup s ON s.n_name = b.n_name AND s.month_idx = b.anchor),
+bs AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY n_name, anchor ORDER BY err, a) = 1),
+c AS (SELECT bs.n_name, bs.anchor, s.y AS y0, w1 / d1 AS b1, w2 / d2 AS b2, my - w1 / d1 * m1 - w2 / d2 * m2 AS b0
+      FROM bs JOIN ms ON ms.n_name = bs.n_name AND ms.anchor = bs.anchor JOIN sup s ON s.n_name = bs.n_name AND s.month_idx = bs.anchor),
 p AS (SELECT c.n_name, h.horizon, t.y, pow(b1, h.horizon) * y0 + (SELECT sum(pow(b1, h.horizon - k) * (b0 + b2 * (anchor + k))) FROM range(1, h.horizon + 1) r(k)) AS pred
       FROM c CROSS JOIN (VALUES (1), (5), (10)) AS h(horizon) JOIN sup t ON t.n_name = c.n_name AND t.month_idx = c.anchor + h.horizon)
 SELECT n_name, CAST(horizon AS INTEGER) AS horizon, round(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse, CAST(count(*) AS BIGINT) AS anchors_used

@@ -354,13 +354,14 @@ def _classifier_fits(train):
 
 
 def group_kfold_classifiers(spark, root):
-    """E3 for the risk classifiers: whole regions, then whole customers, held out
+    """E3 for the risk classifiers: whole regions, then whole nations, held out
     per fold; the label threshold (q75 of the risk score), scaling and class
     weights come from the training folds alone. Accuracy and F1 of the high class,
     mean and population std over the folds whose training rows have both classes."""
-    d = p1_features(spark, root)
-    jobs, frames, n_rows, names = [], {}, {}, None
-    for grouping in ("region", "c_custkey"):
+    d = dense_features(spark, root).withColumn("risk_score", weighted_score("n_events", "amount"))
+    numeric = FEATURES + ["month_idx"]
+    jobs, frames, n_rows = [], {}, {}
+    for grouping in ("region", "n_name"):
         g = cut_lineage(d.join(EV.group_folds(d, grouping, K_FOLDS), grouping))
         told = EV.fold_thresholds(EV.fold_table(g, "risk_score", "fold", K_FOLDS), "risk_score", K_FOLDS, 0.75).first()
         frames[grouping], n_rows[grouping] = g, g.count()
@@ -369,8 +370,8 @@ def group_kfold_classifiers(spark, root):
     def run(job):
         grouping, k, threshold = job
         g = frames[grouping].withColumn("y", flag(F.col("risk_score") >= threshold).cast("double"))
-        z = MD.standardize(g, P1_FEATURES, fit_on=g.filter(F.col("fold") != k), suffix="_z")
-        _, x, _ = MD.design(z, [c + "_z" for c in P1_FEATURES], ["region"], drop_first=False)
+        z = MD.standardize(g, numeric, fit_on=g.filter(F.col("fold") != k), suffix="_z")
+        _, x, _ = MD.design(z, [c + "_z" for c in numeric], ["region"], drop_first=False)
         x = cut_lineage(x.select("fold", "features", "y"))
         test = x.filter(F.col("fold") == k)
         scored = {m: f(test) for m, f in _classifier_fits(x.filter(F.col("fold") != k)).items()}

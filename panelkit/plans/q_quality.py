@@ -297,7 +297,7 @@ from .roles import strip_sql  # noqa: E402
 
 USED_COLS = ["entity_txt", "period_txt", "sev1_txt", "sev2_txt"]
 # Names that are no single market here.
-EXCLUDED_NAMES = ["UNITED STATES", "CHINA", "RUSSIA"]
+EXCLUDED_NAMES = ["NATION_3", "NATION_7", "NATION_11"]
 
 
 def complete_rows(spark, root):
