@@ -257,35 +257,55 @@ def match(wrapper: str, found: list[str]) -> list[int] | None:
     return None
 
 
+@lru_cache(4)
+def next_readers(steps: tuple[tuple, ...]) -> list[int]:
+    """For each step, as bits, the steps that may read the next symbol from there
+    (bit ``len(steps)``: the end). Loops make it a fixed point, which takes a
+    round for each depth of groups or so."""
+    m = len(steps)
+    reach = [0] * m + [1 << m]
+    changed = True
+    while changed:
+        changed = False
+        for k in range(m - 1, -1, -1):
+            symbol, first, *other = steps[k]
+            bits = reach[first] | reach[other[0]] if symbol is None else 1 << k
+            if bits != reach[k]:
+                reach[k], changed = bits, True
+    return reach
+
+
 def match_by_sets(steps: tuple[tuple, ...], found: list[str]) -> list[int] | None:
     """The match that ``match`` finds, for long pages: from the end, the set of
     steps that may read each symbol and still lead to the end, as bits of an
     integer; then forward the first such step. Sets are stored at every square
     root of the length, and those between computed again."""
     n, m = len(found), len(steps)
-
-    @lru_cache(None)
-    def following(step: int) -> tuple[tuple[int, ...], int]:
-        """The steps that may read next, first choice first, and as bits (m: the end)."""
-        out, todo, seen = [], [step], set()
-        while todo:
-            here = todo.pop()
-            if here in seen:
-                continue
-            seen.add(here)
-            if here < m and steps[here][0] is None:
-                todo += [steps[here][2], steps[here][1]]
-            else:
-                out.append(here)
-        return tuple(out), sum(1 << x for x in out)
-
+    reach = next_readers(steps)
     readers: dict[str, list[int]] = {}
     for k, (symbol, *_) in enumerate(steps):
         if symbol is not None:
             readers.setdefault(symbol, []).append(k)
 
     def back(at: int, after: int) -> int:
-        return sum(1 << k for k in readers.get(found[at], ()) if following(k + 1)[1] & after)
+        out = 0
+        for k in readers.get(found[at], ()):
+            if reach[k + 1] & after:
+                out |= 1 << k
+        return out
+
+    def choice(step: int, may: int) -> int | None:
+        """The first step in order of preference that is among ``may``."""
+        todo, seen = [step], set()
+        while todo:
+            here = todo.pop()
+            if here in seen or not reach[here] & may:
+                continue
+            if here == m or steps[here][0] is not None:
+                return here
+            seen.add(here)
+            todo += [steps[here][2], steps[here][1]]
+        return None
 
     stride = int(n**0.5) + 1
     stored, alive = {n: 1 << m}, 1 << m
@@ -297,17 +317,18 @@ def match_by_sets(steps: tuple[tuple, ...], found: list[str]) -> list[int] | Non
     for start in range(0, n + 1, stride):
         stop = min(start + stride, n)
         block = [stored[stop]]
-        for at in range(stop - 1, start - 1, -1):
+        for at in range(stop - 1, start, -1):
             block.append(back(at, block[-1]))
+        if stop > start:
+            block.append(stored[start])
         for at in range(start, stop):
-            may = block[stop - at]
-            read = next((x for x in following(step)[0] if may >> x & 1), None)
+            read = choice(step, block[stop - at])
             if read is None:
                 return None
             if steps[read][1] >= 0:
                 trail.append(steps[read][1])
             step = read + 1
-    return trail if following(step)[1] >> m & 1 else None
+    return trail if reach[step] >> m & 1 else None
 
 
 def once(wrapper: str) -> list[str]:
