@@ -21,12 +21,12 @@ RULES = [
     {"id": "R01", "name": "Sustained high-volume urgent orders", "priority": "CRITICAL", "category": "Capacity",
      "predicate": "tier = 'HIGH' AND cat1_mode = '1-URGENT' AND n_events >= 10",
      "text": "Add dedicated capacity for urgent orders in this market."},
-    {"id": "R02", "name": "Rising trend (>20% above the past-3 mean)", "priority": "HIGH", "category": "Early warning",
+    {"id": "R02", "name": "Orders a fifth above their recent mean", "priority": "HIGH", "category": "Early warning",
      "predicate": "trend_flag = 1 AND n_events >= 5",
-     "text": "Raise the alert level and review stock for the coming periods."},
-    {"id": "R03", "name": "High returns and low prices", "priority": "HIGH", "category": "Stabilisation",
+     "text": "Bring replenishment forward for the next months."},
+    {"id": "R03", "name": "Many returned lines at low prices", "priority": "HIGH", "category": "Stabilisation",
      "predicate": "conflict_level >= 2 AND low_flag = 1",
-     "text": "Review return causes together with pricing."},
+     "text": "Find out why lines come back before prices change again."},
     {"id": "R04", "name": "Fulfilled orders dominant", "priority": "HIGH", "category": "Retention",
      "predicate": "cat3_mode = 'F' AND n_events >= 8",
      "text": "Start retention offers for repeat customers."},
@@ -36,9 +36,9 @@ RULES = [
     {"id": "R06", "name": "Low-priority hotspot", "priority": "MEDIUM", "category": "Policy",
      "predicate": "cat1_mode = '5-LOW'",
      "text": "Review service levels offered on low-priority orders."},
-    {"id": "R07", "name": "Medium tier, persistent activity", "priority": "MEDIUM", "category": "Monitoring",
+    {"id": "R07", "name": "Mid-tier market with steady orders", "priority": "MEDIUM", "category": "Monitoring",
      "predicate": "tier = 'MEDIUM' AND n_events >= 3",
-     "text": "Keep monitoring; share forecasts with neighbouring markets."},
+     "text": "Check this market against its forecast every month."},
     {"id": "R08", "name": "Segment spike", "priority": "HIGH", "category": "Accounts",
      "predicate": "cat2_mode IN ('AUTOMOBILE', 'BUILDING') AND n_events >= 6",
      "text": "Assign account managers to the dominant segments."},
