@@ -42,3 +42,11 @@ def test_ridge_backtest_has_no_python_operator(spark):
     import __spark_entry__ as E
     p = _plan(E.queries()["backtest_lag1"](spark, SF))
     assert "FlatMapGroupsInPandas" not in p and "ArrowEvalPython" not in p and "BatchEvalPython" not in p
+
+
+@pytest.mark.parametrize("name,most", [("group_kfold_baseline", 12), ("allocation", 12), ("backtest_lag1", 15)])
+def test_exchanges_of_the_last_plan(spark, name, most):
+    """Of the plan that reads what the query wrote before (ranges, small tables)."""
+    import __spark_entry__ as E
+    tree = _plan(E.queries()[name](spark, SF)).split("\n\n(1)")[0]
+    assert len(re.findall(r"[-+ ]Exchange \(", tree)) <= most
