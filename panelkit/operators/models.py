@@ -110,10 +110,25 @@ def balanced_weights(df: DataFrame, label: str, out: str = "w") -> DataFrame:
     return df.join(F.broadcast(w), label)
 
 
+#: Rows of a forest's partition at most: each holds, for every tree, how often the row was drawn and its node.
+FOREST_ROWS = 100_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores: a written table of a few small files,
+    which a scan packs into few tasks, is little to read and much to fit or score a
+    forest on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // FOREST_ROWS)))
+
+
 def forest_classifier(df, label, features="features", trees=200, depth=14, min_leaf=3, weight="w", seed=42):
-    """Balanced random forest."""
+    """Balanced random forest. The node that a row has reached in each tree is
+    kept (``cacheNodeIds``), so that a level does not walk every tree from its root
+    again; lost parts are computed again from the rows, without copies on disk."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight, numTrees=trees,
-                                  maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed).fit(df)
+                                  maxDepth=depth, minInstancesPerNode=min_leaf, cacheNodeIds=True, checkpointInterval=-1,
+                                  seed=seed).fit(spread(df.select(label, features, weight)))
 
 
 def logistic(df, label, features="features", weight="w"):

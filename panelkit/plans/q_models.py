@@ -107,13 +107,15 @@ P1_TRAIN_LAST_YEAR = 1999
 
 
 def p1_features(spark, root):
+    """Customer-year features, written once: quantiles, scaling, level lists and
+    weights all read them."""
     p = p1_panel(spark, root)
     b = balance_panel(p, "c_custkey", "year", zero_cols=["n_events"], carry_cols=["amount", "qty"],
                       attr={"region": "r_name"})
     b = b.withColumn("risk_score", weighted_score("n_events", "qty"))
-    return FT.add_panel_features(b, "c_custkey", "year", "n_events",
-                                 covariates={"qty_lag1": "qty", "amount_lag1": "amount", "risk_lag1": "risk_score"},
-                                 logs={"log_amount_lag1": "amount_lag1"}, horizons=(1,))
+    return cut_lineage(FT.add_panel_features(b, "c_custkey", "year", "n_events",
+                                             covariates={"qty_lag1": "qty", "amount_lag1": "amount", "risk_lag1": "risk_score"},
+                                             logs={"log_amount_lag1": "amount_lag1"}, horizons=(1,)))
 
 
 P1_FEATURES = ["n_events_lag1", "n_events_lag2", "n_events_roll3", "qty_lag1", "log_amount_lag1", "risk_lag1", "year"]
