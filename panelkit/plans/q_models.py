@@ -198,8 +198,8 @@ def group_risk_rank(spark, root):
     test years, ranked 1..n (one row per region)."""
     x, _ = _labelled(spark, root)
     rf = MD.forest_classifier(x.filter(F.col("year") <= P1_TRAIN_LAST_YEAR), "high_risk")
-    p = MD.positive_probability(rf.transform(x.filter(F.col("year") > P1_TRAIN_LAST_YEAR)))
-    g = p.groupBy("region").agg(rnd(F.avg("proba"), 6).alias("mean_proba_high"))
+    p = MD.positive_probability(rf.transform(MD.spread(x.filter(F.col("year") > P1_TRAIN_LAST_YEAR))))
+    g = cut_lineage(p.groupBy("region").agg(rnd(F.avg("proba"), 6).alias("mean_proba_high")))  # sampled, then ranked
     from ..operators.windows import dense_position
     return dense_position(g, [F.col("mean_proba_high").desc(), F.col("region")])
 

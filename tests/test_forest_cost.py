@@ -5,6 +5,8 @@ from pyspark.ml.classification import RandomForestClassifier
 from panelkit.operators import models as MD
 from panelkit.plans import q_models
 
+SF = "/root/testdata/sf0.001"
+
 
 def _rows(spark, n, files):
     _, x, _ = MD.design(spark.range(n, numPartitions=files).selectExpr("id * 1.0 AS a", "id % 7 * 1.0 AS b", "CAST(id % 2 AS double) AS y"), ["a", "b"])
@@ -33,6 +35,28 @@ def test_forest_keeps_nodes_and_published_size(spark):
 
 
 def test_features_are_written_once(spark):
-    f = q_models.p1_features(spark, "/root/testdata/sf0.001")
+    f = q_models.p1_features(spark, SF)
     plan = f._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def _recorded(monkeypatch):
+    """Small forests; the row counts of the frames that are dealt over the cores."""
+    dealt, spread, forest = [], MD.spread, MD.forest_classifier
+    monkeypatch.setattr(MD, "spread", lambda df: dealt.append(df.count()) or spread(df))
+    monkeypatch.setattr(MD, "forest_classifier", lambda d, y: forest(d, y, trees=3, depth=3))
+    return dealt
+
+
+def _train_and_test(spark):
+    f = q_models.p1_features(spark, SF)
+    train = f.filter(f.year <= q_models.P1_TRAIN_LAST_YEAR).count()
+    return train, f.count() - train
+
+
+def test_group_risk_rank_scores_all_test_rows_on_all_cores(spark, monkeypatch):
+    dealt = _recorded(monkeypatch)
+    out = q_models.group_risk_rank(spark, SF).collect()
+    assert dealt == list(_train_and_test(spark))
+    regions = {r.region for r in q_models.p1_features(spark, SF).select("region").distinct().collect()}
+    assert {r.region for r in out} == regions and sorted(r["rank"] for r in out) == list(range(1, len(regions) + 1))
