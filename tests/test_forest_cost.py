@@ -60,3 +60,9 @@ def test_group_risk_rank_scores_all_test_rows_on_all_cores(spark, monkeypatch):
     assert dealt == list(_train_and_test(spark))
     regions = {r.region for r in q_models.p1_features(spark, SF).select("region").distinct().collect()}
     assert {r.region for r in out} == regions and sorted(r["rank"] for r in out) == list(range(1, len(regions) + 1))
+
+
+def test_median_risk_forest_scores_all_test_rows_on_all_cores(spark, monkeypatch):
+    dealt = _recorded(monkeypatch)
+    out = {r["class"]: r for r in q_models.median_risk_forest(spark, SF).collect()}
+    assert dealt == list(_train_and_test(spark)) and out["accuracy"].support == dealt[1]
