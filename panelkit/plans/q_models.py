@@ -351,7 +351,8 @@ def _classifier_fits(train):
     functions from a frame to (y, pred)."""
     weighted = MD.balanced_weights(train, "y")
     maj = MD.majority(train, "y").first().majority
-    fits = {m: fit(weighted, "y") for m, fit in (("logistic", MD.logistic), ("tree", MD.tree), ("forest", MD.forest_classifier))}
+    kinds = {"logistic": MD.logistic, "tree": MD.tree, "forest": MD.forest_classifier}
+    fits = dict(zip(kinds, MD.parallel_fits(lambda fit: fit(weighted, "y"), kinds.values())))
     return {"majority": lambda d: d.withColumn("prediction", F.lit(maj))} | {m: f.transform for m, f in fits.items()}
 
 
@@ -414,7 +415,7 @@ def _level_predictions(frame, level, keys, period, last_train, numeric, categori
     z = MD.standardize(f, numeric, fit_on=f.filter(F.col(period) <= last_train), suffix="_z")
     _, x, _ = MD.design(z, [c + "_z" for c in numeric], categorical, drop_first=False)
     x = cut_lineage(x.select(*dict.fromkeys([*keys, period]), "features", "y"))
-    test = x.filter(F.col(period) > last_train)
+    test = MD.spread(x.filter(F.col(period) > last_train))
     out = []
     for m, score in _classifier_fits(x.filter(F.col(period) <= last_train)).items():
         p = score(test)
@@ -428,10 +429,11 @@ def risk_predictions(spark, root):
     region-month panel, tested on later periods: (level, model, keys of that
     level, y, pred, proba), predictions of both levels, whose keys differ, in one
     written frame."""
-    frames = _level_predictions(p1_features(spark, root), "entity", ["c_custkey", "year"], "year", P1_TRAIN_LAST_YEAR, P1_FEATURES, ["region"])
-    frames += _level_predictions(group_features(spark, root), "group", ["r_name", "month_idx"], "month_idx", TRAIN_LAST_MONTH, GROUP_FEATURES, ["r_name"])
-    every = frames[0]
-    for other in frames[1:]:
+    levels = [(p1_features, "entity", ["c_custkey", "year"], "year", P1_TRAIN_LAST_YEAR, P1_FEATURES, ["region"]),
+              (group_features, "group", ["r_name", "month_idx"], "month_idx", TRAIN_LAST_MONTH, GROUP_FEATURES, ["r_name"])]
+    frames = MD.parallel_fits(lambda level: _level_predictions(level[0](spark, root), *level[1:]), levels)
+    every, *others = [p for level in frames for p in level]
+    for other in others:
         every = every.unionByName(other, allowMissingColumns=True)
     return cut_lineage(every)
 

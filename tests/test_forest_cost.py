@@ -1,5 +1,7 @@
 """A forest's cost: the rows on all cores, and no walk from the root at each level."""
 
+import threading
+
 from pyspark.ml.classification import RandomForestClassifier
 
 from panelkit.operators import models as MD
@@ -66,3 +68,17 @@ def test_median_risk_forest_scores_all_test_rows_on_all_cores(spark, monkeypatch
     dealt = _recorded(monkeypatch)
     out = {r["class"]: r for r in q_models.median_risk_forest(spark, SF).collect()}
     assert dealt == list(_train_and_test(spark)) and out["accuracy"].support == dealt[1]
+
+
+def test_levels_of_risk_are_fitted_at_the_same_time(spark, monkeypatch):
+    _recorded(monkeypatch)
+    both, fit = threading.Barrier(2), q_models._level_predictions
+
+    def met(*args):
+        both.wait(60)
+        return fit(*args)
+
+    monkeypatch.setattr(q_models, "_level_predictions", met)
+    out = q_models.two_level_risk(spark, SF).collect()
+    n = {(r.level, r.model): r.n for r in out}
+    assert len(n) == 8 and {v for (level, _), v in n.items() if level == "entity"} == {_train_and_test(spark)[1]}
