@@ -158,7 +158,8 @@ def isotonic_calibrate(train: DataFrame, label: str, fit, folds: int = 3, fold_c
     """For each fold, ``fit`` a classifier on the other folds, score the
     held-out fold with it and fit an isotonic map there, so that no row is
     scored by a classifier that saw it. Returns the (classifier, map) pairs
-    (averaged by ``apply_calibration``)."""
+    (averaged by ``apply_calibration``). One fold after the other: a forest fills
+    all cores, and several would keep their drawn rows in memory at once."""
 
     def one(f):
         model = fit(train.filter(F.col(fold_col) != f))
@@ -167,7 +168,7 @@ def isotonic_calibrate(train: DataFrame, label: str, fit, folds: int = 3, fold_c
             held.select("__score", F.col(label).cast("double").alias("__label")))
         return model, iso
 
-    return parallel_fits(one, range(folds))
+    return [one(f) for f in range(folds)]
 
 
 def apply_calibration(df: DataFrame, pairs, out: str = "proba_cal") -> DataFrame:

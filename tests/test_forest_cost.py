@@ -1,6 +1,7 @@
 """A forest's cost: the rows on all cores, and no walk from the root at each level."""
 
 import threading
+import time
 
 from pyspark.ml.classification import RandomForestClassifier
 
@@ -82,3 +83,18 @@ def test_levels_of_risk_are_fitted_at_the_same_time(spark, monkeypatch):
     out = q_models.two_level_risk(spark, SF).collect()
     n = {(r.level, r.model): r.n for r in out}
     assert len(n) == 8 and {v for (level, _), v in n.items() if level == "entity"} == {_train_and_test(spark)[1]}
+
+
+def test_calibration_holds_one_forest_at_a_time(spark):
+    x = _rows(spark, 90, 2).drop("w").selectExpr("*", "CAST(a % 3 AS int) AS __fold")
+    now, most = [], []
+
+    def fit(d):
+        now.append(1)
+        most.append(len(now))
+        time.sleep(0.5)
+        m = MD.tree(MD.balanced_weights(d, "y"), "y", depth=2)
+        now.pop()
+        return m
+
+    assert len(MD.isotonic_calibrate(x, "y", fit, 3)) == 3 and most == [1, 1, 1]
