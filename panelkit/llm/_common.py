@@ -23,6 +23,8 @@ from panelkit.session import cut_lineage
 
 #: Bytes of text handled by one vectorised step inside a task.
 CHUNK_BYTES = 4 << 20
+#: Spark's setting to remove the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -40,8 +42,19 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back."""
-    return cut_lineage(df)
+    """Write ``df`` once to the shared checkpoint folder and read it back. Nothing
+    reads the shuffle files of its plan again, so they go as soon as it is
+    written; otherwise they stay until the driver happens to collect garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.session import drop_copy
+
 from ._common import materialise
 
 
@@ -28,18 +30,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """Rows (id, component) for every node of the links (a, b): ``component`` is
-    the smallest id that can be reached. Loops, repeats and either direction of
+    """A copy of the rows (id, component) for every node of the links (a, b): ``component``
+    is the smallest id that can be reached. Loops, repeats and either direction of
     a link are allowed; no links give an empty result."""
     edges = materialise(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
                         .where("u < v").distinct())
     before = None
     while True:
-        edges = materialise(_star(_star(edges, large=True), large=False))
+        last, edges = edges, materialise(_star(_star(edges, large=True), large=False))
+        drop_copy(last)
         # the rounds end when every node points at its root: the edges stay the same
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     found = edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
-    return found.unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
+    found = materialise(found.unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()))
+    drop_copy(edges)
+    return found

@@ -7,7 +7,8 @@ share two at once; heavy (large) sets scan inverted lists of single shingles.
 The boundary is the size at which both together cost least: where a list is only
 scanned for its head, that follows from the sizes; elsewhere a few sets are taken
 and what either way would write and compare for each of them is counted.
-Candidates are verified on their whole sets."""
+Candidates are verified on their whole sets.  A copy written on the way is deleted
+once its last reader has run."""
 
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.session import drop_copy
+
 from ._common import id_and_text, map_texts, materialise, texts
 from .components import connected_components
 
@@ -131,7 +134,7 @@ def _light_by_count(ranked: DataFrame, posted: DataFrame) -> int:
 
 
 def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
-    """(key, id, n, light, pos, own): what each class (id, label, n, low) is
+    """A copy of (key, id, n, light, pos, own): what each class (id, label, n, low) is
     posted under, the place of that shingle in its order, and its share of
     shingles (per mille) that no other label holds. Those are left out: links
     are sought between labels, and two sets of different labels that share a
@@ -142,12 +145,14 @@ def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
     shared = materialise(post.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
                          .where("x < y").select("h", "df"))
     # at most one set's shingles in a group
-    freq = post.select("id", "h").join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("freq"))
+    freq = materialise(post.select("id", "h").join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("freq")))
+    drop_copy(shared)
     ranked = reps.join(freq, "id", "left").select("id", "n", _ordered(F.col("low"), F.col("freq"), end).alias("order"))
     first = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1).cast("int")
     own = F.floor(1000 * F.size(F.filter("order", lambda x: x["kind"] == 0)) / F.size("order"))
     ranked = materialise(ranked.join(reps.select("id", "label"), "id").select(
         "id", "label", "n", own.alias("own"), F.slice("order", 1, first + 1).alias("order")))
+    drop_copy(freq)
 
     def posted(size: Column) -> Column:
         placed = F.transform(F.slice("order", 1, size), lambda x, i: F.struct(x["kind"].alias("kind"), x["h"].alias("h"), (i + 1).alias("pos")))
@@ -156,7 +161,9 @@ def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
     if heads:
         limit = _light_by_heads(percent)
     else:
-        limit = _light_by_count(ranked, materialise(ranked.select("id", "label", F.explode(posted(first + 1)).alias("x")).select("id", "label", "x.h")))
+        entries = materialise(ranked.select("id", "label", F.explode(posted(first + 1)).alias("x")).select("id", "label", "x.h"))
+        limit = _light_by_count(ranked, entries)
+        drop_copy(entries)
     light = F.col("n") <= limit
     # sets that a heavy one may link to are posted in the lists as well
     lists = ranked.where(F.col("n") >= least_overlap(limit + 1, percent)).select(
@@ -166,7 +173,9 @@ def _keys(reps: DataFrame, percent: int, end: int, heads: bool) -> DataFrame:
         "id", "n", F.lit(False).alias("light"), "own", F.explode(F.flatten(F.transform("some", lambda a, i: F.transform(
             F.slice("some", i + 2, F.size("some")), lambda b: pair(a, b))))).alias("key"), F.lit(1).alias("pos"))
     columns = ["key", "id", "n", "light", "pos", "own"]
-    return lists.select(*columns).unionByName(pairs.select(*columns))
+    keys = materialise(lists.select(*columns).unionByName(pairs.select(*columns)))
+    drop_copy(ranked)
+    return keys
 
 
 def _possible(percent: int) -> Column:
@@ -196,9 +205,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _whole_sets(ids: DataFrame, base: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, n, low) with all shingles, for some ids (distinct, with repeats)."""
     ids = materialise(ids.select("id").distinct())
-    if ids.count() <= BROADCAST_IDS:  # ids alone, so the size is known; else texts are shuffled by id
-        ids = F.broadcast(ids)
-    return materialise(_sets(base.join(ids, "id", "left_semi"), n, percent, whole=True).select("id", "n", "low", "bits"))
+    few = ids.count() <= BROADCAST_IDS  # ids alone, so the size is known; else texts are shuffled by id
+    some = base.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    sets = materialise(_sets(some, n, percent, whole=True).select("id", "n", "low", "bits"))
+    drop_copy(ids)
+    return sets
 
 
 def _pairs(listed: DataFrame, percent: int, other: Column) -> DataFrame:
@@ -215,19 +226,23 @@ def _of_several_labels(listed: DataFrame) -> DataFrame:
 
 def _links(reps: DataFrame, base: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
     """Verified links (a, b) between classes: all of them on ``every``, else
-    enough that classes are connected just as by all."""
-    listed = materialise(_keys(reps.withColumn("label", F.col("id")), percent, region(percent), heads=not every))
+    enough that classes are connected just as by all. The copy ``reps`` is
+    deleted on the way."""
+    listed = _keys(reps.withColumn("label", F.col("id")), percent, region(percent), heads=not every)
+    drop_copy(reps)
     if every:
         both = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         sets = _whole_sets(listed.join(both, "key"), base, n, percent)
         met = listed.join(sets.select("id", "bits"), "id").withColumn("label", F.col("id"))
         pairs = materialise(_pairs(met, percent, F.lit(True)))
+        drop_copy(listed)
         return _verified(pairs, sets, percent).where("linked").select("a", "b")
 
     # first each member of a list with the head of the list, the set with the
     # least of its own: in a group of copies that is the one next to all others
     heads = listed.groupBy("key").agg(F.min(F.struct("own", "id", "n", "pos")).alias("head"), F.count("*").alias("size"))
-    listed = materialise(listed.join(heads.where("size > 1"), "key"))
+    single, listed = listed, materialise(listed.join(heads.where("size > 1"), "key"))
+    drop_copy(single)
     star = (listed.where("id <> head.id").select(
         F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"), F.col("n").alias("n_a"),
         F.col("head.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("head.pos").alias("pos_b"))
@@ -235,34 +250,42 @@ def _links(reps: DataFrame, base: DataFrame, n: int, percent: int, every: bool)
     star = materialise(star)
     sets = _whole_sets(star.select(F.explode(F.array("a", "b")).alias("id")), base, n, percent)
     tested = materialise(_verified(star, sets, percent))
+    drop_copy(star, sets)
     links = tested.where("linked").select("a", "b")
-    label = connected_components(links).withColumnRenamed("component", "label")
+    component = connected_components(links)
+    label = component.withColumnRenamed("component", "label")
 
     # then the sets of lists that are not connected yet, among themselves: they
     # are few, so that all their shingles can be counted and the order is exact
-    listed = listed.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    left = _whole_sets(listed.join(_of_several_labels(listed), "key"), base, n, percent)
-    left = materialise(left.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
-    again = materialise(_keys(left, percent, 2**63 - 1, heads=False).join(left.select("id", "label", "bits"), "id"))
-    again = again.join(_of_several_labels(again), "key")
-    rest = _pairs(again, percent, F.col("label_a") != F.col("label_b"))
+    labelled = listed.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    whole = _whole_sets(labelled.join(_of_several_labels(labelled), "key"), base, n, percent)
+    left = materialise(whole.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    drop_copy(listed, whole, component)
+    keys = _keys(left, percent, 2**63 - 1, heads=False)
+    again = materialise(keys.join(left.select("id", "label", "bits"), "id"))
+    drop_copy(keys)
+    rest = _pairs(again.join(_of_several_labels(again), "key"), percent, F.col("label_a") != F.col("label_b"))
     rest = materialise(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    return links.unionByName(_verified(rest, left, percent).where("linked").select("a", "b"))
+    drop_copy(again)
+    found = materialise(links.unionByName(_verified(rest, left, percent).where("linked").select("a", "b")))
+    drop_copy(tested, rest, left)
+    return found
 
 
 # ---- the operator -------------------------------------------------------
 
 def _classes(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members (id, n, rep), class representatives with their search sets,
-    texts of the rows that have an id)."""
+    texts of the rows that have an id). The first two are copies."""
     base = id_and_text(df, id_col, text_col)
     sets = materialise(_sets(base, n, percent, whole=False))
     rep = sets.groupBy("sig").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "n", "sig").join(rep, "sig").select(
-        "id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
+    members = materialise(sets.select("id", "n", "sig").join(rep, "sig").select(
+        "id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")))
     chosen = rep.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "sig")
-    reps = sets.where("n > 0").join(chosen, ["id", "sig"], "left_semi").select("id", "n", "low")
-    return members, materialise(reps), base.where("id IS NOT NULL")
+    reps = materialise(sets.where("n > 0").join(chosen, ["id", "sig"], "left_semi").select("id", "n", "low"))
+    drop_copy(sets)
+    return members, reps, base.where("id IS NOT NULL")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
@@ -278,7 +301,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an id must not stand for different texts. An empty table gives an empty result; other columns are
     ignored. Sets are of 63-bit hashes."""
     members, reps, base = _classes(df, id_col, text_col, n, percent)
-    label = connected_components(_links(reps, base, n, percent, every=False)).withColumnRenamed("id", "rep")
+    links = _links(reps, base, n, percent, every=False)
+    label = connected_components(links).withColumnRenamed("id", "rep")
+    drop_copy(links)
     return members.join(label, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id"))
@@ -287,5 +312,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                   percent: int = PERCENT) -> DataFrame:
     """The join itself: every link (a, b), a < b, between class representatives."""
-    _, reps, base = _classes(df, id_col, text_col, n, percent)
+    members, reps, base = _classes(df, id_col, text_col, n, percent)
+    drop_copy(members)
     return _links(reps, base, n, percent, every=True)

@@ -12,6 +12,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import SparkSession
 
@@ -90,20 +91,37 @@ def cut_lineage(df):
         atexit.register(_drop_at_exit, spark)
     _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    copy = spark.read.parquet(path)
+    _PATHS[copy] = path
+    return copy
 
 
-#: Copies that this application has written.
+#: Copies that this application has written, and the frames that were returned for them.
 _WRITTEN: list[str] = []
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_copy(*copies) -> None:
+    """Delete copies that ``cut_lineage`` returned, once all that reads them has
+    run; frames that read them are no longer usable."""
+    for copy in copies:
+        path = _PATHS.pop(copy)
+        _WRITTEN.remove(path)
+        _delete(copy.sparkSession, path)
 
 
 def drop_copies(spark: SparkSession) -> int:
     """Delete every copy that ``cut_lineage`` wrote; frames that read them are
     no longer usable. Returns how many there were."""
-    sc, n = spark.sparkContext, len(_WRITTEN)
+    n = len(_WRITTEN)
     while _WRITTEN:
-        path = sc._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     _BUILT.clear()
     return n
 
