@@ -23,6 +23,7 @@ from pyspark.ml.regression import (GBTRegressor, IsotonicRegression, LinearRegre
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import forest
 from .joins import with_scalars
 
 
@@ -122,13 +123,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(cores, -(-df.count() // FOREST_ROWS)))
 
 
+#: Up to so many rows MLlib's own passes over a forest's rows cost least.
+FOREST_SMALL = 20_000
+
+
 def forest_classifier(df, label, features="features", trees=200, depth=14, min_leaf=3, weight="w", seed=42):
-    """Balanced random forest. The node that a row has reached in each tree is
-    kept (``cacheNodeIds``), so that a level does not walk every tree from its root
-    again; lost parts are computed again from the rows, without copies on disk."""
-    return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight, numTrees=trees,
-                                  maxDepth=depth, minInstancesPerNode=min_leaf, cacheNodeIds=True, checkpointInterval=-1,
-                                  seed=seed).fit(spread(df.select(label, features, weight)))
+    """Balanced random forest. Few rows are fitted by MLlib, and the node that a
+    row has reached in each tree is kept (``cacheNodeIds``), so that a level does not
+    walk every tree from its root again; lost parts are computed again from the rows,
+    without copies on disk. More rows, of two classes with a weight each, are
+    binned and grown by ``operators.forest`` into the same kind of model."""
+    est = RandomForestClassifier(featuresCol=features, labelCol=label, weightCol=weight, numTrees=trees,
+                                 maxDepth=depth, minInstancesPerNode=min_leaf, cacheNodeIds=True, checkpointInterval=-1, seed=seed)
+    rows = df.select(label, features, weight)
+    kinds = rows.groupBy(label, weight).count().limit(3).collect()
+    n, weights = sum(r["count"] for r in kinds), {r[0]: r[1] for r in kinds}
+    dealt = spread(rows)
+    if n > FOREST_SMALL and len(kinds) == 2 and set(weights) == {0.0, 1.0} and all(w and w > 0 for w in weights.values()):
+        return forest.fit(est, rows, dealt, [weights[0.0], weights[1.0]], n)
+    return est.fit(dealt)
 
 
 def logistic(df, label, features="features", weight="w"):

@@ -101,7 +101,22 @@ _WRITTEN: list[str] = []
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def copy_path(copy) -> str:
+    """Where ``cut_lineage`` wrote ``copy``."""
+    return _PATHS[copy]
+
+
+def reading_session(spark: SparkSession, task_bytes: int) -> SparkSession:
+    """A session on the same application that reads ``task_bytes`` of files in a
+    task, and removes the shuffle files of a query when it ends; ``spark`` keeps its settings."""
+    own = spark.newSession()
+    for k, v in {"spark.sql.files.maxPartitionBytes": task_bytes, "spark.sql.files.openCostInBytes": 0,
+                 "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}.items():
+        own.conf.set(k, str(v))
+    return own
+
+
+def delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
@@ -113,7 +128,7 @@ def drop_copy(*copies) -> None:
     for copy in copies:
         path = _PATHS.pop(copy)
         _WRITTEN.remove(path)
-        _delete(copy.sparkSession, path)
+        delete(copy.sparkSession, path)
 
 
 def drop_copies(spark: SparkSession) -> int:
@@ -121,7 +136,7 @@ def drop_copies(spark: SparkSession) -> int:
     no longer usable. Returns how many there were."""
     n = len(_WRITTEN)
     while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+        delete(spark, _WRITTEN.pop())
     _BUILT.clear()
     return n
 
