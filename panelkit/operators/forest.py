@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 #: Rows (as often as drawn) of a subtree that one task grows by itself, at most.
 LOCAL_DRAWS = 3_000_000
 #: Bytes of drawn rows that trees of one batch exchange, unless that leaves cores without a tree.
-BATCH_BYTES = 1 << 30
+BATCH_BYTES = 400 << 20
 #: Rows that are binned, scored or counted in one vectorised step.
 STEP = 1 << 15
 #: Rows of a block of binned rows.

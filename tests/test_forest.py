@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators import forest as FO
 from panelkit.operators import models as MD
-from panelkit.plans import QUERIES, load_all
+from panelkit.plans import QUERIES, load_all, q_models
 
 load_all()
 
@@ -109,3 +109,13 @@ def test_classifier_metrics_of_grown_forests(spark, grown):
     out = {r.model: r for r in QUERIES["classifier_metrics"](spark, SF).collect()}
     assert set(out) == {"majority", "logistic", "tree", "forest", "forest_tuned", "forest_calibrated"}
     assert all(0 < out[m].auc < 1 for m in out if m != "majority") and out["forest"].auc == out["forest_tuned"].auc
+
+
+def _test_rows(spark):
+    return q_models.p1_features(spark, SF).filter(F.col("year") > q_models.P1_TRAIN_LAST_YEAR).count()
+
+
+def test_two_level_risk_of_grown_forests(spark, grown):
+    out = {(r.level, r.model): r for r in QUERIES["two_level_risk"](spark, SF).collect()}
+    assert set(out) == {(level, m) for level in ("entity", "group") for m in ("majority", "logistic", "tree", "forest")}
+    assert {out[k].n for k in out if k[0] == "entity"} == {_test_rows(spark)} and all(0 < out[level, "forest"].auc < 1 for level in ("entity", "group"))
