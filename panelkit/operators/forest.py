@@ -100,6 +100,11 @@ def _find_borders(df, label, features, class_weights, bins):
     return [borders(v, w, bins) if len(v) else np.zeros(0) for v, w in told]
 
 
+def width(d):
+    """Bytes of a row of ``d`` codes and its draws: rows of such sizes move fastest."""
+    return 1 << d.bit_length() if d < 32 else d + 1
+
+
 def binned(x, at):
     rows = np.empty(x.shape, np.uint8)
     for f, t in enumerate(at):
@@ -108,12 +113,15 @@ def binned(x, at):
 
 
 def _pack(df, label, features, at):
-    """Blocks of about BLOCK rows: a number, and as bytes the rows' codes: a code is twice the bin of a feature, and one more for label 1."""
+    """Blocks of about BLOCK rows: a number, and as bytes the rows' codes, with room
+    for draws: a code is twice the bin of a feature, and one more for label 1."""
     def run(batches):
         number, held, n = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
             y = b.column(b.schema.get_field_index("y")).to_numpy().astype(np.uint8)
-            held.append((binned(_matrix(b), at) * 2 + y[:, None]).tobytes())
+            rows = np.zeros((len(y), width(len(at))), np.uint8)
+            rows[:, :len(at)] = binned(_matrix(b), at) * 2 + y[:, None]
+            held.append(rows.tobytes())
             n += len(y)
             if n >= BLOCK:
                 yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "rows": pa.array([b"".join(held)], pa.binary())})
@@ -141,13 +149,12 @@ def draws(n, seed, tree, block):
     return c
 
 
-def _drawn(rows, seed, tree, block):
-    """The drawn rows with a last column for how often."""
+def _drawn(rows, d, seed, tree, block):
+    """The drawn rows, with how often in column ``d``."""
     c = draws(len(rows), seed, tree, block)
     at = np.flatnonzero(c)
-    out = np.empty((len(at), rows.shape[1] + 1), np.uint8)
-    out[:, :-1] = rows[at]
-    out[:, -1] = c[at]
+    out = rows.take(at, axis=0)
+    out[:, d] = c[at]
     return out
 
 
@@ -206,11 +213,7 @@ def best_splits(h, feats, weights, min_leaf):
 def grow(rows, d, bins, weights, depth, min_leaf, k, rng):
     """A subtree from its drawn rows (codes, draws): arrays (feature or -1, last
     bin of the left side, left child - the right one follows -, draws by label), nodes in the order of levels."""
-    wide = 1 << d.bit_length() if d < 32 else d + 1  # rows of such sizes move fastest
-    full = np.zeros((len(rows), wide), np.uint8)
-    full[:, :d + 1] = rows
-    rows = full
-    stats = [np.bincount(rows[:, 0] & 1, rows[:, d], 2)[None]]
+    wide, stats = rows.shape[1], [np.bincount(rows[:, 0] & 1, rows[:, d], 2)[None]]
     sizes, ids, count, nodes = np.array([len(rows)]), np.array([0]), 1, []
     for level in range(depth):
         feats, starts = subsets(rng, len(sizes), d, k), np.concatenate([[0], np.cumsum(sizes)])
@@ -233,7 +236,7 @@ def grow(rows, d, bins, weights, depth, min_leaf, k, rng):
             if level + 1 < depth and on.any():
                 if q == 1:
                     goes = r[:, f[0]] > 2 * cut[0] + 1
-                    parts = [r[goes == side] for side in (0, 1) if on[0, side]]
+                    parts = [r.take(np.flatnonzero(goes == side), axis=0) for side in (0, 1) if on[0, side]]
                     keep += parts
                     kid_sizes += [np.array([len(p)]) for p in parts]
                 else:
@@ -291,14 +294,16 @@ def _upper(blocks, d, bins, weights, trees, depth, min_leaf, k, seed, rows):
                  for t, nodes in open_.items()}
 
         def count(batches):
-            held = [(b, np.frombuffer(r, np.uint8).reshape(-1, d)) for b, r in _blocks(batches)]
+            held = [(b, np.frombuffer(r, np.uint8).reshape(-1, width(d))) for b, r in _blocks(batches)]
             for t, (top, nodes, feats) in asked.items():
                 number, total = np.full(len(top[0]), -1), 0
                 number[nodes] = np.arange(len(nodes))
                 for b, r in held:
-                    x = _drawn(r, seed, t, b)
+                    x = _drawn(r, d, seed, t, b)
                     at = number[_walk(x, top)]
-                    x, at = x[at >= 0], at[at >= 0]
+                    if top[3]:
+                        on = np.flatnonzero(at >= 0)
+                        x, at = x.take(on, axis=0), at[on]
                     for s in range(0, len(x), STEP):
                         total = total + _histogram(x[s: s + STEP], at[s: s + STEP], feats, bins, d)
                 if held:
@@ -350,14 +355,14 @@ def _subtrees(blocks, tops, batch, d, bins, weights, depth, min_leaf, k, seed, c
 
     def send(batches):
         for b, r in _blocks(batches):
-            r = np.frombuffer(r, np.uint8).reshape(-1, d)
+            r = np.frombuffer(r, np.uint8).reshape(-1, width(d))
             for t, top in packed.items():
-                x = _drawn(r, seed, t, b)
+                x = _drawn(r, d, seed, t, b)
                 node = _walk(x, top)
                 if top[3]:
                     order = np.argsort(node.astype(np.uint16), kind="stable")
                     order = order[task[t][node[order]]]
-                    x, node = x[order], node[order]
+                    x, node = x.take(order, axis=0), node[order]
                 first = np.flatnonzero(np.diff(node, prepend=-1))
                 yield pa.RecordBatch.from_pydict({
                     "tree": pa.array([t] * len(first), pa.int32()), "root": pa.array(node[first], pa.int32()),
@@ -366,7 +371,7 @@ def _subtrees(blocks, tops, batch, d, bins, weights, depth, min_leaf, k, seed, c
     def build(key, table):
         t, root = (v.as_py() for v in key)
         rows = np.concatenate([np.frombuffer(v.as_buffer(), np.uint8) for v in table["rows"]])
-        feature, cut, kid, stats = grow(rows.reshape(-1, d + 1), d, bins, weights, depth - levels[t][root], min_leaf, k, np.random.default_rng([seed, t, root, 1]))
+        feature, cut, kid, stats = grow(rows.reshape(-1, width(d)), d, bins, weights, depth - levels[t][root], min_leaf, k, np.random.default_rng([seed, t, root, 1]))
         return pa.Table.from_pydict({
             "tree": pa.array([t], pa.int32()), "root": pa.array([root], pa.int32()), "n": pa.array([len(feature)], pa.int32()),
             "leaf": pa.array([bool(feature[0] < 0)]), "one": pa.array([bool(predicted(stats[:1], weights)[0])]),
@@ -520,11 +525,11 @@ def fit(est, df: DataFrame, dealt: DataFrame, class_weights, rows: int) -> Fores
     k = max(1, int(np.ceil(np.sqrt(d)))) if trees > 1 else d
     cores = spark.sparkContext.defaultParallelism
     written, path = cut_lineage(_pack(dealt, label, features, at)), f"{ensure_checkpoint_dir(spark).rstrip('/')}/forests/{uuid.uuid4().hex}"
-    own = reading_session(spark, min(TASK_BYTES, max(1, rows * d // (2 * cores))))
+    own = reading_session(spark, min(TASK_BYTES, max(1, rows * width(d) // (2 * cores))))
     try:
         blocks = own.read.parquet(copy_path(written))
         tops = _upper(blocks, d, bins, weights, trees, depth, min_leaf, k, seed, rows)
-        size = max(4 * cores, int(BATCH_BYTES // (0.64 * rows * (d + 1))))
+        size = max(4 * cores, int(BATCH_BYTES // (0.64 * rows * width(d))))
         starts = range(0, trees, size)
         for s in starts:
             _subtrees(blocks, tops, range(s, min(s + size, trees)), d, bins, weights, depth, min_leaf, k, seed, cores).write.parquet(f"{path}/{s}")

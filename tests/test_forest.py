@@ -119,3 +119,9 @@ def test_two_level_risk_of_grown_forests(spark, grown):
     out = {(r.level, r.model): r for r in QUERIES["two_level_risk"](spark, SF).collect()}
     assert set(out) == {(level, m) for level in ("entity", "group") for m in ("majority", "logistic", "tree", "forest")}
     assert {out[k].n for k in out if k[0] == "entity"} == {_test_rows(spark)} and all(0 < out[level, "forest"].auc < 1 for level in ("entity", "group"))
+
+
+def test_feature_importance_of_grown_forests(spark, grown):
+    out = QUERIES["feature_importance"](spark, SF).collect()
+    assert {r.feature for r in out} >= set(q_models.P1_FEATURES) and sum(r.importance for r in out) == pytest.approx(1.0)
+    assert [r.importance for r in out] == sorted((r.importance for r in out), reverse=True)
