@@ -125,3 +125,8 @@ def test_feature_importance_of_grown_forests(spark, grown):
     out = QUERIES["feature_importance"](spark, SF).collect()
     assert {r.feature for r in out} >= set(q_models.P1_FEATURES) and sum(r.importance for r in out) == pytest.approx(1.0)
     assert [r.importance for r in out] == sorted((r.importance for r in out), reverse=True)
+
+
+def test_median_risk_forest_of_grown_forests(spark, grown):
+    out = {r["class"]: r for r in QUERIES["median_risk_forest"](spark, SF).collect()}
+    assert set(out) == {"0", "1", "accuracy", "macro avg", "weighted avg"} and out["accuracy"].support == _test_rows(spark)
