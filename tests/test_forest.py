@@ -130,3 +130,10 @@ def test_feature_importance_of_grown_forests(spark, grown):
 def test_median_risk_forest_of_grown_forests(spark, grown):
     out = {r["class"]: r for r in QUERIES["median_risk_forest"](spark, SF).collect()}
     assert set(out) == {"0", "1", "accuracy", "macro avg", "weighted avg"} and out["accuracy"].support == _test_rows(spark)
+
+
+def test_group_risk_rank_of_grown_forests(spark, grown):
+    out = QUERIES["group_risk_rank"](spark, SF).collect()
+    regions = {r.region for r in q_models.p1_features(spark, SF).select("region").distinct().collect()}
+    assert {r.region for r in out} == regions and sorted(r["rank"] for r in out) == list(range(1, len(regions) + 1))
+    assert [r.region for r in sorted(out, key=lambda r: r["rank"])] == [r.region for r in sorted(out, key=lambda r: (-r.mean_proba_high, r.region))]
